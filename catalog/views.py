@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feltgrid.domain import EMOTIONS
 from feltgrid.functions import dates
+from feltgrid.sources.tables import widen
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -65,7 +66,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts in 21 week buckets, the last one small."""
-    docs = table(spark, sf_dir, "documents")
+    docs = widen(table(spark, sf_dir, "documents"))
     key, chars = F.col("doc_id"), F.col("n_chars")
     bucket = F.when(key % 200 == 0, 20).otherwise(key % 20).cast("int")
     created = F.date_add(F.lit("2020-01-06").cast("date"), bucket * 7)

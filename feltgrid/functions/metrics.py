@@ -13,6 +13,11 @@ from feltgrid.functions.text import as_column
 MEANS = [f"{e}_mean" for e in domain.EMOTIONS]
 
 
+def stable_round(value: Column, digits: int) -> Column:
+    """Half-up rounding that the last bits of a sum, and so its order, cannot change."""
+    return F.round(value.cast("decimal(28,12)"), digits).cast("double")
+
+
 def _argmax(columns: Sequence[Column | str], keys: Sequence[str]) -> Column:
     columns = [as_column(c) for c in columns]
     top = F.greatest(*columns)

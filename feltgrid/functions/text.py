@@ -99,12 +99,10 @@ def reject_reason(
 def is_valid_token(word: Column | str, pos: Column | str | None = None) -> Column:
     """Shape and part-of-speech checks of one token; word lists are applied by the caller."""
     word = as_column(word)
-    valid = (
-        (F.length(word) >= 2)
-        & ~word.rlike(r"(?U)^[\d.]+$")
-        & ~word.rlike(r"^[a-zA-Z]{1,4}$")
-        & ~word.rlike(r"(?U)^[\W_]+$")
-    )
+    # Cheap tests come first and settle nearly all words without a full match.
+    latin = (F.length(word) <= 4) & word.rlike("^[a-zA-Z]{1,4}$")
+    symbols = ~word.rlike(r"^\p{L}") & word.rlike(r"(?U)^(?:[\d.]+|[\W_]+)$")
+    valid = (F.length(word) >= 2) & ~latin & ~symbols
     if pos is None:
         return valid
     pos = F.coalesce(as_column(pos), F.lit(""))

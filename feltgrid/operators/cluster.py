@@ -102,8 +102,8 @@ def _micro_centroids(scaled: DataFrame, key: str, features: Sequence[str], limit
     """
     many = scaled.select(key).limit(limit + 1).count() > limit
     if not many:
-        points = scaled.select(F.col(key).alias("_point"), *features, F.lit(1.0).alias("_weight"))
-        return points, scaled.select(F.col(key), F.col(key).alias("_point"))
+        name = F.col(key).cast("string").alias("_point")
+        return scaled.select(name, *features, F.lit(1.0).alias("_weight")), scaled.select(key, name)
     assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled)
     model = KMeans(k=limit, featuresCol="_features", predictionCol="_micro", seed=SEED).fit(assembled)
     members = model.transform(assembled).withColumn("_point", F.format_string("%06d", "_micro"))
@@ -135,7 +135,8 @@ def ward_labels(
         return pd.concat(cuts) if cuts else empty
 
     # One group of at most ``limit`` rows.
-    labels = points.groupBy(F.lit(0)).applyInPandas(tree, "k int, _point string, label int")
+    one = points.withColumn("_tree", F.lit(0)).groupBy("_tree")
+    labels = one.applyInPandas(tree, "k int, _point string, label int")
     return members.join(F.broadcast(labels), "_point").select("k", key, "label")
 
 
@@ -152,7 +153,7 @@ def ward_linkage(scaled: DataFrame, key: str, features: Sequence[str], limit: in
         return table
 
     schema = "step int, left int, right int, distance double, sample_count bigint"
-    return points.groupBy(F.lit(0)).applyInPandas(tree, schema)
+    return points.withColumn("_tree", F.lit(0)).groupBy("_tree").applyInPandas(tree, schema)
 
 
 def sweep_range(n_rows: int) -> range:
@@ -181,30 +182,32 @@ def silhouette_rows(
     )
     largest = rows.groupBy("_group").count().agg(F.max("count")).scalar()
     blocks = F.greatest(F.ceil(largest / block_rows).cast("int"), F.lit(1))
-    rows = rows.withColumn("_blocks", blocks)
-    own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = rows.withColumn("_a", own).withColumn("_b", every).drop("_blocks")
-    right = rows.withColumn("_b", own).withColumn("_a", every).drop("_blocks")
+    own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    # Each row meets every block (side 0) and is met by every block (side 1).
+    meets = F.concat(
+        F.transform(every, lambda b: F.struct(F.lit(0).alias("_side"), own.alias("_a"), b.alias("_b"))),
+        F.transform(every, lambda a: F.struct(F.lit(1).alias("_side"), a.alias("_a"), own.alias("_b"))),
+    )
+    placed = rows.select("*", F.inline(meets))
+    columns = ["_group", "_key", "_label", "other", "total", "members"]
 
-    def compare(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        one, other = pair[pair["_side"] == 0], pair[pair["_side"] == 1]
         x = one[features].to_numpy("float64")
-        parts = []
+        parts = [one.head(0).reindex(columns=columns)]
         for other_label, members in other.groupby("_label"):
             y = members[features].to_numpy("float64")
             total = np.zeros(len(x))
             for at in range(0, len(y), 256):
                 gaps = x[:, None, :] - y[None, at:at + 256, :]
                 total += np.sqrt((gaps * gaps).sum(axis=2)).sum(axis=1)
-            part = one[["_group", "_key", "_label"]].copy()
-            part["other"], part["total"], part["members"] = int(other_label), total, len(y)
+            part = one[columns[:3]].assign(other=int(other_label), total=total, members=len(y))
             parts.append(part)
-        return pd.concat(parts) if parts else one.head(0).reindex(columns=[
-            "_group", "_key", "_label", "other", "total", "members"])
+        return pd.concat(parts[1:] or parts)
 
-    keys = ["_group", "_a", "_b"]
     group_type = labelled.schema[group].dataType.simpleString()
-    sums = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(
+    sums = placed.groupBy("_group", "_a", "_b").applyInPandas(
         compare, f"_group {group_type}, _key string, _label int, other int, total double, members bigint"
     )
     per_label = sums.groupBy("_group", "_key", "_label", "other").agg(

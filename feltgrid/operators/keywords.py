@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from feltgrid import domain
 from feltgrid.functions import text
+from feltgrid.functions.metrics import stable_round
+from feltgrid.operators import dashboard
 from feltgrid.operators.rows import beside
 
 TEXT_COLUMNS = ["content_clean", "content_raw", "content"]
@@ -77,8 +79,12 @@ def tokenise(
 
 
 def week_term_counts(tokens: DataFrame, week: str = "date_week") -> DataFrame:
-    """Count of each term per week, and its part of speech (the smallest when it varies)."""
-    return tokens.groupBy(week, "word").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    """Count of each term per week with its part of speech.
+
+    A term has one part of speech, so it can be a grouping key. A text aggregate such as ``min``
+    instead would make Spark sort every token where it now hashes them.
+    """
+    return tokens.groupBy(week, "word", "pos").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def first_pos(tokens: DataFrame, position: str, week: str = "date_week") -> DataFrame:
@@ -239,7 +245,7 @@ def emotion_keywords(
         .join(active, week)
         .groupBy("emotion", "word")
         .agg(
-            F.round(F.avg("tfidf"), 4).alias("avg_tfidf"),
+            stable_round(F.avg("tfidf"), 4).alias("avg_tfidf"),
             F.max("tfidf").alias("peak_tfidf"),
             F.min_by(week, F.struct(-F.col("tfidf"), F.col(week))).alias("peak_week"),
         )
@@ -303,6 +309,21 @@ def term_frequencies(tokens: DataFrame, key: str, size: int = 50) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= size).filter(F.length("word") >= 2)
 
 
+def peak_week_terms(posts: DataFrame, national: DataFrame, size: int = 50, pattern: str | None = None) -> DataFrame:
+    """Most frequent raw terms of the weeks with the highest fear and joy."""
+    weeks = dashboard.peak_weeks(national).select("date_week").distinct()
+    # Two weeks at most; only their posts are tokenised.
+    chosen = posts.join(F.broadcast(weeks), "date_week", "left_semi")
+    return term_frequencies(tokenise(chosen, pattern, filtered=False), "date_week", size)
+
+
+def province_terms(posts: DataFrame, top: int = 6, size: int = 80, pattern: str | None = None) -> DataFrame:
+    """Most frequent raw terms of the provinces with the most posts."""
+    largest = dashboard.largest_provinces(posts, top).select("province")
+    chosen = posts.join(F.broadcast(largest), "province", "left_semi")
+    return term_frequencies(tokenise(chosen, pattern, keep=("province",), filtered=False), "province", size)
+
+
 def concatenated_texts(posts: DataFrame, key: str, order: str = "post_id") -> DataFrame:
     """All texts of each key joined by blanks, in ``order``.
 

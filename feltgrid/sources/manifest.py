@@ -36,8 +36,9 @@ def manifest(spark: SparkSession, directory: str) -> DataFrame:
         .option("pathGlobFilter", "*.{csv,json}")
         .load(directory)
     )
-    text = F.trim(F.decode("content", F.lit("UTF-8")))
-    lines = F.regexp_count(F.rtrim(F.decode("content", F.lit("UTF-8")), F.lit("\n")), F.lit("\n")) + 1
+    content = F.decode("content", "UTF-8")
+    text = F.trim(content)
+    lines = F.regexp_count(F.regexp_replace(content, r"\n+$", ""), F.lit("\n")) + 1
     lines = F.when(F.length(text) == 0, 0).otherwise(lines)
     keyed = F.coalesce(
         F.size(F.json_object_keys(F.get_json_object(text, "$.weeks"))),
