@@ -8,6 +8,7 @@ from catalog.q_dashboard import vectors
 from catalog.q_panels import monthly
 from feltgrid.domain import CLUSTER_FEATURES, EMOTIONS, MONTHLY_FEATURES
 from feltgrid.operators import cluster
+from feltgrid.operators.stage import stage
 
 SCALED = "scaled AS (SELECT province, " + ", ".join(
     f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in CLUSTER_FEATURES
@@ -21,7 +22,7 @@ def rule_label():
 
 
 def scaled(spark, d):
-    rows = cluster.eligible(vectors(spark, d), "total_posts_all", 1, CLUSTER_FEATURES)
+    rows = stage(cluster.eligible(vectors(spark, d), "total_posts_all", 1, CLUSTER_FEATURES))
     return cluster.standardise(rows, CLUSTER_FEATURES).select("province", *CLUSTER_FEATURES)
 
 
@@ -134,12 +135,12 @@ def cluster_shifts(spark, d):
 
 @query()
 def ward_labels(spark, d):
-    return cluster.cluster_provinces(vectors(spark, d), 25, min_posts=1)[2]
+    return cluster.cluster_provinces(vectors(spark, d), min_posts=1)[2]
 
 
 @query()
 def ward_sweep(spark, d):
-    return v.rounded(cluster.cluster_provinces(vectors(spark, d), 25, min_posts=1)[1])
+    return v.rounded(cluster.cluster_provinces(vectors(spark, d), min_posts=1)[1])
 
 
 @query()

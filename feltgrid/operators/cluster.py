@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.functions import metrics
 from feltgrid.operators.rows import beside
+from feltgrid.operators.stage import stage
 
 MAX_TREE_POINTS = 512
 BLOCK_ROWS = 2048
@@ -180,16 +181,14 @@ def silhouette_rows(
         F.col(group).alias("_group"), F.col(key).cast("string").alias("_key"),
         F.col(label).cast("int").alias("_label"), *features,
     )
-    largest = rows.groupBy("_group").count().agg(F.max("count")).scalar()
-    blocks = F.greatest(F.ceil(largest / block_rows).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
+    largest = rows.groupBy("_group").count().agg(F.max("count").alias("n")).first().n or 1
+    blocks = -(-largest // block_rows)
+    own = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # Each row meets every block (side 0) and is met by every block (side 1).
-    meets = F.concat(
-        F.transform(every, lambda b: F.struct(F.lit(0).alias("_side"), own.alias("_a"), b.alias("_b"))),
-        F.transform(every, lambda a: F.struct(F.lit(1).alias("_side"), a.alias("_a"), own.alias("_b"))),
-    )
-    placed = rows.select("*", F.inline(meets))
+    meets = rows.select("*", F.lit(0).alias("_side"), own.alias("_a"), every.alias("_b"))
+    is_met = rows.select("*", F.lit(1).alias("_side"), own.alias("_b"), every.alias("_a"))
+    placed = meets.unionByName(is_met)
     columns = ["_group", "_key", "_label", "other", "total", "members"]
 
     def compare(pair: pd.DataFrame) -> pd.DataFrame:
@@ -255,19 +254,19 @@ def label_stability(labels: DataFrame, key: str, ks: Sequence[int]) -> DataFrame
 
 def cluster_provinces(
     vectors: DataFrame,
-    n_rows: int,
     features: Sequence[str] = domain.CLUSTER_FEATURES,
     min_posts: int = domain.MIN_CLUSTER_POSTS,
     key: str = "province",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(labels of every k, silhouette of every k, labels of the best k)``.
 
-    ``n_rows`` is the number of eligible rows, which fixes the range of ``k``.
+    Every step reads the vectors, scaled rows or labels again, so these are materialised.
     """
-    rows = eligible(vectors, "total_posts_all", min_posts, features)
-    scaled = standardise(rows, features)
-    labels = ward_labels(scaled, key, features, sweep_range(n_rows))
-    scores = silhouette(labels.join(scaled.select(key, *features), key), key, features)
+    rows = stage(eligible(vectors, "total_posts_all", min_posts, features))
+    scaled = stage(standardise(rows, features).select(key, *features))
+    labels = stage(ward_labels(scaled, key, features, sweep_range(rows.count())))
+    scores = stage(silhouette(labels.join(scaled, key), key, features))
+    # One row.
     chosen = labels.join(F.broadcast(best_k(scores).select("k")), "k", "left_semi")
     best = rows.join(chosen, key).select(key, "total_posts_all", F.col("label").alias("cluster_label"))
     return labels, scores, best
@@ -317,7 +316,7 @@ def monthly_ward(
     ``limit`` rows; a larger month is clustered through its centroids, as a job of its own.
     """
     features = list(features)
-    rows = eligible(monthly, "total_posts", min_posts, features).select(month, key, *features)
+    rows = stage(eligible(monthly, "total_posts", min_posts, features).select(month, key, *features))
     counts = rows.groupBy(month).agg(F.count(F.lit(1)).alias("_rows"))
     # The months that hold more regions than one tree may have; the white list alone has 34.
     large = [r[month] for r in counts.filter(F.col("_rows") > limit).collect()]

@@ -99,13 +99,13 @@ def build_keywords(labelled: DataFrame, directory: str, dictionary: DataFrame |
     }
 
 
-def build_clusters(tables: Mapping[str, DataFrame], n_rows: int) -> dict[str, DataFrame]:
-    """Whole-period and monthly cluster tables; ``n_rows`` is the number of eligible provinces."""
-    labels, scores, best = cluster.cluster_provinces(tables["province_emotion_vectors"], n_rows)
+def build_clusters(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Whole-period and monthly cluster tables."""
+    labels, scores, best = cluster.cluster_provinces(tables["province_emotion_vectors"])
     aligned = cluster.align_by_risk(cluster.monthly_ward(tables["emotion_panel_monthly"]))
     return {
         "cluster_labels": best,
         "silhouette_scores": scores,
-        "cluster_stability": cluster.label_stability(labels, "province", list(cluster.sweep_range(n_rows))),
+        "cluster_stability": cluster.label_stability(labels, "province", range(2, 7)),
         "monthly_cluster_labels": cluster.evolution_matrix(aligned),
     }
