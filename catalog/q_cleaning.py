@@ -6,6 +6,7 @@ from catalog import query
 from catalog import views as v
 from feltgrid.domain import EMOTIONS, PROVINCE_SUFFIXES
 from feltgrid.functions import dates, metrics, parsing, text
+from feltgrid.sources.tables import widen
 
 LETTERS = r"\p{L}"
 # White space as a RE2 class, which knows only ASCII blanks by name.
@@ -41,20 +42,20 @@ def marked(docs):
 SELECT doc_id, md5(cleaned) AS digest, length(cleaned)::INT AS length
 FROM (SELECT doc_id, {clean_sql(MARKED)} AS cleaned FROM documents)""")
 def clean_text(spark, d):
-    docs = v.table(spark, d, "documents")
+    docs = widen(v.table(spark, d, "documents"))
     cleaned = docs.select("doc_id", text.clean_text(marked(docs)).alias("cleaned"))
     return cleaned.select("doc_id", F.md5("cleaned").alias("digest"), F.length("cleaned").alias("length"))
 
 
 @query(f"""SELECT page_id, {clean_sql("url || ' ' || html")} AS cleaned FROM pages""")
 def clean_pages(spark, d):
-    pages = v.table(spark, d, "pages")
+    pages = widen(v.table(spark, d, "pages"))
     return pages.select("page_id", text.clean_text(F.concat("url", F.lit(" "), "html")).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {letters_sql('text')} AS letters FROM documents")
 def letter_count(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", text.count_chars("text", LETTERS).alias("letters"))
+    return widen(v.table(spark, d, "documents")).select("doc_id", text.count_chars("text", LETTERS).alias("letters"))
 
 
 @query(f"""
@@ -64,7 +65,7 @@ SELECT reason, count(*)::BIGINT AS count FROM (
               ELSE 'kept' END AS reason
   FROM (SELECT doc_id, {clean_sql("text")} AS cleaned FROM documents)) GROUP BY reason""")
 def reject_reasons(spark, d):
-    posts = v.table(spark, d, "documents").select(
+    posts = widen(v.table(spark, d, "documents")).select(
         F.when(F.col("doc_id") % 11 != 0, F.lit("2020-03-01 10:00:00").try_cast("timestamp_ntz")).alias("stamp"),
         text.clean_text("text").alias("cleaned"),
         F.when(F.col("doc_id") % 7 == 0, "未知").otherwise(F.col("source")).alias("province"),

@@ -9,6 +9,7 @@ from catalog.q_panels import monthly, weekly
 from feltgrid.domain import EMOTIONS
 from feltgrid.functions import dates, metrics
 from feltgrid.operators import dashboard, panels
+from feltgrid.operators.stage import stage
 
 
 def national(spark, d):
@@ -57,7 +58,7 @@ SELECT (SELECT sum(total_posts) FROM national)::BIGINT AS total_posts,
        (SELECT {short_range_sql("w")} FROM (SELECT min(date_week) AS w FROM national)) || ' - ' ||
        (SELECT {short_range_sql("w")} FROM (SELECT max(date_week) AS w FROM national)) AS week_range"""))
 def dashboard_metrics(spark, d):
-    return v.rounded(dashboard.dashboard_metrics(national(spark, d), vectors(spark, d)))
+    return v.rounded(dashboard.dashboard_metrics(stage(national(spark, d)), vectors(spark, d)))
 
 
 SEVERITY_RANK = "CASE severity WHEN 'extreme' THEN 3 WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END"
@@ -238,7 +239,7 @@ SELECT {short_range_sql("n.date_week")} AS week_range, {v.display_dominant_sql()
        (SELECT province FROM vectors ORDER BY round(emotional_intensity_mean, 12) DESC, province LIMIT 1) AS province,
        p.trend FROM national n JOIN period_delta p ON n.date_week = p.date_week"""))
 def story(spark, d):
-    return dashboard.story(national(spark, d), vectors(spark, d))
+    return dashboard.story(stage(national(spark, d)), vectors(spark, d))
 
 
 @query(v.with_(v.POSTS, v.NATIONAL, select=f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ NATIONAL_MIN = 30
 CAP = 10
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The scan of a table; kept, so that a query which reads it twice lists its files once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +43,7 @@ def _scores(key: Column, user: Column, nation: Column) -> dict[str, Column]:
     return {e: w.cast("double") / total for e, w in zip(EMOTIONS, weights)}
 
 
+@lru_cache(maxsize=8)
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as posts of customers, nations as provinces."""
     orders = table(spark, sf_dir, "orders")
@@ -64,6 +69,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts in 21 week buckets, the last one small."""
     docs = widen(table(spark, sf_dir, "documents"))

@@ -172,10 +172,15 @@ def score_error(columns: Sequence[Column | str] = tuple(domain.EMOTIONS)) -> Col
     )
 
 
-def sum_valid_rate(columns: Sequence[Column | str] = tuple(domain.EMOTIONS)) -> Column:
-    """Aggregate: share of rows whose scores sum to about one (missing scores count as 0)."""
+def sum_is_valid(columns: Sequence[Column | str] = tuple(domain.EMOTIONS)) -> Column:
+    """Whether six scores sum to about one; missing scores count as 0."""
     total = sum((F.coalesce(as_column(c), F.lit(0.0)) for c in columns), F.lit(0.0))
-    return F.round(F.avg((F.abs(total - 1.0) < domain.SUM_VALID_TOLERANCE).cast("double")), 4)
+    return F.abs(total - 1.0) < domain.SUM_VALID_TOLERANCE
+
+
+def sum_valid_rate(columns: Sequence[Column | str] = tuple(domain.EMOTIONS)) -> Column:
+    """Aggregate: share of rows with a valid score sum."""
+    return F.round(F.avg(sum_is_valid(columns).cast("double")), 4)
 
 
 def out_of_range(columns: Sequence[Column | str] = tuple(domain.EMOTIONS)) -> Column:

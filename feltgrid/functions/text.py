@@ -39,6 +39,10 @@ def blank_to_null(text: Column | str) -> Column:
     return F.when((text != "") & (text != "nan"), text)
 
 
+def has_text(text: Column | str) -> Column:
+    return F.coalesce(as_column(text).rlike("(?U)" + SOLID), F.lit(False))
+
+
 def clean_text(text: Column | str) -> Column:
     text = as_column(text)
     out = F.when(text == "nan", "").otherwise(F.coalesce(text, F.lit("")))

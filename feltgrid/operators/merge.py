@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.functions import metrics
 from feltgrid.operators.rows import beside
+from feltgrid.operators.stage import stage
 
 
 def _merge(old: DataFrame, new: DataFrame, order: Sequence[Column], key: str) -> DataFrame:
@@ -120,15 +121,19 @@ def quality_report(
 ) -> DataFrame:
     """One row of counts, score validity, distributions and drift of a merged set.
 
-    The week-province cell counts are taken from the posts once; province and week counts are
-    sums over the cells. Scores out of range are counted, not removed.
+    The merged posts are read once for a week-province cell table of counts and sums, which is
+    materialised; every distribution, rate and mean is then taken from the cells. Only the check
+    for repeated ids reads the posts' ids again. Scores out of range are counted, not removed.
     """
     n = F.count(F.lit(1))
-    in_list = F.col("province").isin(list(provinces))
-    cells = merged.groupBy("date_week", "province").agg(n.alias("_n"))
-    grid = cells.filter(in_list)
-    by_province = grid.groupBy("province").agg(F.sum("_n").alias("_n"))
-    by_week = cells.filter("date_week is not null").groupBy("date_week").agg(F.sum("_n").alias("_n"))
+
+    def sums() -> list[Column]:
+        return [F.sum(e).alias(f"{e}_sum") for e in domain.EMOTIONS] + [
+            F.count(e).alias(f"{e}_n") for e in domain.EMOTIONS
+        ]
+
+    def mean(e: str) -> Column:
+        return F.try_divide(F.sum(f"{e}_sum"), F.sum(f"{e}_n"))
 
     def zero(c: Column) -> Column:
         return F.coalesce(c, F.lit(0))
@@ -136,6 +141,25 @@ def quality_report(
     def median(c: str) -> Column:
         return F.coalesce(F.round(F.median(c), 1), F.lit(0.0))
 
+    cells = stage(merged.groupBy("date_week", "province").agg(
+        n.alias("_n"),
+        F.count(F.when(metrics.sum_is_valid(), 1)).alias("_valid"),
+        F.count(F.when(metrics.out_of_range(), 1)).alias("_out"),
+        *sums(),
+    ))
+    grid = cells.filter(F.col("province").isin(list(provinces)))
+    by_province = grid.groupBy("province").agg(F.sum("_n").alias("_n"))
+    by_week = cells.filter("date_week is not null").groupBy("date_week").agg(F.sum("_n").alias("_n"))
+    main = cells.agg(
+        zero(F.sum("_n")).alias("merged_total_rows"),
+        F.round(F.try_divide(F.sum("_valid"), F.sum("_n")), 4).alias("emotion_sum_valid_rate"),
+        zero(F.sum("_out")).alias("out_of_range_rows"),
+        *[mean(e).alias(f"{e}_mean") for e in domain.EMOTIONS],
+    ).withColumn("plan_rows", F.lit(plan_rows).cast("bigint"))
+    old_row = old.agg(n.alias("old_merged_rows"), *sums()).select(
+        "old_merged_rows",
+        *[F.try_divide(f"{e}_sum", f"{e}_n").alias(f"_{e}_old") for e in domain.EMOTIONS],
+    )
     province_row = by_province.agg(
         zero(F.min("_n")).alias("province_sample_min"), zero(F.max("_n")).alias("province_sample_max"),
         median("_n").alias("province_sample_median"), n.alias("province_count"),
@@ -152,24 +176,21 @@ def quality_report(
         zero(F.min("_n")).alias("grid_cell_min"), zero(F.max("_n")).alias("grid_cell_max"),
         median("_n").alias("grid_cell_median"),
     )
-    drift = emotion_drift(merged, old)
-    drift_row = drift.agg(F.coalesce(F.round(F.max(F.abs("drift")), 4), F.lit(0.0)).alias("max_emotion_drift"))
-    main = merged.agg(
-        n.alias("merged_total_rows"),
-        metrics.sum_valid_rate().alias("emotion_sum_valid_rate"),
-        F.count(F.when(metrics.out_of_range(), 1)).alias("out_of_range_rows"),
-        *[F.round(F.avg(e), 4).alias(f"{e}_mean") for e in domain.EMOTIONS],
-    ).withColumn("plan_rows", F.lit(plan_rows).cast("bigint"))
-    return beside(
+    report = beside(
         main,
-        old.agg(n.alias("old_merged_rows")),
+        old_row,
         new.agg(n.alias("new_labeled_rows")),
         id_overlap(old, new, key).agg(n.alias("duplicate_post_ids_removed")),
         duplicate_report(merged, key).select(F.col("duplicate_rows").alias("duplicate_post_ids_remaining")),
         province_row,
         week_row,
         grid_row,
-        drift_row,
+    )
+    drifts = [F.abs(F.round(F.col(f"{e}_mean") - F.col(f"_{e}_old"), 4)) for e in domain.EMOTIONS]
+    return (
+        report.withColumn("max_emotion_drift", F.coalesce(F.round(F.greatest(*drifts), 4), F.lit(0.0)))
+        .withColumns({f"{e}_mean": F.round(f"{e}_mean", 4) for e in domain.EMOTIONS})
+        .drop(*[f"_{e}_old" for e in domain.EMOTIONS])
     )
 
 
