@@ -6,6 +6,7 @@ from catalog import query
 from catalog import views as v
 from catalog.q_panels import weekly
 from feltgrid.operators import anomaly, panels
+from feltgrid.operators.stage import stage
 
 
 def series(spark, d):
@@ -55,7 +56,7 @@ SELECT e.date_week, e.emotion, e.severity,
 FROM events_z e LEFT JOIN contributions c ON e.date_week = c.date_week AND e.emotion = c.emotion
 GROUP BY e.date_week, e.emotion, e.severity"""))
 def anomaly_event_lists(spark, d):
-    lists = anomaly.with_contributors(events(spark, d), weekly(spark, d), v.MIN_POSTS)
+    lists = anomaly.with_contributors(stage(events(spark, d)), stage(weekly(spark, d)), v.MIN_POSTS)
     return lists.select(
         "date_week", "emotion", "severity",
         F.array_join(F.transform("top_provinces", lambda p: p.province), ",").alias("top_provinces"),

@@ -91,7 +91,7 @@ aligned AS (SELECT date_month, province, label, cluster::INT AS cluster FROM eli
 
 
 def month_labels(spark, d):
-    rows = cluster.eligible(monthly(spark, d), "total_posts", v.MIN_POSTS, MONTHLY_FEATURES)
+    rows = stage(cluster.eligible(monthly(spark, d), "total_posts", v.MIN_POSTS, MONTHLY_FEATURES))
     label = (F.substring("province", 8, 4).cast("int") + F.substring("date_month", 6, 2).cast("int")) % 3
     labelled = rows.select("date_month", "province", *MONTHLY_FEATURES, label.alias("label"))
     return cluster.align_by_risk(labelled).select("date_month", "province", "label", "cluster")

@@ -124,7 +124,7 @@ map_rows AS (SELECT * FROM month_rows UNION ALL
 SELECT province, source, total_posts, {v.round_cols(*v.ALL_MEANS, "emotional_intensity")},
        {v.display_dominant_sql()} AS dominant, {BUCKET} AS bucket FROM map_rows"""))
 def map_dataset(spark, d):
-    return v.rounded(dashboard.map_dataset(monthly(spark, d), vectors(spark, d)))
+    return v.rounded(dashboard.map_dataset(stage(monthly(spark, d)), vectors(spark, d)))
 
 
 @query(v.with_(v.POSTS, v.VECTORS, """

@@ -87,7 +87,7 @@ def status(spark, d):
 
 
 def week_words(spark, d):
-    return keywords.week_keywords(weights(spark, d), status(spark, d))
+    return keywords.week_keywords(stage(weights(spark, d)), status(spark, d))
 
 
 @query(v.with_(v.TEXTS, RAW_TOKENS, TOKENS, select="""
@@ -164,7 +164,7 @@ def by_emotion(spark, d, words):
 @query(v.with_(v.TEXTS, RAW_TOKENS, TOKENS, COUNTS, WEIGHTS, STATUS, KEYWORDS, WEEK_EMOTIONS, EMOTION_KEYWORDS, select="""
 SELECT emotion, rank::INT AS rank, word, avg_tfidf, peak_week, peak_tfidf FROM emotion_keywords"""))
 def emotion_keywords(spark, d):
-    return by_emotion(spark, d, week_words(spark, d))
+    return by_emotion(spark, d, stage(week_words(spark, d)))
 
 
 @query(v.with_(v.TEXTS, RAW_TOKENS, TOKENS, COUNTS, WEIGHTS, """

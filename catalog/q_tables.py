@@ -10,6 +10,7 @@ from catalog.q_cleaning import MARKED, clean_sql, letters_sql, marked
 from catalog.q_panels import monthly, weekly
 from catalog.q_scoring import LEXICON, docs
 from feltgrid.operators import panels, sampling, scoring
+from feltgrid.operators.stage import stage
 from feltgrid.plans import build
 from feltgrid.sources import manifest as bundle
 from feltgrid.sources import tables
@@ -52,7 +53,7 @@ def mini_dataset(spark, d):
         v.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     users = known.select(F.col("c_custkey").cast("string").alias("user_id"), F.col("n_name").alias("province"),
                          F.lit("").alias("city"), F.lit("").alias("gender"))
-    sampled = sampling.exact_sample(posts, MINI_TARGETS, key="_id", order=v.arithmetic_draw("doc_id"))
+    sampled = stage(sampling.exact_sample(posts, MINI_TARGETS, key="_id", order=v.arithmetic_draw("doc_id")))
     judged = build.judge_posts(sampled, users, char_class=r"\p{L}")
     return judged.select(
         "post_id", "user_id", "date_week", "province", F.md5("content_clean").alias("digest"), "word_count",

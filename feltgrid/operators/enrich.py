@@ -11,6 +11,7 @@ from feltgrid import domain
 from feltgrid.functions import dates, text
 from feltgrid.operators.rows import beside
 from feltgrid.operators.skew import salted_left_join, smallest_per_group
+from feltgrid.operators.stage import stage
 
 
 def attach_province(
@@ -164,7 +165,11 @@ def feasibility(
     min_provinces: int = 20,
     min_rate: float = 0.80,
 ) -> DataFrame:
-    """One row: can province panels be built, at which granularity, and the warnings."""
+    """One row: can province panels be built, at which granularity, and the warnings.
+
+    ``counts`` comes from ``province_counts``; it is small, read three times and so materialised.
+    """
+    counts = stage(counts)
     cells = (
         counts.filter(F.col("province").isin(list(provinces)) & F.col("date_week").isNotNull())
         .groupBy("province", "date_week")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.functions import dates, text
 from feltgrid.operators import anomaly, cluster, enrich, keywords, panels, sampling
+from feltgrid.operators.stage import stage
 from feltgrid.sources.tables import require_columns, write_panel
 
 
@@ -47,8 +48,11 @@ def mini_dataset(
     keep_unknown: bool = False,
     char_class: str = text.ZH_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(kept posts, rows per reject reason)``. Sampling comes before the filters."""
-    sampled = sampling.exact_sample(posts, targets, key="_id")
+    """``(kept posts, rows per reject reason)``. Sampling comes before the filters.
+
+    The sample is bounded by its targets and several steps read it, so it is materialised.
+    """
+    sampled = stage(sampling.exact_sample(posts, targets, key="_id"))
     judged = judge_posts(sampled, users, keep_unknown, char_class)
     kept = judged.filter("reject_reason is null").drop("reject_reason")
     log = judged.filter("reject_reason is not null").groupBy("reject_reason").agg(
@@ -86,9 +90,9 @@ def build_keywords(labelled: DataFrame, directory: str, dictionary: DataFrame |
     path = f"{directory}/week_term_counts"
     write_panel(keywords.week_term_counts(keywords.tokenise(labelled, dictionary=dictionary)), path)
     counts = spark.read.parquet(path)
-    weights = keywords.tfidf(counts)
+    weights = stage(keywords.tfidf(counts))
     status = keywords.week_status(labelled, min_posts)
-    week = keywords.week_keywords(weights, status)
+    week = stage(keywords.week_keywords(weights, status))
     emotions = keywords.week_emotions(labelled)
     return {
         "week_keywords": week,
