@@ -103,9 +103,10 @@ def pearson_r(df: DataFrame, x: str, y: str) -> DataFrame:
     def finite(c: Column) -> Column:
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
-    usable = (F.count(F.lit(1)) >= 2) & (F.var_pop("x") > 0) & (F.var_pop("y") > 0)
+    # ``corr`` itself fails in ANSI mode when a variance is 0.
+    r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))
     return df.filter(finite(x) & finite(y)).select(x.alias("x"), y.alias("y")).agg(
-        F.count(F.lit(1)).alias("pairs"), F.when(usable, F.corr("x", "y")).alias("pearson_r")
+        F.count(F.lit(1)).alias("pairs"), F.when(F.count(F.lit(1)) >= 2, r).alias("pearson_r")
     )
 
 
