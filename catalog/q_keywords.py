@@ -259,7 +259,30 @@ def emotion_week_keywords(spark, d):
     return keywords.emotion_week_keywords(by_emotion(spark, d, words), words, usable)
 
 
-@query(v.with_(v.TEXTS, select="""
-SELECT province, md5(string_agg(content_clean, ' ' ORDER BY post_id)) AS digest FROM texts GROUP BY 1"""))
-def concatenated_texts(spark, d):
-    return keywords.concatenated_texts(v.texts(spark, d), "province").select("province", F.md5("text").alias("digest"))
+@query(v.with_(v.TEXTS, RAW_TOKENS, select="""
+SELECT province, count(*)::BIGINT AS posts, sum(length(content_clean))::BIGINT AS characters,
+       (SELECT count(*) FROM raw_tokens t WHERE t.province = x.province)::BIGINT AS tokens
+FROM texts x GROUP BY province"""))
+def text_volume(spark, d):
+    return keywords.text_volume(v.texts(spark, d), "province", PATTERN)
+
+
+@query(v.with_(v.TEXTS, RAW_TOKENS, TOKENS, COUNTS, WEIGHTS, STATUS, KEYWORDS, LISTS, WEEK_EMOTIONS, select="""
+SELECT s.date_week, s.total_posts, s.status,
+       (SELECT string_agg(emotion, ',' ORDER BY rank) FROM week_emotions e WHERE e.date_week = s.date_week AND rank <= 3) AS top_emotions,
+       (SELECT string_agg(word, ',' ORDER BY rank) FROM keywords k WHERE k.date_week = s.date_week) AS keywords,
+       (SELECT string_agg(word, ',' ORDER BY list_rank) FROM lists l WHERE l.date_week = s.date_week AND list_kind = 'top') AS top_keywords,
+       (SELECT string_agg(word, ',' ORDER BY list_rank) FROM lists l WHERE l.date_week = s.date_week AND list_kind = 'frequent') AS frequent_keywords
+FROM status s"""))
+def nested_week_keywords(spark, d):
+    words = stage(week_words(spark, d))
+    emotions = keywords.week_top_emotions(keywords.week_emotions(v.texts(spark, d)))
+    nested = keywords.nested_week_keywords(status(spark, d), words, keywords.keyword_lists(words), emotions)
+
+    def joined(column):
+        return F.array_join(F.transform(column, lambda k: k.word), ",").alias(column)
+
+    return nested.select(
+        "date_week", "total_posts", "status", F.array_join("top_emotions", ",").alias("top_emotions"),
+        joined("keywords"), joined("top_keywords"), joined("frequent_keywords"),
+    )

@@ -11,6 +11,7 @@ from feltgrid.functions import dates, metrics, text
 from feltgrid.functions.metrics import MEANS
 from feltgrid.operators import anomaly
 from feltgrid.operators.rows import beside
+from feltgrid.operators.stage import broadcast_if_small, stage
 
 MEANS_ALL = [f"{e}_mean_all" for e in domain.EMOTIONS]
 
@@ -87,7 +88,8 @@ def top_posts(
     """The ``top`` posts of each region and emotion by that emotion's score.
 
     Ids and scores alone are ranked, and the small literal bound prunes them before the shuffle.
-    Content is looked up afterwards for the chosen posts.
+    Content is looked up afterwards for the chosen posts, which are few, so the texts themselves
+    are not shuffled.
     """
     # A search for one solid character ends early, whatever the length of the text.
     usable = posts.filter(text.has_text(region) & text.has_text(content))
@@ -95,12 +97,11 @@ def top_posts(
         [key, region], domain.EMOTIONS, "emotion", "score"
     )
     rank = F.row_number().over(W.partitionBy(region, "emotion").orderBy(F.col("score").desc(), key))
-    chosen = long.withColumn("rank", rank).filter(F.col("rank") <= top)
+    chosen = stage(long.withColumn("rank", rank).filter(F.col("rank") <= top))
     scores = F.create_map(*[x for e in domain.EMOTIONS for x in (F.lit(e), F.col(e))])
     details = [c for c in ("date_week", "date_month") if c in posts.columns]
-    return chosen.join(
-        usable.select(key, *details, F.col(content).alias("content"), scores.alias("scores")), key
-    )
+    looked_up = usable.select(key, *details, F.col(content).alias("content"), scores.alias("scores"))
+    return looked_up.join(broadcast_if_small(chosen), key)
 
 
 def province_series(weekly: DataFrame, province: str, region: str = "province") -> DataFrame:

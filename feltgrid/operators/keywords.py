@@ -15,6 +15,7 @@ from feltgrid.functions import text
 from feltgrid.functions.metrics import stable_round
 from feltgrid.operators import dashboard
 from feltgrid.operators.rows import beside
+from feltgrid.operators.stage import broadcast_if_small
 
 TEXT_COLUMNS = ["content_clean", "content_raw", "content"]
 CJK_RUN = r"[一-鿿]+"
@@ -67,7 +68,7 @@ def tokenise(
     if dictionary is None:
         tokens = tokens.withColumn("pos", F.lit(""))
     else:
-        entries = dictionary.groupBy("word").agg(F.min("pos").alias("pos"))
+        entries = broadcast_if_small(dictionary.groupBy("word").agg(F.min("pos").alias("pos")))
         tokens = tokens.join(entries, "word", "left")
         if pattern is None:
             tokens = tokens.filter(~F.col("_run") | F.col("pos").isNotNull())
@@ -116,6 +117,8 @@ def tfidf(counts: DataFrame, max_terms: int = domain.MAX_TERMS, max_df: float =
           week: str = "date_week") -> DataFrame:
     """L2-normalised TF-IDF per week over the kept vocabulary.
 
+    ``counts`` is read three times, so pass it staged or from a table.
+
     Each week has at most ``max_terms`` terms here, so the norm's window is bounded, and the
     vocabulary's size limit allows its broadcast.
     """
@@ -324,15 +327,39 @@ def province_terms(posts: DataFrame, top: int = 6, size: int = 80, pattern: str
     return term_frequencies(tokenise(chosen, pattern, keep=("province",), filtered=False), "province", size)
 
 
-def concatenated_texts(posts: DataFrame, key: str, order: str = "post_id") -> DataFrame:
-    """All texts of each key joined by blanks, in ``order``.
+def text_volume(posts: DataFrame, key: str, pattern: str | None = None) -> DataFrame:
+    """Posts, characters and raw tokens of all texts of each key.
 
-    One value per key holds all its text, so ask for it only for keys of modest size;
-    ``term_frequencies`` needs no such value.
+    The texts of a key are never put together into one value: a key may hold a third of all texts,
+    and its tokens can be counted where they are.
     """
-    column = text_column(posts)
-    parts = F.array_sort(F.collect_list(F.struct(order, column)))
-    return posts.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[column]), " ").alias("text"))
+    sizes = posts.groupBy(key).agg(
+        F.count(F.lit(1)).alias("posts"), F.sum(F.length(text_column(posts))).alias("characters")
+    )
+    tokens = tokenise(posts, pattern, keep=(key,), filtered=False).groupBy(key).agg(
+        F.count(F.lit(1)).alias("tokens")
+    )
+    return sizes.join(tokens, key, "left").na.fill(0, ["characters", "tokens"])
+
+
+def nested_week_keywords(status: DataFrame, keywords: DataFrame, lists: DataFrame, top_emotions: DataFrame,
+                         week: str = "date_week") -> DataFrame:
+    """One row per week for export: status, emotions and the keyword arrays of a usable week."""
+    fields = ["rank", "word", "tf", "tfidf", "global_tfidf", "surge", "surge_ratio", "pos"]
+    entry = F.struct(*fields)
+
+    def in_order(condition: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, entry)))
+
+    # At most 80 and 3 x 30 entries per week.
+    full = keywords.groupBy(week).agg(in_order(F.lit(True)).alias("keywords"))
+    kinds = ["top", "frequent", "surge"]
+    by_kind = lists.groupBy(week).agg(
+        *[in_order(F.col("list_kind") == k).alias(f"{k}_keywords") for k in kinds]
+    )
+    return (
+        status.join(top_emotions, week, "left").join(full, week, "left").join(by_kind, week, "left")
+    )
 
 
 def event_keywords(events: DataFrame, keywords: DataFrame, size: int = 3, week: str = "date_week") -> DataFrame:

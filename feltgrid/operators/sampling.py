@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.operators import enrich
 from feltgrid.operators.skew import smallest_per_group
+from feltgrid.operators.stage import broadcast_if_small, stage
 
 SEED = 42
 DRAW_BITS = 31
@@ -40,19 +41,23 @@ def exact_sample(
     )
 
 
-def _pick(candidates: DataFrame, cells: DataFrame, keys: Sequence[str], wanted: str, cap: int,
-          order: Column, key: str) -> DataFrame:
-    """The ``wanted`` first rows by draw of each cell.
+def _pick(mini: DataFrame, labelled: DataFrame, cells: DataFrame, keys: Sequence[str], wanted: str, cap: int,
+          order: Column, key: str = "post_id") -> DataFrame:
+    """The ``wanted`` first unlabelled rows by draw of each cell.
 
+    Only ids and cell keys are shuffled and ranked; the texts are looked up for the chosen ids.
     No cell wants more than ``cap`` rows, and that literal bound lets Spark prune every task to
-    ``cap`` rows per cell before the shuffle (up to its own limit on such bounds).
+    ``cap`` rows per cell before the shuffle (up to its own limit on such bounds). Ids are unique
+    in ``mini``; see ``merge.drop_duplicates``.
     """
+    candidates = enrich.unlabelled(mini.select(key, *keys), labelled, key)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("_draw", key))
     ranked = (
         candidates.withColumn("_draw", order).withColumn("_rank", rank).filter(F.col("_rank") <= cap)
     )
     wanting = cells.filter(F.col(wanted) > 0).select(*keys, F.col(wanted).alias("_wanted"))
-    return ranked.join(wanting, list(keys)).filter("_rank <= _wanted").drop("_draw", "_rank", "_wanted")
+    chosen = stage(ranked.join(wanting, list(keys)).filter("_rank <= _wanted").select(key))
+    return mini.join(broadcast_if_small(chosen), key, "left_semi")
 
 
 def month_cap_cells(
@@ -87,9 +92,9 @@ def month_cap_plan(
 ) -> DataFrame:
     """Unlabelled posts that fill each month-province cell up to the cap."""
     cells = month_cap_cells(mini, labelled, cap, provinces)
-    candidates = enrich.unlabelled(mini.filter(F.col("province").isin(list(provinces))), labelled)
-    return _pick(candidates, cells, ["date_month", "province"], "planned_new", cap,
-                 draw() if order is None else order, "post_id")
+    valid = mini.filter(F.col("province").isin(list(provinces)))
+    return _pick(valid, labelled, cells, ["date_month", "province"], "planned_new", cap,
+                 draw() if order is None else order)
 
 
 def week_cap_plan(
@@ -102,9 +107,8 @@ def week_cap_plan(
     """Unlabelled posts that fill each existing week-province cell up to the cap."""
     cells = enrich.cell_status(mini, labelled, cap, provinces)
     valid = F.col("province").isin(list(provinces))
-    candidates = enrich.unlabelled(mini.filter(valid), labelled.filter(valid))
-    return _pick(candidates, cells, ["date_week", "province"], "to_sample", cap,
-                 draw() if order is None else order, "post_id")
+    return _pick(mini.filter(valid), labelled.filter(valid), cells, ["date_week", "province"], "to_sample", cap,
+                 draw() if order is None else order)
 
 
 def plan_summary(cells: DataFrame, reliable: int = domain.MIN_POSTS_RELIABLE) -> DataFrame:

@@ -3,22 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a local session may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="feltgrid-stage-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back from there.
+    """``df`` written as a table to the cluster's shared folder and read back.
+
+    No later step repeats the work before it, and lost executors cost nothing that was staged.
+    The table's size is known, so Spark's own size limit decides whether a join broadcasts it.
+    """
+    path = f"{stage_folder(df.sparkSession).rstrip('/')}/feltgrid/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, which are counted.
 
-    The result survives lost executors and no step after it repeats the work before it. The
-    folder comes from ``spark.checkpoint.dir``; only a local session without one gets its own.
+    A larger table is returned without the hint and is joined by a shuffle. Pass a staged table or
+    a plain scan, as the count reads it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="feltgrid-checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -90,11 +90,11 @@ def test_emotion_keywords_fall_back_to_dominant(spark):
     assert out["joy", "aa"].peak_week == "w1" and out["fear", "aa"].peak_week == "w2" and out["joy", "aa"].avg_tfidf == 0.5
 
 
-def test_first_pos_and_concatenation(spark):
+def test_first_pos_and_text_volume(spark):
     tokens = spark.createDataFrame([("w1", "aa", "v", 2), ("w1", "aa", "n", 1)], "date_week string, word string, pos string, at int")
     assert keywords.first_pos(tokens, "at").first().pos == "n"
-    df = spark.createDataFrame([(2, "w1", "b"), (1, "w1", "a")], "post_id int, date_week string, content_clean string")
-    assert keywords.concatenated_texts(df, "date_week").first().text == "a b"
+    df = spark.createDataFrame([("w1", "天空 x"), ("w1", "yes"), ("w2", None)], "date_week string, content_clean string")
+    assert {tuple(r) for r in keywords.text_volume(df, "date_week").collect()} == {("w1", 2, 7, 3), ("w2", 1, 0, 0)}
 
 
 def test_hot_week_is_combined_before_the_shuffle(spark):
