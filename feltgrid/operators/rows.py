@@ -12,9 +12,10 @@ def beside(df: DataFrame, *one_row: DataFrame) -> DataFrame:
     Each table becomes one scalar subquery that returns a struct, so nothing is shuffled or
     joined; a table with more than one row is an error at run time.
     """
-    for i, part in enumerate(one_row):
-        name = f"_part{i}"
-        df = df.withColumn(name, part.select(F.struct(*part.columns)).scalar()).select(
-            *df.columns, *[F.col(f"{name}.{c}").alias(c) for c in part.columns]
-        )
-    return df
+    parts = [
+        part.select(F.struct(*part.columns)).scalar().alias(f"_part{i}") for i, part in enumerate(one_row)
+    ]
+    flat = [
+        F.col(f"_part{i}.{c}").alias(c) for i, part in enumerate(one_row) for c in part.columns
+    ]
+    return df.select("*", *parts).select(*df.columns, *flat)
