@@ -1,7 +1,5 @@
 """End-to-end mini data set, dashboard coercion, the export bundle and the scoring stream."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -10,7 +8,7 @@ from catalog.q_cleaning import MARKED, clean_sql, letters_sql, marked
 from catalog.q_panels import monthly, weekly
 from catalog.q_scoring import LEXICON, docs
 from feltgrid.operators import panels, sampling, scoring
-from feltgrid.operators.stage import stage
+from feltgrid.operators.stage import new_path, stage
 from feltgrid.plans import build
 from feltgrid.sources import manifest as bundle
 from feltgrid.sources import tables
@@ -87,10 +85,14 @@ def dashboard_coercion(spark, d):
     return typed.withColumn("balance", F.round("balance", 2))
 
 
-@query()
+@query(v.with_(v.POSTS, select="""
+SELECT 'emotion_panel_weekly' AS source, count(DISTINCT (date_week, region))::BIGINT AS row_count, 12 AS hash_length, true AS has_bytes FROM posts
+UNION ALL SELECT 'emotion_panel_monthly', count(DISTINCT (date_month, province))::BIGINT, 12, true FROM posts
+UNION ALL SELECT 'emotion_national_timeline', count(DISTINCT date_week)::BIGINT, 12, true FROM posts
+UNION ALL SELECT 'province_emotion_vectors', count(DISTINCT province)::BIGINT, 12, true FROM posts"""))
 def export_manifest(spark, d):
-    """Panels exported as files and described by the manifest."""
-    folder = tempfile.mkdtemp(prefix="feltgrid-export-")
+    """Panels exported as files and described by the manifest; file names and hashes vary by run."""
+    folder = new_path(spark)
     posts = v.posts(spark, d)
     bundle.export_bundle({
         "emotion_panel_weekly": weekly(spark, d),
@@ -98,13 +100,15 @@ def export_manifest(spark, d):
         "emotion_national_timeline": panels.national_timeline(posts),
         "province_emotion_vectors": panels.province_vectors(posts, None),
     }, folder)
-    return bundle.manifest(spark, folder)
+    return bundle.manifest(spark, folder).select(
+        "source", "row_count", F.length("hash").alias("hash_length"), (F.col("size_bytes") > 0).alias("has_bytes")
+    )
 
 
 @query("SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids FROM documents")
 def scoring_stream(spark, d):
     """Documents scored as a file stream, run twice: the second run finds nothing new."""
-    folder = tempfile.mkdtemp(prefix="feltgrid-stream-")
+    folder = new_path(spark)
     source = f"{folder}/in"
     docs(spark, d).write.parquet(source)
     for _ in range(2):

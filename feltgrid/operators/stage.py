@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,24 +12,33 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="feltgrid-stage-")
+
+
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local session may go without one."""
+    """The shared folder named by ``spark.checkpoint.dir``; only a local session may go without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="feltgrid-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing uses yet."""
+    return f"{stage_folder(spark).rstrip('/')}/feltgrid/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the cluster's shared folder and read back.
 
     No later step repeats the work before it, and lost executors cost nothing that was staged.
     The table's size is known, so Spark's own size limit decides whether a join broadcasts it.
     """
-    path = f"{stage_folder(df.sparkSession).rstrip('/')}/feltgrid/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
