@@ -69,11 +69,17 @@ def test_entry(spark):
 
 
 def test_hot_selections_are_pruned_before_the_shuffle(spark):
-    for name in ("stratified_pick_week", "merge_best_status", "top_posts_per_region_emotion", "user_scan"):
+    for name in ("merge_best_status", "spread_smoke", "user_scan", "province_top_emotions"):
         plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan, name
 
 
+def test_texts_are_not_shuffled_for_chosen_ids(spark):
+    for name in ("stratified_pick_week", "top_posts_per_region_emotion"):
+        plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan, name
+
+
 def test_scans_read_only_needed_columns(spark):
     plan = contract.queries()["largest_provinces"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "c_acctbal" not in plan
