@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate
+from feltgrid.llm import decontaminate, packing
 from feltgrid.llm.frames import joined_ids
 
 
@@ -50,8 +50,12 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op5_decontaminate": op5_decontaminate}
+    return {f.__name__: f for f in (op3_packing, op5_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
