@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, packing
+from feltgrid.llm import decontaminate, packing, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -54,9 +54,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    id_type = pages.schema["page_id"].dataType
+    found = warc.records(warc.read_archives(warc.write_archives(pages), payloads=False))
+    return found.select(
+        F.col("page_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(id_type).alias("refers_to"),
+    )
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+r AS (SELECT html, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY html)
+SELECT page_id, payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN r ON p.html = r.html
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_decontaminate)}
+    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
