@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, packing, warc
+from feltgrid.llm import decontaminate, fingerprint, packing, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -74,8 +74,12 @@ FROM p LEFT JOIN r ON p.html = r.html
 """
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op9_warc)}
+    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
