@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, packing, warc
+from feltgrid.llm import decontaminate, fingerprint, packing, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -78,8 +78,23 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def crc_remainder(key, folds: int):
+    """CRC-32 of an id written as text, modulo ``folds``."""
+    return F.crc32(key.cast("string").cast("binary")) % folds
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=lambda key: crc_remainder(key, 3) != 1
+    )
+    return scored.select(
+        "doc_id", F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op7_toxicity, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
