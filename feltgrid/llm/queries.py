@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, packing, toxicity, warc
+from feltgrid.llm import decontaminate, fingerprint, packing, quality, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -93,8 +93,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "keep")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op7_toxicity, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
