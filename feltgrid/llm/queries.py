@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, packing, quality, toxicity, warc
+from feltgrid.llm import decontaminate, fingerprint, packing, quality, secrets, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -97,9 +97,46 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "keep")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
+        F.col("all_spans").alias("spans"), "n_live", "n_copied",
+    )
+
+
+def _matches_sql(rank: int, kind: secrets.Kind) -> str:
+    """SQL for one kind's spans: a list of (start, rank, kind, end, value)."""
+    p = kind.pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(text, '{p}', 0)) + 1), lambda i: struct_pack(
+        s := list_sum(list_transform(regexp_split_to_array(text, '{p}')[1:i], lambda x: length(x)))::BIGINT
+             + coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}', 0)[1:i - 1], lambda x: length(x))), 0)::BIGINT,
+        r := {rank}, k := '{kind.name}', n := length(regexp_extract_all(text, '{p}', 0)[i])::BIGINT,
+        v := regexp_extract_all(text, '{p}', {kind.group})[i])), lambda m: length(m.v) >= {kind.least})"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, source, list_sort(list_concat(list_concat({_matches_sql(0, secrets.BASE_KINDS[0])}, {_matches_sql(1, secrets.BASE_KINDS[1])}),
+        list_concat(list_concat({_matches_sql(2, secrets.BASE_KINDS[2])}, {_matches_sql(3, secrets.MORE_KINDS[0])}),
+        list_concat({_matches_sql(4, secrets.MORE_KINDS[1])}, {_matches_sql(5, secrets.MORE_KINDS[2])})))) AS spans FROM d),
+occurrence AS (SELECT doc_id, source, unnest(spans) AS m FROM f),
+owners AS (SELECT m.v AS v, count(DISTINCT source) AS n FROM occurrence GROUP BY m.v),
+verdict AS (SELECT doc_id, count(*) FILTER (WHERE n <= {secrets.MAX_OWNERS}) AS n_live, count(*) FILTER (WHERE n > {secrets.MAX_OWNERS}) AS n_copied
+            FROM occurrence JOIN owners ON m.v = owners.v GROUP BY doc_id)
+SELECT f.doc_id, len(list_filter(spans, lambda m: m.r = 0)) AS n_assign, len(list_filter(spans, lambda m: m.r = 1)) AS n_access,
+       len(list_filter(spans, lambda m: m.r = 2)) AS n_hex,
+       sha256(array_to_string(list_transform(list_filter(spans, lambda m: m.r < 3), lambda m: m.k || ':' || m.s || ':' || (m.s + m.n)), ',')) AS base_sha256,
+       array_to_string(list_transform(spans, lambda m: m.k || ':' || m.s || ':' || (m.s + m.n)), ',') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM f LEFT JOIN verdict USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op2_secrets, op3_packing, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
