@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, packing, quality, secrets, toxicity, warc
+from feltgrid.llm import decontaminate, fingerprint, html, packing, quality, secrets, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -134,8 +134,12 @@ FROM f LEFT JOIN verdict USING (doc_id)
 """
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secrets, op3_packing, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op2_secrets, op3_packing, op4_html, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
