@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, html, packing, quality, secrets, toxicity, warc
+from feltgrid.llm import decontaminate, fingerprint, html, jaccard, packing, quality, secrets, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), jaccard.Link(words=3, part=90, whole=100))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -139,7 +143,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secrets, op3_packing, op4_html, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_packing, op4_html, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
