@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, html, jaccard, packing, quality, secrets, toxicity, warc
+from feltgrid.llm import decontaminate, fingerprint, html, jaccard, lm, packing, quality, secrets, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -87,6 +87,10 @@ def crc_remainder(key, folds: int):
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), held_out=lambda key: crc_remainder(key, 7) == 2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=lambda key: crc_remainder(key, 3) != 1
@@ -143,7 +147,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_packing, op4_html, op5_decontaminate, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_packing, op4_html, op5_decontaminate, op6_lm_score, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
