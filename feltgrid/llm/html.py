@@ -7,20 +7,20 @@ differ from page to page matter, blocks that return on many pages do not. Branch
 removed from each page, and so are branches that their tag or class declares to be no content.
 
 Only hashes of nodes and blocks are aggregated, with partial sums, so one host with a third of all pages is
-no larger a group than any other. Pages are compressed and joined once with the list of their weak nodes.
+no larger a group than any other. The weak nodes of a host are parts of its templates, a short list, and
+are joined to its pages by a plain join: Spark broadcasts the table if it is small and splits hot hosts if not.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feltgrid.llm.frames import column, slices, texts
@@ -177,25 +177,28 @@ def parse(source: str) -> Page:
     return Page(blocks, layouts, has_article)
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/?#]*)", url or "")
-    return m[1].lower().rsplit(":", 1)[0] if m else ""
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, "" if there is none."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 # --- The tree -------------------------------------------------------------------------------
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """Distinct (host, _page, node, kind, feature) of every page; kinds are content and layout."""
+    """(host, node, kind, feature), each once for a page; kinds are content, layout and page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             rows: dict[str, list] = {k: [] for k in ("host", "node", "kind", "feature")}
-            for url, source in zip(column(batch, "url"), texts(batch, "html")):
-                page, host = parse(source), host_of(url)
-                content = {(n, _hash(b.text)) for b in page.blocks for n in b.path}
-                found = {(n, "content", f) for n, f in content} | {(n, "layout", f) for n, f in page.layouts}
-                found |= {(n, "page", 0) for b in page.blocks for n in b.path} | {(n, "page", 0) for n, _ in page.layouts}
+            for host, source in zip(column(batch, "host"), texts(batch, "html")):
+                page = parse(source)
+                found = {(n, "layout", f) for n, f in page.layouts} | {(n, "page", 0) for n, _ in page.layouts}
+                for b in page.blocks:
+                    f = _hash(b.text)
+                    # The element that holds a block, and the branch that holds the element.
+                    for n in b.path[-2:]:
+                        found |= {(n, "content", f), (n, "page", 0)}
                 for n, kind, f in found:
                     for k, v in zip(rows, (host, n, kind, f)):
                         rows[k].append(v)
@@ -204,7 +207,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 "kind": pa.array(rows["kind"], pa.string()), "feature": pa.array(rows["feature"], pa.int64()),
             })
 
-    return pages.select("url", "html").mapInArrow(run, "host string, node long, kind string, feature long")
+    return pages.select("host", "html").mapInArrow(run, "host string, node long, kind string, feature long")
 
 
 def node_entropies(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,7 +238,7 @@ def importance(pages: DataFrame) -> DataFrame:
     own = node_entropies(counts, ["host", "node"])
     every = node_entropies(counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"])
 
-    def mixed(df: DataFrame) -> F.Column:
+    def mixed(df: DataFrame) -> Column:
         return PRESENTATION_SHARE * F.col("layout") + (1 - PRESENTATION_SHARE) * F.col("content")
 
     own = own.select("host", "node", "m", mixed(own).alias("own"))
@@ -263,39 +266,25 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     A null page is empty and gives an empty text; a null url or one without a host belongs to the host
     "". Repeated rows get equal texts, but count as pages of their own. Text is never cut or sampled.
     """
-    key = F.xxhash64(F.col(page_id), F.col(url), F.col(payload))
-    pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), key.alias("_page"))
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    marked = importance(pages)
-    weak = marked.filter(F.col("importance") < WEAK).select("host", "node", (F.col("importance") < WEAK_IN_ARTICLE).alias("very"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each page compressed, with its host and the nodes that have blocks."""
-        for batch in slices(batches, "html"):
-            sources = texts(batch, "html")
-            nodes = [sorted({n for b in parse(s).blocks for n in b.path}) for s in sources]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in ("_page", "page_id", "url")), pa.array([host_of(u) for u in column(batch, "url")]),
-                 pa.array(nodes, pa.list_(pa.int64())), pa.array([zlib.compress(s.encode(), 3) for s in sources], pa.binary())],
-                ["_page", "page_id", "url", "host", "nodes", "data"],
-            )
-
-    packed = pages.mapInArrow(pack, f"_page long, page_id {id_type}, url string, host string, nodes array<long>, data binary")
-    met = packed.select("_page", "host", F.explode("nodes").alias("node")).distinct()
-    found = met.join(weak, ["host", "node"]).groupBy("_page").agg(
-        F.collect_list("node").alias("weak"), F.collect_list(F.when(F.col("very"), F.col("node"))).alias("very")
+    pages = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), host_of(F.col(url)).alias("host")
     )
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    marked = importance(pages).filter(F.col("importance") < WEAK)
+    weak = stage(marked.groupBy("host").agg(
+        F.collect_list("node").alias("weak"), F.collect_list(F.when(F.col("importance") < WEAK_IN_ARTICLE, F.col("node"))).alias("very")
+    ))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             out = [
-                main_text(zlib.decompress(d).decode(), set(w or ()), set(v or ()))
-                for d, w, v in zip(*(column(batch, c) for c in ("data", "weak", "very")))
+                main_text(source, set(w or ()), set(v or ()))
+                for source, w, v in zip(texts(batch, "html"), column(batch, "weak"), column(batch, "very"))
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(out, pa.string()),
                  pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = packed.select("_page", "page_id", "url", "data").join(found, "_page", "left")
-    return joined.select("page_id", "url", "data", "weak", "very").mapInArrow(finish, f"page_id {id_type}, url string, text string, n_chars long")
+    joined = pages.join(weak, "host", "left")
+    return joined.select("page_id", "url", "html", "weak", "very").mapInArrow(finish, f"page_id {id_type}, url string, text string, n_chars long")
