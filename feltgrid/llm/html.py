@@ -186,7 +186,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature), each once for a page; kinds are content, layout and page."""
+    """(host, node, kind, feature), each once for a page; kinds are content, layout, page and under (the feature is then a branch that holds the node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -195,10 +195,9 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 page = parse(source)
                 found = {(n, "layout", f) for n, f in page.layouts} | {(n, "page", 0) for n, _ in page.layouts}
                 for b in page.blocks:
-                    f = _hash(b.text)
-                    # The element that holds a block, and the branch that holds the element.
-                    for n in b.path[-2:]:
-                        found |= {(n, "content", f), (n, "page", 0)}
+                    found.add((b.path[-1], "content", _hash(b.text)))
+                    for n in b.path:
+                        found |= {(b.path[-1], "under", n), (n, "page", 0)}
                 for n, kind, f in found:
                     for k, v in zip(rows, (host, n, kind, f)):
                         rows[k].append(v)
@@ -210,43 +209,40 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(run, "host string, node long, kind string, feature long")
 
 
-def node_entropies(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pages, content importance and layout importance of each node from the pages of its features.
+def node_importance(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, importance) of each node, from the number of pages of each of its features.
 
-    With m pages, a block on n of them has the entropy log n / log m: 1 if it is on all. Content importance
-    is 1 less the mean over the blocks met, page by page. Layout importance is the entropy of the layouts.
+    With m pages, a block on n of them has the entropy log n / log m: 1 if it is on all. The content
+    importance of a branch is 1 less the mean over the blocks met in it, page by page. Its layout
+    importance is the entropy of the orders of its children.
     """
-    pages = F.max(F.when(F.col("kind") == "page", F.col("n")))
     content, layout = F.col("kind") == "content", F.col("kind") == "layout"
-    sums = counts.groupBy(*keys).agg(
-        pages.alias("m"),
+    sums = counts.filter(F.col("kind") != "under").groupBy(*keys).agg(
+        F.max(F.when(F.col("kind") == "page", F.col("n"))).alias("m"),
         F.sum(F.when(content, F.col("n") * F.log("n"))).alias("repeated"), F.sum(F.when(content, F.col("n"))).alias("blocks"),
         F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("alike"), F.sum(F.when(layout, F.col("n"))).alias("layouts"),
     )
-    scale = F.when(F.col("m") > 1, F.log("m"))
-    mean_content = F.coalesce(1 - F.col("repeated") / F.col("blocks") / scale, F.lit(1.0))
-    mean_layout = F.coalesce((F.log("layouts") - F.col("alike") / F.col("layouts")) / F.log("layouts"), F.lit(0.0))
-    return sums.select(
-        *keys, "m", F.greatest(F.lit(0.0), mean_content).alias("content"),
-        F.when(F.col("layouts") > 1, F.least(F.lit(1.0), mean_layout)).otherwise(0.0).alias("layout"),
-    )
+    # In blocks, so that branches can add them up.
+    unlike = F.col("blocks") - F.coalesce(F.col("repeated") / F.when(F.col("m") > 1, F.log("m")), F.lit(0.0))
+    spread = F.when(F.col("layouts") > 1, F.least(F.lit(1.0), (F.log("layouts") - F.col("alike") / F.col("layouts")) / F.log("layouts")))
+    nodes = sums.select(*keys, "m", F.greatest(F.lit(0.0), unlike).alias("unlike"), "blocks", F.coalesce(spread, F.lit(0.0)).alias("layout"))
+    outer = keys[:-1]
+    under = counts.filter(F.col("kind") == "under").select(*outer, F.col("node").alias("leaf"), F.col("feature").alias("node")).distinct()
+    leaves = nodes.select(*outer, F.col("node").alias("leaf"), "unlike", "blocks").filter(F.col("blocks") > 0)
+    branches = under.join(leaves, [*outer, "leaf"]).groupBy(*keys).agg((F.sum("unlike") / F.sum("blocks")).alias("content"))
+    return nodes.join(branches, keys).select(*keys, "m", (PRESENTATION_SHARE * F.col("layout") + (1 - PRESENTATION_SHARE) * F.col("content")).alias("importance"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, importance): the host's own tree, steadied by the tree of all hosts where pages are few."""
     counts = stage(style_nodes(pages).groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("n")))
-    own = node_entropies(counts, ["host", "node"])
-    every = node_entropies(counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"])
-
-    def mixed(df: DataFrame) -> Column:
-        return PRESENTATION_SHARE * F.col("layout") + (1 - PRESENTATION_SHARE) * F.col("content")
-
-    own = own.select("host", "node", "m", mixed(own).alias("own"))
-    every = every.select("node", F.col("m").alias("m_all"), mixed(every).alias("common"))
-    # A node that is on one page of one host says nothing about repetition.
+    own = node_importance(counts, ["host", "node"])
+    every = node_importance(counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"])
+    every = every.select("node", F.col("m").alias("m_all"), F.col("importance").alias("common"))
+    # A tree of one host's pages alone adds nothing to that host's own tree.
     weight = F.when(F.col("m_all") > F.col("m"), F.lit(COMMON_WEIGHT)).otherwise(0.0)
-    joined = own.join(every, "node")
-    return joined.select("host", "node", ((F.col("m") * F.col("own") + weight * F.col("common")) / (F.col("m") + weight)).alias("importance"))
+    steadied = (F.col("m") * F.col("importance") + weight * F.col("common")) / (F.col("m") + weight)
+    return own.join(every, "node").select("host", "node", steadied.alias("importance"))
 
 
 # --- The operator ---------------------------------------------------------------------------
