@@ -11,7 +11,6 @@ block's vocabulary is broadcast. Any number of items gives the same rows.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltgrid.llm.frames import column, joined_ids, slices, texts
+from feltgrid.llm.frames import column, fresh, slices, texts
 from feltgrid.operators.stage import stage
 
 WINDOW = 10
@@ -78,10 +77,10 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) ->
     yield block
 
 
-def positional_index(docs: DataFrame, text: str, terms: dict[bytes, int], gap: int) -> DataFrame:
+def positional_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame:
     """Shards of the positional index: one row for each slice of documents a task reads.
 
-    ``row_ids`` numbers the rows of ``docs`` (``_row``), ``starts`` is the shard position of each row's
+    ``row_ids`` has the keys of the rows of ``docs`` (``_row``), ``starts`` is the shard position of each row's
     first word, with one more entry for the end; between rows lie ``gap`` unused positions, so that no
     phrase spans two rows. ``terms`` and ``counts`` list the indexed terms, ``positions`` their lists.
     """
@@ -89,9 +88,9 @@ def positional_index(docs: DataFrame, text: str, terms: dict[bytes, int], gap: i
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
-        for batch in slices(batches, text):
+        for batch in slices(batches, "text"):
             starts, parts, base = [], [], 0
-            for t in texts(batch, text):
+            for t in texts(batch, "text"):
                 ids = np.array([get(w, -1) for w in words(t)], np.int32)
                 starts.append(base)
                 parts.append(ids)
@@ -111,7 +110,7 @@ def positional_index(docs: DataFrame, text: str, terms: dict[bytes, int], gap: i
                 "positions": [at.astype(np.int32).tobytes()],
             })
 
-    return docs.select("_row", text).mapInArrow(build, INDEX_SCHEMA)
+    return docs.select("_row", "text").mapInArrow(build, INDEX_SCHEMA)
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -245,13 +244,15 @@ def contamination(
     the result's names are replaced.
     """
     results = ["n_words", "hits", "n_hit", "n_items", "items", "contaminated"]
-    docs = docs.drop(*results, "_row")
+    docs = docs.drop(*results)
+    row = fresh(docs, "_row")
     # The key of a row is its content: equal rows have equal results, and a task that runs again gives the same key.
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
+    indexed = keyed.select(F.col(row).alias("_row"), F.col(text).alias("text"))
     found, lengths = None, None
     for block in item_blocks(items, item_id, item_text, block_bytes):
         phrases = Phrases.of(block, window)
-        index = stage(positional_index(keyed, text, phrases.terms, window))
+        index = stage(positional_index(indexed, phrases.terms, window))
         lengths = word_counts(index, window) if lengths is None else lengths
         if phrases.windows:
             part = search_phrases(index, phrases, term_frequencies(index, len(phrases.terms)))
@@ -282,4 +283,4 @@ def contamination(
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
     result = result.withColumn("contaminated", F.col("n_hit") > 0)
-    return keyed.join(result, "_row").drop("_row")
+    return keyed.join(result.withColumnRenamed("_row", row), row).drop(row)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from feltgrid.llm.frames import column, slices, texts
+from feltgrid.llm.frames import column, fresh, slices, texts
 from feltgrid.llm.graph import connected_components
 from feltgrid.operators.stage import stage
 
@@ -501,10 +501,10 @@ def _cells_of(cells: DataFrame, parents: DataFrame, stuck: DataFrame) -> DataFra
 def similar_documents(
     docs: DataFrame, link: Link, doc_id: str = "doc_id", text: str = "text", region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links, first) for every row of ``docs``.
 
     ``component_id`` is the smallest id that links reach from a row, itself included; ``n_links`` the
-    number of other rows it links to. Null and empty texts have no shingles, no links and themselves as
+    number of other rows it links to; ``first`` marks one node of each component, of the smallest id. Null and empty texts have no shingles, no links and themselves as
     component. Rows equal in id and text are one node with one result each; rows of one id and different
     texts are nodes of their own. A null id never becomes a component unless all of its ids are null.
     """
@@ -542,11 +542,27 @@ def similar_documents(
         reps.filter(F.col("_row") != F.col("rep")).select(F.col("_row").alias("a"), F.col("rep").alias("b"))
     )
     components = stage(connected_components(links).withColumnRenamed("node", "_row"))
-    named = described.select("_row", "doc_id").join(components, "_row").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = described.select("_row", "doc_id").join(components, "_row").groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_first")
+    )
     counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     own = described.select("_row", "doc_id", "n").join(components, "_row", "left").join(named, "root", "left").join(reps, "_row", "left")
     own = own.withColumn("rep", F.coalesce("rep", "_row")).join(counts, "rep", "left")
     return own.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
         (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce(F.col("_first") == F.col("_row"), F.lit(True)).alias("first"), "_row",
     )
+
+
+def first_of_each_group(docs: DataFrame, link: Link, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without all but the first document of each component, and without repeated rows.
+
+    The first one has the smallest id, a null id being the largest; a tie goes by content.
+    """
+    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
+    kept = similar_documents(docs, link, doc_id, text).filter("first").select(F.col("_row").alias(row)).distinct()
+    rows = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text))).join(kept, row, "left_semi")
+    # The join has sorted the rows by key already.
+    once = rows.withColumn(copy, F.row_number().over(W.partitionBy(row).orderBy(row)))
+    return once.filter(F.col(copy) == 1).select(docs.columns)

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(table(spark, sf_dir, "documents"), jaccard.Link(words=3, part=90, whole=100))
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), jaccard.Link(words=3, part=90, whole=100)).drop("first", "_row")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feltgrid.llm.frames import fresh
 from feltgrid.operators.stage import stage
 
 MAX_OWNERS = 3
@@ -158,12 +159,13 @@ def redact(
     """
     scanned = scan(docs, doc_id, text, repository, owner)
     live = ownership(scanned, max_owners).filter(F.col("verdict") == "live")
-    live = live.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_live"))
-    rows = docs.withColumn("_row", row_key(doc_id, text, repository, owner))
+    row, live_name = fresh(docs, "_row"), fresh(docs, "_live")
+    live = live.groupBy(F.col("_row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(live_name))
+    rows = docs.withColumn(row, row_key(doc_id, text, repository, owner))
     some = F.lit(False)
     for kind in BASE_KINDS + MORE_KINDS:
         some = some | F.coalesce(F.col(text).rlike(kind.pattern), F.lit(False))
-    marked = rows.filter(some).join(live, "_row", "left")
+    marked = rows.filter(some).join(live, row, "left")
     start = F.struct(_long(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -173,6 +175,6 @@ def redact(
             F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(placeholder))).otherwise(acc["out"]).alias("out")
         )
 
-    rest = F.aggregate("_live", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    cleaned = marked.withColumn(text, F.when(F.col("_live").isNull(), F.col(text)).otherwise(rest)).select(*docs.columns)
+    rest = F.aggregate(live_name, start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
+    cleaned = marked.withColumn(text, F.when(F.col(live_name).isNull(), F.col(text)).otherwise(rest)).select(*docs.columns)
     return rows.filter(~some).select(*docs.columns).unionByName(cleaned)
