@@ -389,7 +389,7 @@ def score_rows(docs: DataFrame, network: Network, hashes: np.ndarray, counts: np
         log_count, known, word_hash = np.log10(counts + 1.0), Positions(hashes), Hashes()
         for batch in slices(batches, "text", 8 << 20):
             rows = column(batch, "_row")
-            sequences, sums, rare, owners = [], [], [], []
+            sequences, sums, rare, owners, listed = [], [], [], [], set()
             for row, t in zip(rows, texts(batch, "text")):
                 words = tokens(t)
                 found = np.array([known[w] for w in words], np.int64)
@@ -399,7 +399,8 @@ def score_rows(docs: DataFrame, network: Network, hashes: np.ndarray, counts: np
                 sums.append((len(words), int(head.sum()), float(logs.sum()), float(logs[found[head] >= vocabulary].sum()), int((ids == 0).sum())))
                 sequences.append(ids)
                 rest = np.flatnonzero(~head)
-                if len(rest):
+                if len(rest) and row not in listed:  # equal rows list their rare words once
+                    listed.add(row)
                     rare.append(np.array([word_hash[words[i]] for i in rest], np.int64))
                     owners.append(np.full(len(rest), row, np.int64))
             logp = score_sequences(network, sequences, 4 * limits.window) / LN10
