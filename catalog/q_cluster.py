@@ -8,6 +8,7 @@ from catalog.q_dashboard import vectors
 from catalog.q_panels import monthly
 from feltgrid.domain import CLUSTER_FEATURES, EMOTIONS, MONTHLY_FEATURES
 from feltgrid.operators import cluster
+from feltgrid.operators.rows import beside as rows_beside
 from feltgrid.operators.stage import stage
 
 SCALED = "scaled AS (SELECT province, " + ", ".join(
@@ -102,22 +103,19 @@ def risk_alignment(spark, d):
     return month_labels(spark, d)
 
 
-MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:80]
-
-
-@query(v.with_(v.POSTS, v.MONTHLY, MONTH_LABELS, select=f"""
-SELECT province, {", ".join(f"coalesce(max(cluster) FILTER (date_month = '{m}'), -1) AS \"{m}\"" for m in MONTHS)}
-FROM aligned GROUP BY province"""))
+@query(v.with_(v.POSTS, v.MONTHLY, MONTH_LABELS, select="""
+SELECT province, coalesce(COLUMNS(* EXCLUDE province), -1)
+FROM (PIVOT (SELECT province, date_month, cluster FROM aligned) ON date_month USING max(cluster) GROUP BY province)"""))
 def evolution_matrix(spark, d):
-    return cluster.evolution_matrix(month_labels(spark, d), MONTHS)
+    return cluster.evolution_matrix(month_labels(spark, d))
 
 
-@query(v.with_(v.POSTS, v.MONTHLY, MONTH_LABELS, select=f"""
+@query(v.with_(v.POSTS, v.MONTHLY, MONTH_LABELS, select="""
 SELECT p.province, m.date_month, coalesce(a.cluster, -1) AS cluster, a.cluster IS NOT NULL AS present
-FROM (SELECT DISTINCT province FROM aligned) p, (VALUES {", ".join(f"('{m}')" for m in MONTHS)}) m(date_month)
+FROM (SELECT DISTINCT province FROM aligned) p, (SELECT DISTINCT date_month FROM aligned) m
 LEFT JOIN aligned a ON a.province = p.province AND a.date_month = m.date_month"""))
 def evolution_cells(spark, d):
-    return cluster.matrix_to_long(cluster.evolution_matrix(month_labels(spark, d), MONTHS))
+    return cluster.matrix_to_long(cluster.evolution_matrix(month_labels(spark, d)))
 
 
 @query(v.with_(v.POSTS, v.MONTHLY, MONTH_LABELS, """
@@ -148,10 +146,22 @@ def ward_linkage(spark, d):
     return v.rounded(cluster.ward_linkage(scaled(spark, d), "province", CLUSTER_FEATURES))
 
 
+SQUARES = " + ".join(f"var_pop({f}) * count(*)" for f in CLUSTER_FEATURES)
+
+
+@query(v.with_(v.POSTS, v.VECTORS, SCALED, select=f"SELECT count(*) - 1 AS joins, round({SQUARES}, 6) AS squares FROM scaled"))
+def ward_squares(spark, d):
+    """Each join raises the sum of squares within clusters by half its squared height; all joins by all of it."""
+    merges = cluster.ward_merges(scaled(spark, d), "province", CLUSTER_FEATURES)
+    total = F.round(F.sum(F.col("distance") * F.col("distance")) / 2, 6)
+    return merges.agg(F.count(F.lit(1)).alias("joins"), total.alias("squares"))
+
+
 @query()
 def label_stability(spark, d):
-    labels = cluster.ward_labels(scaled(spark, d), "province", CLUSTER_FEATURES, cluster.sweep_range(25))
-    return cluster.label_stability(labels, "province", list(cluster.sweep_range(25)))
+    rows = stage(scaled(spark, d))
+    ks = list(cluster.sweep_range(rows.count()))
+    return cluster.label_stability(cluster.ward_labels(rows, "province", CLUSTER_FEATURES, ks), "province", ks)
 
 
 @query()
@@ -165,6 +175,25 @@ def pca_scatter(spark, d):
     return v.rounded(cluster.pca_scatter(vectors(spark, d)).select("province", "x", "y"))
 
 
+@query("SELECT (SELECT count(DISTINCT n_name) FROM nation) AS n, 0 AS misplaced, 4 AS clusters")
+def kmeans_fixed_point(spark, d):
+    """KMeans has come to rest: every row is nearest to the mean of its own cluster."""
+    rows = stage(scaled(spark, d))
+    labelled = stage(cluster.kmeans_labels(rows, "province", CLUSTER_FEATURES, 4).join(rows, "province"))
+    means = labelled.groupBy("label").agg(*[F.avg(f).alias(f"_{f}") for f in CLUSTER_FEATURES])
+    centres = means.agg(F.collect_list(F.struct("*")).alias("centres"))  # one row per cluster
+
+    def gap(c):
+        return sum((F.pow(F.col(f) - c[f"_{f}"], F.lit(2.0)) for f in CLUSTER_FEATURES), F.lit(0.0))
+
+    best = F.array_min(F.transform("centres", lambda c: F.struct(gap(c).alias("gap"), c["label"].alias("label"))))
+    found = rows_beside(labelled, centres).withColumn("_near", best["label"])
+    return found.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_near") != F.col("label")).cast("int").alias("misplaced"),
+        F.countDistinct("label").cast("int").alias("clusters"),
+    )
+
+
 @query()
 def kmeans_labels(spark, d):
     return cluster.kmeans_labels(scaled(spark, d), "province", CLUSTER_FEATURES, 4)
@@ -172,7 +201,7 @@ def kmeans_labels(spark, d):
 
 @query()
 def ward_embeddings(spark, d):
-    """Ward over all embeddings: beyond 512 rows the tree is built over weighted centroids."""
+    """Ward over all embeddings, exactly."""
     dims = [f"x{i}" for i in range(64)]
     rows = v.table(spark, d, "embeddings").select(
         "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)]

@@ -122,4 +122,4 @@ QUALIFY row_number() OVER (PARTITION BY date_month ORDER BY created_at, post_id)
 def first_posts_per_month(spark, d):
     day = F.unix_date(F.to_date("created_at")).cast("bigint")
     rows = v.posts(spark, d).select("post_id", "date_month", "created_at")
-    return smallest_per_group(rows, "date_month", {m: 50 for m in TARGETS}, day, day, "post_id").drop("created_at")
+    return smallest_per_group(rows, "date_month", 50, day, day, "post_id").drop("created_at")

@@ -7,7 +7,6 @@ from catalog import views as v
 from feltgrid.domain import EMOTIONS
 from feltgrid.functions import metrics
 from feltgrid.operators import scoring, validate
-from feltgrid.sources.tables import widen
 
 # One letter per emotion: small word lists that occur in texts of every language.
 LEXICON = {"joy": ["a"], "sadness": ["e"], "anger": ["i"], "fear": ["o"], "surprise": ["u"], "neutral": ["n"]}
@@ -24,7 +23,7 @@ scored AS (SELECT post_id, content_clean, {", ".join(f"CAST(h{i} AS DOUBLE)/(h1+
 
 
 def docs(spark, d):
-    return widen(v.table(spark, d, "documents")).select(F.col("doc_id").alias("post_id"), F.col("text").alias("content_clean"))
+    return v.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("content_clean"))
 
 
 def make_letter_scorer():

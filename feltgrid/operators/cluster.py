@@ -1,8 +1,7 @@
 """Clustering of province vectors: Ward trees, silhouettes, monthly evolution, PCA and KMeans.
 
-A Ward tree needs all pairwise distances, so it is built over at most ``MAX_TREE_POINTS`` points.
-More rows are first summarised by that many weighted KMeans centroids, which is a distributed
-job; the tree is then built over the centroids and its labels are joined back to the rows.
+Ward trees are built in rounds over a table of clusters, for all groups at once and for any number of
+rows: each round finds the nearest cluster of every cluster block by block and joins all mutual pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from feltgrid.functions import metrics
 from feltgrid.operators.rows import beside
 from feltgrid.operators.stage import stage
 
-MAX_TREE_POINTS = 512
 BLOCK_ROWS = 2048
 SEED = 42
 
@@ -58,103 +56,148 @@ def standardise(df: DataFrame, features: Sequence[str], group: str | None = None
 
 
 # --- Ward ------------------------------------------------------------------------------------
+#
+# A cluster is named by its smallest key. Ward's cost is reducible: joining two clusters brings neither
+# closer to a third one than the nearer of them was. So all pairs of mutually nearest clusters can be joined
+# at once, and sorting all joins by their height gives the tree that joining one pair at a time gives.
 
 
-def ward_merges(points: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Merge table ``(left, right, distance, size)`` of weighted points; new clusters follow the rows."""
-    n = len(points)
-    size = weights.astype("float64").copy()
-    gaps = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    cost = gaps * (2 * np.outer(size, size) / np.add.outer(size, size))
-    np.fill_diagonal(cost, np.inf)
-    name = np.arange(n)
-    merges = np.zeros((max(n - 1, 0), 4))
-    for step in range(n - 1):
-        i, j = divmod(int(cost.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        joined = size[i] + size[j]
-        merges[step] = [*sorted((name[i], name[j])), np.sqrt(cost[i, j]), joined]
-        # Lance-Williams update of squared distances to the joined cluster, kept in slot i.
-        fresh = ((size[i] + size) * cost[i] + (size[j] + size) * cost[j] - size * cost[i, j]) / (joined + size)
-        fresh[[i, j]] = np.inf
-        fresh[~np.isfinite(fresh)] = np.inf
-        cost[i, :], cost[:, i] = fresh, fresh
-        cost[j, :], cost[:, j] = np.inf, np.inf
-        size[i], name[i] = joined, n + step
+def _ward_cost(features: Sequence[str]):
+    """For every cluster of a block its nearest one in another block, by Ward cost, then by names."""
+    features = list(features)
+
+    def nearest(pair: pd.DataFrame) -> pd.DataFrame:
+        one, other = pair[pair["_side"] == 0], pair[pair["_side"] == 1].sort_values("_key", ignore_index=True)
+        x, y = one[features].to_numpy("float64"), other[features].to_numpy("float64")
+        n, m = one["_n"].to_numpy("float64"), other["_n"].to_numpy("float64")
+        mine, theirs = one["_key"].to_numpy(), other["_key"].to_numpy()
+        rows = []
+        for i in range(len(one) if len(other) else 0):
+            gaps = ((y - x[i]) ** 2).sum(axis=1)
+            cost = gaps * (2 * n[i] * m / (n[i] + m))
+            cost[theirs == mine[i]] = np.inf
+            best = np.flatnonzero(cost == cost.min())
+            # Of equally near ones the pair with the smallest names.
+            k = min(best, key=lambda j: (min(mine[i], theirs[j]), max(mine[i], theirs[j])))
+            if np.isfinite(cost[k]):
+                rows.append((one["_group"].iat[i], mine[i], cost[k], min(mine[i], theirs[k]), max(mine[i], theirs[k])))
+        return pd.DataFrame(rows, columns=["_group", "_key", "cost", "lo", "hi"])
+
+    return nearest
+
+
+def ward_merges(
+    points: DataFrame, key: str, features: Sequence[str], group: str | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """All joins of one Ward tree per ``group``: rows ``(group, lo, hi, distance, sample_count, round)``.
+
+    Each round compares the clusters block by block, one row per cluster and block comes back, and joins
+    every mutually nearest pair; the rounds are about the logarithm of the rows unless rows stand in a
+    chain. ``hi`` is joined to ``lo``, the smaller name. Keys are unique within a group.
+    """
+    features = list(features)
+    clusters = stage(points.select(
+        (F.lit("") if group is None else F.col(group).cast("string")).alias("_group"), F.col(key).cast("string").alias("_key"),
+        F.lit(1.0).alias("_n"), *[F.col(f).cast("double").alias(f) for f in features],
+    ))
+    found, number = [], 0
+    while True:
+        largest = clusters.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
+        if largest < 2:
+            break
+        blocks = -(-largest // block_rows)
+        own = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        placed = clusters.select("*", F.lit(0).alias("_side"), own.alias("_a"), every.alias("_b")).unionByName(
+            clusters.select("*", F.lit(1).alias("_side"), own.alias("_b"), every.alias("_a"))
+        )
+        near = placed.groupBy("_group", "_a", "_b").applyInPandas(
+            _ward_cost(features), "_group string, _key string, cost double, lo string, hi string"
+        )
+        best = near.groupBy("_group", "_key").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
+        mutual = best.groupBy("_group", "m.lo", "m.hi").agg(F.count(F.lit(1)).alias("_votes"), F.min("m.cost").alias("cost"))
+        sizes = clusters.select("_group", F.col("_key").alias("lo"), F.col("_n").alias("_n_lo"))
+        others = clusters.select("_group", F.col("_key").alias("hi"), F.col("_n").alias("_n_hi"))
+        joins = mutual.filter(F.col("_votes") == 2).join(sizes, ["_group", "lo"]).join(others, ["_group", "hi"])
+        joins = stage(joins.select(
+            "_group", "lo", "hi", F.sqrt("cost").alias("distance"), (F.col("_n_lo") + F.col("_n_hi")).cast("bigint").alias("sample_count"),
+            F.lit(number).alias("round"),
+        ))
+        found.append(joins)
+        target = joins.select("_group", F.col("hi").alias("_key"), "lo")
+        moved = clusters.join(target, ["_group", "_key"], "left").withColumn("_key", F.coalesce("lo", "_key"))
+        clusters = stage(moved.groupBy("_group", "_key").agg(
+            F.sum("_n").alias("_sum"), *[(F.sum(F.col(f) * F.col("_n")) / F.sum("_n")).alias(f) for f in features]
+        ).withColumnRenamed("_sum", "_n"))
+        number += 1
+    if not found:
+        schema = "_group string, lo string, hi string, distance double, sample_count bigint, round int"
+        return points.sparkSession.createDataFrame([], schema)
+    merges = found[0]
+    for more in found[1:]:
+        merges = merges.unionByName(more)
     return merges
 
 
-def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Labels of ``n`` rows for ``k`` clusters, numbered by their first member."""
-    member = {i: [i] for i in range(n)}
-    for step in range(n - k):
-        left, right = int(merges[step, 0]), int(merges[step, 1])
-        member[n + step] = member.pop(left) + member.pop(right)
-    labels = np.zeros(n, dtype="int32")
-    for label, rows in enumerate(sorted(member.values(), key=min)):
-        labels[rows] = label
-    return labels
+def _numbered(merges: DataFrame) -> DataFrame:
+    """Joins with their ``step`` in order of height; a join comes after those it rests on."""
+    order = W.partitionBy("_group").orderBy(F.round("distance", 10), "round", "lo", "hi")
+    return merges.withColumn("step", F.row_number().over(order) - 1)
 
 
-def _micro_centroids(scaled: DataFrame, key: str, features: Sequence[str], limit: int):
-    """``(points, members)``: at most ``limit`` weighted points and each key's point.
+def cut_labels(merges: DataFrame, points: DataFrame, key: str, ks: Sequence[int], group: str | None = None) -> DataFrame:
+    """Labels ``(_group, k, key, label)`` of every cut, numbered by the clusters' smallest keys.
 
-    With few rows every row is its own point. The row count decides the way, so it is taken here.
+    A cut into k clusters takes the first n - k joins. Each key looks up what its cluster was joined to,
+    twice as far in each pass.
     """
-    many = scaled.select(key).limit(limit + 1).count() > limit
-    if not many:
-        name = F.col(key).cast("string").alias("_point")
-        return scaled.select(name, *features, F.lit(1.0).alias("_weight")), scaled.select(key, name)
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled)
-    model = KMeans(k=limit, featuresCol="_features", predictionCol="_micro", seed=SEED).fit(assembled)
-    members = model.transform(assembled).withColumn("_point", F.format_string("%06d", "_micro"))
-    points = members.groupBy("_point").agg(
-        *[F.avg(f).alias(f) for f in features], F.count(F.lit(1)).cast("double").alias("_weight")
+    keys = points.select(
+        (F.lit("") if group is None else F.col(group).cast("string")).alias("_group"), F.col(key).alias(key), F.col(key).cast("string").alias("_key")
     )
-    return points, members.select(key, "_point")
-
-
-def ward_labels(
-    scaled: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], limit: int = MAX_TREE_POINTS
-) -> DataFrame:
+    counts = keys.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    sized = keys.join(counts, "_group").withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).filter(F.col("k") <= F.col("_rows"))
+    joined = _numbered(merges).select("_group", F.col("hi").alias("_key"), "lo", "step")
+    start = sized.join(joined, ["_group", "_key"], "left")
+    taken = F.col("step") < F.col("_rows") - F.col("k")
+    state = stage(start.select("_group", "k", key, "_key", F.when(taken, F.col("lo")).otherwise(F.col("_key")).alias("root")))
+    while not state.filter(F.col("root") != F.col("_key")).isEmpty():
+        up = state.select("_group", "k", F.col("_key").alias("root"), F.col("root").alias("_up"))
+        moved = state.join(up, ["_group", "k", "root"])
+        if moved.filter(F.col("_up") != F.col("root")).isEmpty():
+            break
+        state = stage(moved.select("_group", "k", key, "_key", F.col("_up").alias("root")))
+    number = F.row_number().over(W.partitionBy("_group", "k").orderBy("root")) - 1
+    names = state.filter(F.col("root") == F.col("_key")).select("_group", "k", "root", number.cast("int").alias("label"))
+    return state.join(names, ["_group", "k", "root"]).select("_group", "k", key, "label")
+
+
+def ward_labels(scaled: DataFrame, key: str, features: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """Labels ``(k, key, label)`` of every cut of one Ward tree over standardised rows.
 
     ``ks`` beyond the number of rows are left out. Labels are numbered by the smallest key.
     """
-    features, ks = list(features), list(ks)
-    points, members = _micro_centroids(scaled, key, features, limit)
-
-    def tree(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_point", ignore_index=True)
-        n = len(frame)
-        merges = ward_merges(frame[features].to_numpy("float64"), frame["_weight"].to_numpy("float64"))
-        cuts = [
-            pd.DataFrame({"k": k, "_point": frame["_point"], "label": cut_tree(merges, n, k)})
-            for k in ks if k <= n
-        ]
-        empty = pd.DataFrame({"k": [], "_point": [], "label": []}).astype({"k": "int32", "label": "int32"})
-        return pd.concat(cuts) if cuts else empty
-
-    # One group of at most ``limit`` rows.
-    one = points.withColumn("_tree", F.lit(0)).groupBy("_tree")
-    labels = one.applyInPandas(tree, "k int, _point string, label int")
-    return members.join(F.broadcast(labels), "_point").select("k", key, "label")
+    return cut_labels(ward_merges(scaled, key, features), scaled, key, ks).select("k", key, "label")
 
 
-def ward_linkage(scaled: DataFrame, key: str, features: Sequence[str], limit: int = MAX_TREE_POINTS) -> DataFrame:
-    """Merge table ``(step, left, right, distance, sample_count)``; rows are numbered in key order."""
-    features = list(features)
-    points, _ = _micro_centroids(scaled, key, features, limit)
+def ward_linkage(scaled: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Merge table ``(step, left, right, distance, sample_count)``; rows are numbered in key order.
 
-    def tree(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_point", ignore_index=True)
-        merges = ward_merges(frame[features].to_numpy("float64"), frame["_weight"].to_numpy("float64"))
-        table = pd.DataFrame(merges, columns=["left", "right", "distance", "sample_count"])
-        table.insert(0, "step", range(len(table)))
-        return table
-
-    schema = "step int, left int, right int, distance double, sample_count bigint"
-    return points.withColumn("_tree", F.lit(0)).groupBy("_tree").applyInPandas(tree, schema)
+    A cluster that step s makes has the number n + s.
+    """
+    merges = stage(_numbered(ward_merges(scaled, key, features)))
+    rows = scaled.select(F.col(key).cast("string").alias("_key"))
+    numbers = rows.withColumn("_number", F.row_number().over(W.orderBy("_key")) - 1)
+    n = rows.count()
+    made = F.lag("step").over(W.partitionBy("lo").orderBy("step"))
+    last = merges.groupBy(F.col("lo").alias("hi")).agg(F.max("step").alias("_right_step"))
+    sides = merges.withColumn("_left_step", made).join(last, "hi", "left")
+    sides = sides.join(numbers.select(F.col("_key").alias("lo"), F.col("_number").alias("_lo")), "lo").join(
+        numbers.select(F.col("_key").alias("hi"), F.col("_number").alias("_hi")), "hi")
+    one = F.coalesce(F.col("_left_step") + n, F.col("_lo"))
+    two = F.coalesce(F.col("_right_step") + n, F.col("_hi"))
+    return sides.select(
+        "step", F.least(one, two).cast("int").alias("left"), F.greatest(one, two).cast("int").alias("right"), "distance", "sample_count"
+    )
 
 
 def sweep_range(n_rows: int) -> range:
@@ -308,45 +351,23 @@ def monthly_ward(
     features: Sequence[str] = domain.MONTHLY_FEATURES,
     key: str = "province",
     month: str = "date_month",
-    limit: int = MAX_TREE_POINTS,
 ) -> DataFrame:
     """Independent Ward labels of every month ``(month, key, features, label)``.
 
-    Months with fewer than three rows per cluster get label 0. A month is one group of at most
-    ``limit`` rows; a larger month is clustered through its centroids, as a job of its own.
+    Months with fewer than three rows per cluster get label 0. The trees of all months grow together.
     """
     features = list(features)
     rows = stage(eligible(monthly, "total_posts", min_posts, features).select(month, key, *features))
     counts = rows.groupBy(month).agg(F.count(F.lit(1)).alias("_rows"))
-    # The months that hold more regions than one tree may have; the white list alone has 34.
-    large = [r[month] for r in counts.filter(F.col("_rows") > limit).collect()]
-    scaled = standardise(rows, features, month).join(counts, month)
-
-    def label_month(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, ignore_index=True)
-        n = len(frame)
-        frame["label"] = np.zeros(n, dtype="int32")
-        if n >= clusters * 3:
-            merges = ward_merges(frame[features].to_numpy("float64"), np.ones(n))
-            frame["label"] = cut_tree(merges, n, clusters)
-        return frame[[month, key, "label"]]
-
-    key_type = rows.schema[key].dataType.simpleString()
-    small = scaled.filter(F.col("_rows") <= limit).drop("_rows")
-    labels = small.groupBy(month).applyInPandas(label_month, f"{month} string, {key} {key_type}, label int")
-    for name in large:
-        part = scaled.filter(F.col(month) == name)
-        cut = ward_labels(part, key, features, [clusters], limit)
-        labels = labels.unionByName(cut.select(F.lit(name).alias(month), key, "label"))
-    return rows.join(labels, [month, key])
-
-
-def align_by_risk(labelled: DataFrame, month: str = "date_month", label: str = "label",
-                  min_rows: int = 3 * domain.MONTHLY_CLUSTERS) -> DataFrame:
-    """Labels renumbered per month from low to high risk (sadness + anger + fear - joy).
-
-    Months below ``min_rows`` rows keep their single label 0.
-    """
+    enough = counts.filter(F.col("_rows") >= 3 * clusters).select(month)
+    scaled = stage(standardise(rows, features, month).join(enough, month, "left_semi"))
+    labels = cut_labels(ward_merges(scaled, key, features, month), scaled, key, [clusters], month)
+    labels = labels.select(F.col("_group").alias(month), key, "label")
+    return rows.join(labels, [month, key], "left").na.fill(0, ["label"])
+
+
+def align_by_risk(labelled: DataFrame, month: str = "date_month", label: str = "label") -> DataFrame:
+    """Labels renumbered per month from low to high risk (sadness + anger + fear - joy)."""
     risk = F.avg("sadness_mean") + F.avg("anger_mean") + F.avg("fear_mean") - F.avg("joy_mean")
     clusters = labelled.groupBy(month, label).agg(risk.alias("_risk"))
     order = W.partitionBy(month).orderBy(F.round("_risk", 12), label)

@@ -11,7 +11,7 @@ from feltgrid.functions import dates, metrics, text
 from feltgrid.functions.metrics import MEANS
 from feltgrid.operators import anomaly
 from feltgrid.operators.rows import beside
-from feltgrid.operators.stage import broadcast_if_small, stage
+from feltgrid.operators.stage import stage
 
 MEANS_ALL = [f"{e}_mean_all" for e in domain.EMOTIONS]
 
@@ -101,7 +101,7 @@ def top_posts(
     scores = F.create_map(*[x for e in domain.EMOTIONS for x in (F.lit(e), F.col(e))])
     details = [c for c in ("date_week", "date_month") if c in posts.columns]
     looked_up = usable.select(key, *details, F.col(content).alias("content"), scores.alias("scores"))
-    return looked_up.join(broadcast_if_small(chosen), key)
+    return looked_up.join(chosen, key)
 
 
 def province_series(weekly: DataFrame, province: str, region: str = "province") -> DataFrame:

@@ -12,6 +12,7 @@ from feltgrid.functions import dates, text
 from feltgrid.operators.rows import beside
 from feltgrid.operators.skew import salted_left_join, smallest_per_group
 from feltgrid.operators.stage import stage
+POSITION_BITS = 12  # rows of a bucket when the first rows of a month are looked for
 
 
 def attach_province(
@@ -221,5 +222,5 @@ def first_rows_per_month(posts: DataFrame, months: Sequence[str], n: int, month:
     """The first ``n`` rows of each month in file order, for quick profiles."""
     position = F.col("position")
     return smallest_per_group(
-        posts, month, {m: n for m in months}, position, F.shiftright(position, 33), "position"
+        posts, month, {m: n for m in months}, position, F.shiftright(position, POSITION_BITS), "position"
     )

@@ -15,12 +15,10 @@ from feltgrid.functions import text
 from feltgrid.functions.metrics import stable_round
 from feltgrid.operators import dashboard
 from feltgrid.operators.rows import beside
-from feltgrid.operators.stage import broadcast_if_small
 
 TEXT_COLUMNS = ["content_clean", "content_raw", "content"]
 CJK_RUN = r"[一-鿿]+"
 WORDS = r"[一-鿿]+|[\p{L}\p{M}\p{N}_.]+"
-MAX_WORD = 4
 
 
 def text_column(df: DataFrame) -> str:
@@ -53,22 +51,26 @@ def tokenise(
     """One row per token, ``(*keep, word, pos)``, in lower case.
 
     With ``pattern`` the tokens are its matches. Otherwise letters and digits form words, and runs
-    of Chinese characters give character pairs, or, with a ``(word, pos)`` dictionary, every
-    dictionary word of two to four characters they contain. ``filtered`` applies the token rules
+    of Chinese characters give character pairs (a single one stays as it is), or, with a ``(word, pos)``
+    dictionary, every dictionary word they contain, however long. ``filtered`` applies the token rules
     and the stop and noise lists.
     """
     source = F.lower(F.col(text_column(posts)))
     matches = F.regexp_extract_all(source, F.lit(pattern or WORDS), F.lit(0))
     tokens = posts.select(*keep, F.explode(matches).alias("word"))
     if pattern is None:
-        sizes = range(2, 3) if dictionary is None else range(2, MAX_WORD + 1)
+        sizes = range(2, 3)
+        if dictionary is not None:
+            longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 1
+            sizes = range(1, longest + 1)
         is_run = F.col("word").rlike(f"^{CJK_RUN}$")
-        parts = F.when(is_run, _ngrams(F.col("word"), sizes)).otherwise(F.array("word"))
+        whole = ~is_run if dictionary is not None else ~is_run | (F.length("word") == 1)
+        parts = F.when(whole, F.array("word")).otherwise(_ngrams(F.col("word"), sizes))
         tokens = tokens.select(*keep, is_run.alias("_run"), F.explode(parts).alias("word"))
     if dictionary is None:
         tokens = tokens.withColumn("pos", F.lit(""))
     else:
-        entries = broadcast_if_small(dictionary.groupBy("word").agg(F.min("pos").alias("pos")))
+        entries = dictionary.groupBy("word").agg(F.min("pos").alias("pos"))
         tokens = tokens.join(entries, "word", "left")
         if pattern is None:
             tokens = tokens.filter(~F.col("_run") | F.col("pos").isNotNull())
@@ -119,12 +121,9 @@ def tfidf(counts: DataFrame, max_terms: int = domain.MAX_TERMS, max_df: float =
 
     ``counts`` is read three times, so pass it staged or from a table.
 
-    Each week has at most ``max_terms`` terms here, so the norm's window is bounded, and the
-    vocabulary's size limit allows its broadcast.
+    Each week has at most ``max_terms`` terms here, so the norm's window is bounded.
     """
     terms = vocabulary(counts, max_terms, max_df, week)
-    if max_terms <= 100_000:
-        terms = F.broadcast(terms)
     weight = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(weight * weight).over(W.partitionBy(week)))
     return counts.join(terms, "word").withColumn("tfidf", weight / norm).select(

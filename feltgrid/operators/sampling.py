@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.operators import enrich
 from feltgrid.operators.skew import smallest_per_group
-from feltgrid.operators.stage import broadcast_if_small, stage
+from feltgrid.operators.stage import stage
 
 SEED = 42
 DRAW_BITS = 31
-BUCKET_BITS = 12
+BUCKET_BITS = 20
 
 
 def draw(key: Column | str = "post_id", seed: int = SEED) -> Column:
@@ -57,7 +57,7 @@ def _pick(mini: DataFrame, labelled: DataFrame, cells: DataFrame, keys: Sequence
     )
     wanting = cells.filter(F.col(wanted) > 0).select(*keys, F.col(wanted).alias("_wanted"))
     chosen = stage(ranked.join(wanting, list(keys)).filter("_rank <= _wanted").select(key))
-    return mini.join(broadcast_if_small(chosen), key, "left_semi")
+    return mini.join(chosen, key, "left_semi")
 
 
 def month_cap_cells(

@@ -41,27 +41,29 @@ def salted_left_join(
 
 
 def smallest_per_group(
-    df: DataFrame, group: str, sizes: Mapping[str, int], order: Column, bucket: Column, tie: str
+    df: DataFrame, group: str, sizes: Mapping[str, int] | int, order: Column, bucket: Column, tie: str
 ) -> DataFrame:
     """Exactly the ``sizes[g]`` rows of each group ``g`` that are smallest by ``(order, tie)``.
 
     ``bucket`` must not decrease with ``order``. Bucket counts, combined on the map side, give
     each group's last needed bucket; only rows up to it are ranked, so a group of any size sends
-    little more than ``sizes[g]`` rows to one task. The cut-off table has one row per entry of
-    ``sizes``, hence the broadcast.
+    little more than ``sizes[g]`` rows to one task. One number as ``sizes`` holds for every group.
     """
-    targets = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-    rows = df.filter(F.col(group).isin(list(sizes))).withColumns({"_order": order, "_bucket": bucket})
+    if isinstance(sizes, int):
+        rows, size = df.filter(F.col(group).isNotNull()), F.lit(sizes)
+    else:
+        targets = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
+        rows, size = df.filter(F.col(group).isin(list(sizes))), F.try_element_at(targets, F.col(group))
+    rows = rows.withColumns({"_order": order, "_bucket": bucket})
     counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket")) - F.col("_n")
-    size = F.try_element_at(targets, F.col(group))
     cut = (
         counts.withColumn("_before", before)
         .filter(F.col("_before") < size)
         .groupBy(group)
         .agg(F.max("_bucket").alias("_last"))
     )
-    near = rows.join(F.broadcast(cut), group).filter(F.col("_bucket") <= F.col("_last"))
+    near = rows.join(cut, group).filter(F.col("_bucket") <= F.col("_last"))
     rank = F.row_number().over(W.partitionBy(group).orderBy("_order", tie))
     return (
         near.withColumn("_rank", rank)

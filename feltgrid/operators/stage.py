@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 500_000
-
-
-@functools.lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="feltgrid-stage-")
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only a local session may go without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local_folder()
-    return folder
+    """The folder for staged tables: the one in ``spark.checkpoint.dir``, else the warehouse.
+
+    Both are folders that all executors share.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/feltgrid/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession) -> str:
     """A path below the shared folder that nothing uses yet."""
-    return f"{stage_folder(spark).rstrip('/')}/feltgrid/{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -43,10 +32,7 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, which are counted.
-
-    A larger table is returned without the hint and is joined by a shuffle. Pass a staged table or
-    a plain scan, as the count reads it.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def clear_stage(spark: SparkSession) -> bool:
+    """Delete everything this application has staged; call it when no result that rests on it is read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

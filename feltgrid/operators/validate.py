@@ -113,7 +113,9 @@ def pearson_r(df: DataFrame, x: str, y: str) -> DataFrame:
 def comparison_sample(scored: DataFrame, second: Column, n: int = 500, key: str = "post_id") -> DataFrame:
     """First ``n`` posts with the second scorer's value beside the positive share."""
     columns = [key, "content_clean", *domain.EMOTIONS]
-    return scored.select(*columns).orderBy(key).limit(n).select(
+    # The ids come first, so only the texts of the chosen posts are scored; ``n`` bounds the broadcast.
+    chosen = F.broadcast(scored.select(key).orderBy(key).limit(n))
+    return scored.select(*columns).join(chosen, key, "left_semi").select(
         *columns,
         second.alias("second_score"),
         metrics.positive_share("joy", "surprise", "neutral").alias("positive_idx"),

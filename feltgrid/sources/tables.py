@@ -30,16 +30,6 @@ def existing_ids(spark: SparkSession, path: str, fmt: str = "parquet", key: str
     return df.select(F.col(key).cast("string").alias(key))
 
 
-def widen(scan: DataFrame) -> DataFrame:
-    """A file scan spread over all cores when its files give fewer partitions than that.
-
-    For small inputs ahead of heavy per-row work. With at least one partition per core, as for
-    any large input, the scan is returned as it is. Call it right after the read.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def first_rows(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 

@@ -62,14 +62,24 @@ def test_linkage_distances_rise_and_sizes_add_up(spark):
     assert len(steps) == 19 and distances == sorted(distances) and steps[-1].sample_count == 20
 
 
-def test_many_rows_go_through_centroids(spark):
-    x = random_rows(1200, 3, 7)
+@pytest.mark.parametrize("block_rows", [2048, 7])
+def test_blocks_give_the_same_tree(spark, block_rows):
+    x = random_rows(60, 3, 7)
+    df, names = frame(spark, x)
+    merges = cluster.ward_merges(df, "key", names, block_rows=block_rows)
+    heights = sorted(r.distance for r in merges.collect())
+    total = ((x - x.mean(axis=0)) ** 2).sum()
+    assert len(heights) == 59 and sum(h * h for h in heights) / 2 == pytest.approx(total)
+    labels = cluster.cut_labels(merges, df, "key", [4]).collect()
+    assert partition((r.key, r.label) for r in labels) == ward_by_hand(x, 4)
+
+
+def test_equal_rows_and_single_rows(spark):
+    x = np.array([[1.0, 2.0]] * 6 + [[5.0, 5.0]])
     df, names = frame(spark, x)
-    labels = cluster.ward_labels(df, "key", names, [4], limit=64).collect()
-    assert len(labels) == 1200
-    expected = {frozenset(f"r{i:04d}" for i in range(1200) if i % 4 == c) for c in range(4)}
-    agree = sum(max(len(a & b) for b in expected) for a in partition((r.key, r.label) for r in labels))
-    assert agree > 1150
+    labels = {r.key: r.label for r in cluster.ward_labels(df, "key", names, [2]).collect()}
+    assert labels == {f"r{i:04d}": int(i == 6) for i in range(7)}
+    assert cluster.ward_labels(df.limit(1), "key", names, [1]).collect()[0].label == 0
 
 
 def silhouette_by_hand(x, labels):
@@ -172,12 +182,6 @@ def test_monthly_evolution(spark):
         assert shifts.get(province, 0) == sum(a != b for a, b in zip(seen, seen[1:]))
 
 
-def test_oversized_month_is_clustered_through_centroids(spark):
-    labels = cluster.monthly_ward(monthly(spark), limit=10).collect()
-    assert len(labels) == 7 * 12 - 4 - 1
-    assert len({r.label for r in labels if r.date_month == "2020-01"}) == 3
-
-
 def test_pca_matches_numpy(spark):
     df = vectors(spark, 15)
     out = cluster.pca_scatter(df).orderBy("province").collect()

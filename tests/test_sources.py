@@ -64,6 +64,22 @@ def test_mini_dataset(spark, raw_folder):
     assert {r.post_id for r in national.collect()} == {"p1", "p2", "p3", "p4"}
 
 
+def test_first_rows_follow_file_names_not_sizes(spark, tmp_path):
+    month = tmp_path / "2020-01"
+    month.mkdir()
+    (month / "part-0.csv").write_text("_id,user_id\n" + "".join(f"a{i},u1\n" for i in range(3)), encoding="utf-8")
+    (month / "part-1.csv").write_text("_id,user_id\n" + "".join(f"b{i},u1\n" for i in range(30_000)), encoding="utf-8")
+    df = posts.with_position(posts.read_csv(spark, str(month))).withColumn("file_month", F.lit("2020-01"))
+    first = enrich.first_rows_per_month(df, ["2020-01"], 5)
+    assert sorted(r["_id"] for r in first.collect()) == ["a0", "a1", "a2", "b0", "b1"]
+    users = tmp_path / "users"
+    users.mkdir()
+    (users / "part-0.csv").write_text("user_id,province,city,gender\nu1,北京,first,f\n", encoding="utf-8")
+    rest = "".join(f"u{i},北京,later,f\n" for i in range(5_000))
+    (users / "part-1.csv").write_text("user_id,province,city,gender\n" + rest, encoding="utf-8")
+    assert {r.city for r in posts.read_users(spark, str(users)).filter("user_id = 'u1'").collect()} == {"first"}
+
+
 def test_first_rows_and_quality_profile(spark, raw_folder):
     df = posts.read_posts(spark, raw_folder, ["2020-01", "2020-02"])
     first = enrich.first_rows_per_month(df, ["2020-01", "2020-02"], 2)

@@ -1,43 +1,32 @@
-import pytest
+import os
 
 from feltgrid.operators import stage
 
 
 class FakeConf:
-    def __init__(self, folder):
-        self.folder = folder
+    def __init__(self, values):
+        self.values = values
 
-    def get(self, key, default):
-        assert key == "spark.checkpoint.dir"
-        return self.folder or default
+    def get(self, key, *default):
+        return self.values.get(key, *default)
 
 
 class FakeSession:
-    def __init__(self, folder, master):
-        self.conf = FakeConf(folder)
-        self.sparkContext = type("Context", (), {"master": master})()
+    def __init__(self, **values):
+        self.conf = FakeConf({k.replace("_", "."): v for k, v in values.items()})
+        self.sparkContext = type("Context", (), {"applicationId": "app-1"})()
 
 
 def test_folder_comes_from_the_session():
-    assert stage.stage_folder(FakeSession("hdfs://shared/c", "yarn")) == "hdfs://shared/c"
-    assert stage.new_path(FakeSession("hdfs://shared/c/", "yarn")).startswith("hdfs://shared/c/feltgrid/")
+    both = FakeSession(spark_checkpoint_dir="hdfs://shared/c/", spark_sql_warehouse_dir="hdfs://shared/w")
+    assert stage.stage_folder(both) == "hdfs://shared/c/feltgrid/app-1"
+    assert stage.new_path(both).startswith("hdfs://shared/c/feltgrid/app-1/")
+    assert stage.stage_folder(FakeSession(spark_sql_warehouse_dir="hdfs://shared/w")) == "hdfs://shared/w/feltgrid/app-1"
 
 
-def test_cluster_without_folder_is_refused():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        stage.stage_folder(FakeSession(None, "spark://host:7077"))
-
-
-def test_local_session_gets_one_folder():
-    session = FakeSession(None, "local[4]")
-    assert stage.stage_folder(session) == stage.stage_folder(session)
-
-
-def test_stage_and_size_check(spark):
+def test_stage_and_clear(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stage, "stage_folder", lambda _: str(tmp_path / "feltgrid"))
     df = stage.stage(spark.range(10))
-    assert df.count() == 10
-
-    def hinted(frame):
-        return "broadcast" in frame._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(stage.broadcast_if_small(df, 10)) and not hinted(stage.broadcast_if_small(df, 9))
+    assert df.count() == 10 and os.path.exists(tmp_path / "feltgrid")
+    assert stage.clear_stage(spark)
+    assert not os.path.exists(tmp_path / "feltgrid")
