@@ -110,12 +110,14 @@ SELECT valid_rate >= 0.8 AND good >= 20 AS can_do_province,
             WHEN valid_rate >= 0.8 AND good >= 20 THEN 'monthly_province' ELSE 'national_timeline_only' END AS recommended_geo_granularity,
        good AS good_provinces_count, total AS total_provinces_count, round(avg_w, 1) AS avg_weekly_per_province,
        round(med_w, 1) AS median_weekly_per_province,
-       (join_rate < 0.8)::INT + (valid_rate < 0.8)::INT + (good < 20)::INT
-         + (valid_rate >= 0.8 AND good >= 20 AND med_w < {MIN_WEEKLY})::INT
-         + (NOT (valid_rate >= 0.8 AND good >= 20))::INT AS warnings FROM f"""))
+       concat_ws('; ', CASE WHEN join_rate < 0.8 THEN printf('join_rate=%.3f', join_rate) END,
+         CASE WHEN NOT valid_rate >= 0.8 THEN printf('valid_province_rate=%.3f', valid_rate) END,
+         CASE WHEN NOT good >= 20 THEN 'good_provinces=' || good END,
+         CASE WHEN valid_rate >= 0.8 AND good >= 20 AND NOT med_w >= {MIN_WEEKLY} THEN 'granularity=monthly' END,
+         CASE WHEN NOT (valid_rate >= 0.8 AND good >= 20) THEN 'granularity=national' END) AS warnings FROM f"""))
 def feasibility(spark, d):
     row = enrich.feasibility(counts(spark, d), v.NATIONS, MIN_WEEKLY)
-    return row.withColumn("warnings", F.size("warnings"))
+    return row.withColumn("warnings", F.array_join("warnings", "; "))
 
 
 LABELLED = "labelled AS (SELECT * FROM posts WHERE post_id % 3 = 0)"

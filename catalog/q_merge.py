@@ -125,10 +125,10 @@ def quality_report(spark, d):
 
 @query(v.with_(v.POSTS, SETS, DRIFT, REPORT, select="""
 SELECT concat_ws('; ',
-         CASE WHEN duplicate_post_ids_remaining > 0 THEN 'Remaining duplicate post_ids: ' || duplicate_post_ids_remaining END,
-         CASE WHEN out_of_range_rows > 0 THEN 'Scores out of range: ' || out_of_range_rows END,
-         CASE WHEN emotion_sum_valid_rate < 0.95 THEN 'Low emotion sum validity: ' || emotion_sum_valid_rate END,
-         CASE WHEN max_emotion_drift > 0.0001 THEN 'Large emotion drift: ' || printf('%.4f', max_emotion_drift) END) AS issues,
+         CASE WHEN duplicate_post_ids_remaining > 0 THEN 'duplicate_post_ids=' || duplicate_post_ids_remaining END,
+         CASE WHEN out_of_range_rows > 0 THEN 'out_of_range_rows=' || out_of_range_rows END,
+         CASE WHEN emotion_sum_valid_rate < 0.95 THEN 'sum_valid_rate=' || emotion_sum_valid_rate END,
+         CASE WHEN max_emotion_drift > 0.0001 THEN 'emotion_drift=' || printf('%.4f', max_emotion_drift) END) AS issues,
        duplicate_post_ids_remaining = 0 AND out_of_range_rows = 0 AND emotion_sum_valid_rate >= 0.95
          AND max_emotion_drift <= 0.0001 AS recommend_replace FROM report"""))
 def release_recommendation(spark, d):

@@ -191,20 +191,12 @@ def feasibility(
     enough = F.col("good_provinces_count") >= min_provinces
     weekly_ok = F.col("median_weekly") >= min_weekly
     can_do = valid_ok & enough
-    floor = f"{min_rate:.0%}"
-
-    def percent(c: str) -> Column:
-        return F.format_string("%.1f%%", F.col(c) * 100)
-
     warnings = F.array_compact(F.array(
-        F.when(F.col("join_rate") < 0.8,
-               F.concat(F.lit("User join rate "), percent("join_rate"), F.lit(" < 80%"))),
-        F.when(~valid_ok, F.concat(F.lit("Valid province rate "), percent("valid_province_rate"),
-                                   F.lit(f" < {floor}"))),
-        F.when(~enough, F.concat(F.lit("Only "), "good_provinces_count", F.lit("/"), "total_provinces_count",
-                                 F.lit(f" provinces have median weekly >= {min_weekly}"))),
-        F.when(can_do & ~weekly_ok, F.lit("Weekly per-province samples insufficient, using monthly")),
-        F.when(~can_do, F.lit("Province panels not feasible, using the national timeline only")),
+        F.when(F.col("join_rate") < 0.8, F.concat(F.lit("join_rate="), F.format_string("%.3f", "join_rate"))),
+        F.when(~valid_ok, F.concat(F.lit("valid_province_rate="), F.format_string("%.3f", "valid_province_rate"))),
+        F.when(~enough, F.concat(F.lit("good_provinces="), F.col("good_provinces_count"))),
+        F.when(can_do & ~weekly_ok, F.lit("granularity=monthly")),
+        F.when(~can_do, F.lit("granularity=national")),
     ))
     return row.select(
         can_do.alias("can_do_province"),

@@ -197,17 +197,16 @@ def quality_report(
 def release_recommendation(
     report: DataFrame, min_valid_rate: float = 0.95, max_drift: float = 0.05
 ) -> DataFrame:
-    """Issues of a quality report and whether the merged set may replace the published one."""
-    issues = F.array_compact(F.array(
-        F.when(F.col("duplicate_post_ids_remaining") > 0,
-               F.concat(F.lit("Remaining duplicate post_ids: "), "duplicate_post_ids_remaining")),
-        F.when(F.col("out_of_range_rows") > 0,
-               F.concat(F.lit("Scores out of range: "), "out_of_range_rows")),
-        F.when(F.col("emotion_sum_valid_rate") < min_valid_rate,
-               F.concat(F.lit("Low emotion sum validity: "), "emotion_sum_valid_rate")),
-        F.when(F.col("max_emotion_drift") > max_drift,
-               F.concat(F.lit("Large emotion drift: "), F.format_string("%.4f", "max_emotion_drift"))),
-    ))
+    """Issues of a quality report, as ``code=value``, and whether the merged set may replace the published one."""
+    limits = {
+        "duplicate_post_ids": (F.col("duplicate_post_ids_remaining") > 0, F.col("duplicate_post_ids_remaining")),
+        "out_of_range_rows": (F.col("out_of_range_rows") > 0, F.col("out_of_range_rows")),
+        "sum_valid_rate": (F.col("emotion_sum_valid_rate") < min_valid_rate, F.col("emotion_sum_valid_rate")),
+        "emotion_drift": (F.col("max_emotion_drift") > max_drift, F.format_string("%.4f", "max_emotion_drift")),
+    }
+    issues = F.array_compact(F.array(*[
+        F.when(broken, F.concat(F.lit(f"{code}="), value)) for code, (broken, value) in limits.items()
+    ]))
     return report.select(
         F.array_join(issues, "; ").alias("issues"), (F.size(issues) == 0).alias("recommend_replace")
     )

@@ -132,7 +132,7 @@ def test_quality_report_and_recommendation(spark):
     drift = merge.emotion_drift(merged, old)
     assert row.max_emotion_drift == max(abs(r.drift) for r in drift.collect())
     verdict = merge.release_recommendation(report).first()
-    assert not verdict.recommend_replace and verdict.issues == "Scores out of range: 1"
+    assert not verdict.recommend_replace and verdict.issues == "out_of_range_rows=1"
     twice = merge.quality_report(merged.union(merged), old, new).first()
     assert twice.duplicate_post_ids_remaining == 260
 
