@@ -27,6 +27,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every query module."""
     from catalog import (  # noqa: F401
-        q_anomaly, q_cleaning, q_cluster, q_dashboard, q_enrich, q_keywords, q_merge, q_panels,
+        q_anomaly, q_cleaning, q_cluster, q_dashboard, q_dictionary, q_enrich, q_keywords, q_merge, q_panels,
         q_sampling, q_scoring, q_sources, q_tables, q_validate,
     )
