@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feltgrid import domain
 from feltgrid.functions import dates, text
-from feltgrid.operators import anomaly, cluster, enrich, keywords, panels, sampling
+from feltgrid.operators import anomaly, cluster, enrich, keywords, merge, panels, sampling, validate
 from feltgrid.operators.stage import stage
 from feltgrid.sources.tables import require_columns, write_panel
 
@@ -61,6 +61,38 @@ def mini_dataset(
     return kept, log
 
 
+def gated_mini_dataset(
+    posts: DataFrame, users: DataFrame, feasibility: DataFrame, targets: Mapping[str, int] = domain.MONTH_TARGETS,
+    char_class: str = text.ZH_CHARS,
+) -> tuple[DataFrame, DataFrame]:
+    """``mini_dataset`` whose rule for unknown provinces follows the one-row feasibility table.
+
+    Where only a national timeline is feasible, posts without a province are kept.
+    """
+    national = feasibility.first().recommended_geo_granularity == "national_timeline_only"
+    return mini_dataset(posts, users, targets, keep_unknown=national, char_class=char_class)
+
+
+def build_validation(benchmark: DataFrame, score: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Scores of a human-labelled benchmark compared with its labels, from mapped labels to summaries."""
+    mapped = validate.map_labels(benchmark).withColumn("content_clean", text.clean_text("content"))
+    scored = stage(score(mapped).filter("label_status = 'ok'").select(
+        F.col("label_cn").alias("label_true"), validate.predicted_label().alias("predicted")
+    ))
+    names = list(domain.BENCHMARK_LABELS.values())
+    report = validate.class_report(scored, names)
+    return {"confusion": validate.confusion_counts(scored, names), "class_report": report, "summary": validate.f1_summary(scored, names)}
+
+
+def build_expansion(old: DataFrame, new: DataFrame, directory: str) -> dict[str, DataFrame]:
+    """A labelled set extended by new labels: merged table, quality report and release recommendation."""
+    path = f"{directory}/merged"
+    write_panel(merge.merge_best_status(old, new), path)
+    merged = old.sparkSession.read.parquet(path)
+    report = stage(merge.quality_report(merged, old, new))
+    return {"merged": merged, "quality_report": report, "recommendation": merge.release_recommendation(report)}
+
+
 def build_panels(labelled: DataFrame, directory: str, provinces: Sequence[str] | None = domain.PROVINCES,
                  min_posts: int = domain.MIN_POSTS_RELIABLE) -> dict[str, DataFrame]:
     """Write the four panels and return them as read back, so later steps start from small tables."""

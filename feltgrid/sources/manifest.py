@@ -17,8 +17,16 @@ REQUIRED_TABLES = [
 KEYWORD_TABLES = ["nlp_keywords_by_week", "nlp_emotion_keywords", "nlp_global_vocabulary"]
 
 
-def export_bundle(tables: Mapping[str, DataFrame], directory: str, formats: Mapping[str, str] | None = None) -> None:
-    """Write each table below ``directory/<name>``; panels are small, so one file each."""
+def export_bundle(
+    tables: Mapping[str, DataFrame], directory: str, formats: Mapping[str, str] | None = None, required: Sequence[str] = ()
+) -> None:
+    """Write each table below ``directory/<name>``; panels are small, so one file each.
+
+    A name in ``required`` without a table is an error, and nothing is written then.
+    """
+    missing = [name for name in required if name not in tables]
+    if missing:
+        raise ValueError(f"the bundle misses tables: {missing}")
     formats = formats or {}
     for name, df in tables.items():
         write_panel(df, f"{directory}/{name}", formats.get(name, "csv"), files=1)

@@ -103,7 +103,7 @@ def write_panel(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), files: int | None = None
 ) -> None:
     """Overwrite a table. ``files`` compacts a small panel; leave it unset for post-level tables."""
-    out = df if files is None else df.coalesce(files)
+    out = df if files is None else df.repartition(files)
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
