@@ -151,15 +151,26 @@ def bucket_counts(shingle_set: np.ndarray) -> np.ndarray:
     return np.bincount((mix(shingle_set + _U(5)) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=65535).astype(np.uint16)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, link: Link) -> bool:
-    """False only if two sets cannot link: no more can be common than the smaller count of each bucket."""
-    if link.whole * min(na, nb) < link.part * max(na, nb):
-        return False
-    if max(a.max(), b.max()) == 65535:
-        return True
-    n = min(len(a), len(b))
-    a, b = a.reshape(n, -1).sum(1, dtype=np.int64), b.reshape(n, -1).sum(1, dtype=np.int64)
-    return bool(link.links(np.minimum(a, b).sum(), na, nb))
+def may_link_forest(counts: list[np.ndarray], sizes: np.ndarray, link: Link) -> list[tuple[int, int]]:
+    """A spanning forest over all pairs of sets that may link, by their bucket counts.
+
+    No more shingles can be common than the smaller count of each bucket, so a pair is left out only if it
+    cannot link. Each set is compared with all before it at once.
+    """
+    buckets = min(map(len, counts))
+    table = np.stack([c.reshape(buckets, -1).sum(axis=1, dtype=np.int32) for c in counts])
+    full = np.array([c.max() == 65535 for c in counts])
+    group = np.arange(len(counts))
+    edges = []
+    for j in range(1, len(counts)):
+        bound = np.minimum(table[:j], table[j]).sum(axis=1)
+        bound = np.where(full[:j] | full[j], np.minimum(sizes[:j], sizes[j]), bound)
+        for g in np.unique(group[:j][link.links(bound, sizes[:j], sizes[j])]).tolist():
+            if g != group[j]:
+                edges.append((j, g))
+                low, high = sorted((g, int(group[j])))
+                group[group == high] = low
+    return edges
 
 
 class Forest:
@@ -379,13 +390,10 @@ def candidate_edges(members: DataFrame, described: DataFrame, link: Link) -> Dat
                 a += ids[1:]
                 b += ids[:1] * (len(ids) - 1)
             else:
-                counts, forest = [np.frombuffer(r[2], np.uint16) for r in rows], Forest(len(rows))
-                for j in range(1, len(rows)):
-                    for i in range(j):
-                        if forest.root(i) != forest.root(j) and may_link(counts[i], counts[j], rows[i][1], rows[j][1], link):
-                            forest.join(i, j)
-                            a.append(ids[j])
-                            b.append(ids[i])
+                counts = [np.frombuffer(r[2], np.uint16) for r in rows]
+                for j, i in may_link_forest(counts, np.array([r[1] for r in rows]), link):
+                    a.append(ids[j])
+                    b.append(ids[i])
             if len(a) >= 50_000:
                 yield _frame({"a": (a, pa.int64()), "b": (b, pa.int64())})
                 a, b = [], []
@@ -513,8 +521,10 @@ def similar_documents(
     partitions = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     described = stage(describe(docs, link))
     nodes = described.filter(F.col("n") > 0).dropDuplicates(["_row"])
-    first = nodes.groupBy("digest").agg(F.min("_row").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = stage(nodes.select("_row", "digest").join(first.filter(F.col("copies") > 1), "digest").select("_row", "rep", "copies"))
+    # Staged, so that the join below is a plain one, whose hot keys Spark can split.
+    first = stage(nodes.groupBy("digest").agg(F.min("_row").alias("rep"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1))
+    reps = stage(described.filter(F.col("n") > 0).select("_row", "digest").join(first, "digest").select("_row", "rep", "copies"))
+    reps = reps.dropDuplicates(["_row"])
 
     members = region_members(docs, link, partitions)
     members = members.join(reps, "_row", "left").select("region", F.coalesce("rep", "_row").alias("_row")).distinct()
@@ -542,11 +552,13 @@ def similar_documents(
         reps.filter(F.col("_row") != F.col("rep")).select(F.col("_row").alias("a"), F.col("rep").alias("b"))
     )
     components = stage(connected_components(links).withColumnRenamed("node", "_row"))
-    named = described.select("_row", "doc_id").join(components, "_row").groupBy("root").agg(
+    named = stage(described.select("_row", "doc_id").join(components, "_row").groupBy("root").agg(
         F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_first")
-    )
-    counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    own = described.select("_row", "doc_id", "n").join(components, "_row", "left").join(named, "root", "left").join(reps, "_row", "left")
+    ))
+    # Only linked rows are joined by root, so unlinked ones do not meet under a null key.
+    labelled = stage(components.join(named, "root").select("_row", "component_id", "_first"))
+    counts = stage(found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others")))
+    own = described.select("_row", "doc_id", "n").join(labelled, "_row", "left").join(reps, "_row", "left")
     own = own.withColumn("rep", F.coalesce("rep", "_row")).join(counts, "rep", "left")
     return own.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),

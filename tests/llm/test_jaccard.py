@@ -128,3 +128,21 @@ def test_components_of_random_graphs(spark):
             up[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: root(n) for n in list(up)}
+
+
+def test_no_pair_that_may_link_is_left_apart():
+    rng = np.random.default_rng(4)
+    link = jaccard.Link(1, 70, 100)
+    base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (30, 90, 200)]
+    sets = []
+    for i in range(120):
+        s = base[i % 3].copy()
+        s[rng.integers(0, len(s), len(s) // 12)] = rng.integers(0, 1 << 62, len(s) // 12).astype(np.uint64)
+        sets.append(np.unique(s))
+    sizes = np.array([len(s) for s in sets])
+    edges = jaccard.may_link_forest([jaccard.bucket_counts(s) for s in sets], sizes, link)
+    forest = jaccard.Forest(len(sets))
+    assert all(forest.join(i, j) for i, j in edges)
+    common = jaccard.intersections(sets)
+    for i, j in zip(*np.nonzero(link.links(common, sizes[:, None], sizes[None, :]))):
+        assert forest.root(int(i)) == forest.root(int(j))
