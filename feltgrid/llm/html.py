@@ -4,7 +4,8 @@ The pages of a host are merged into one style tree: a node stands for all elemen
 same path of tags and classes. Two entropies say how important a node is. Presentation: an element whose
 children are laid out in many ways matters, one that always looks the same does not. Content: blocks that
 differ from page to page matter, blocks that return on many pages do not. Branches of low importance are
-removed from each page, and so are branches that their tag or class declares to be no content.
+removed from each page, and so are branches that their tag or class declares to be no content. Within an
+article element a branch has to be of less importance still to be removed.
 
 Only hashes of nodes and blocks are aggregated, with partial sums, so one host with a third of all pages is
 no larger a group than any other. The weak nodes of a host are parts of its templates, a short list, and
@@ -40,13 +41,16 @@ NO_CONTENT = frozenset("""head nav header footer aside form button select option
 embed canvas audio video map applet frame frameset""".split())
 ARTICLE = frozenset("article main".split())
 
-#: Words in classes, ids and roles that declare a branch to be no content.
-NO_CONTENT_WORDS = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adslot|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|gdpr|masthead|menu|"
+CONTENT = frozenset("html body main article".split())  # no class declares these to be no content
+WHOLE = frozenset(["", "html", "body"])  # hold all blocks of a page, so their importance tells none apart
+
+#: Classes, ids and roles that declare a branch to be no content, if they are made of these words alone.
+_WORD = (
+    r"(?:ads?|advert\w*|adslot|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|gdpr|masthead|menu|"
     r"modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|skip-link|search|complementary|contentinfo|alert)(?:$|[-_ 0-9])",
-    re.I,
+    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|skip-link|search|complementary|contentinfo|alert)"
 )
+NO_CONTENT_TOKEN = re.compile(rf"{_WORD}(?:[-_]{_WORD}|[-_]?\d+)*", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
@@ -69,13 +73,13 @@ class Block:
     text: str
     path: tuple[int, ...]  # nodes from the root down
     in_article: bool
+    whole: int  # leading nodes of the path that hold the whole page
 
 
 @dataclass
 class Page:
     blocks: list[Block]
     layouts: list[tuple[int, int]]  # node, hash of the order of its children
-    has_article: bool
 
 
 def _hash(*parts: object) -> int:
@@ -92,13 +96,12 @@ def parse(source: str) -> Page:
     blocks: list[Block] = []
     layouts: list[tuple[int, int]] = []
     words: list[str] = []
-    has_article = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
         if text and not stack[-1].dropped:
-            blocks.append(Block(text, tuple(e.node for e in stack if e.tag not in INLINE), stack[-1].in_article))
+            blocks.append(Block(text, tuple(e.node for e in stack if e.tag not in INLINE), stack[-1].in_article, sum(e.tag in WHOLE for e in stack)))
 
     def pop() -> None:
         element = stack.pop()
@@ -163,18 +166,17 @@ def parse(source: str) -> Page:
         in_article = parent.in_article or tag in ARTICLE or named.get("role") in ("main", "article")
         hidden = "hidden" in attributes.lower().split() or "display:none" in named.get("style", "").replace(" ", "").lower()
         banned = tag in NO_CONTENT and not (tag == "header" and parent.in_article)
-        dropped = parent.dropped or banned or hidden or bool(style and NO_CONTENT_WORDS.search(style))
+        dropped = parent.dropped or banned or hidden or (tag not in CONTENT and any(map(NO_CONTENT_TOKEN.fullmatch, style.split())))
         if not inline:
             parent.children.append(tag)
         node = parent.node if inline and not style else _hash(parent.node, tag, _NUMBERS.sub("#", style))
         if inline and dropped and not parent.dropped:
             flush()  # what stands before an inline branch that is left out
         stack.append(Element(tag, node, dropped, in_article))
-        has_article = has_article or (in_article and not dropped)
     flush()
     while len(stack) > 1:
         pop()
-    return Page(blocks, layouts, has_article)
+    return Page(blocks, layouts)
 
 
 def host_of(url: Column) -> Column:
@@ -250,9 +252,8 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str, weak: set[int], very_weak: set[int]) -> str:
     """Blocks outside weak branches, joined by blanks; if none is left, those not declared non-content."""
-    page = parse(source)
-    blocks = [b for b in page.blocks if b.in_article or not page.has_article]
-    kept = [b for b in blocks if not any(n in (very_weak if b.in_article else weak) for n in b.path)]
+    blocks = parse(source).blocks
+    kept = [b for b in blocks if not any(n in (very_weak if b.in_article else weak) for n in b.path[min(b.whole, len(b.path) - 1) :])]
     return " ".join(b.text for b in kept or blocks)
 
 

@@ -52,3 +52,15 @@ def test_one_template_on_every_page_is_kept_as_a_last_resort(spark):
     rows = [(i, f"http://same/{i}", "<body><div><p>All pages say this.</p></div></body>") for i in range(10)]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in found} == {"All pages say this."}
+
+
+def test_text_beside_article_elements_is_kept():
+    page = "<body class='has-sidebar'><div class='story'><p>The story.</p></div><article class='comments-open'><p>A teaser.</p></article><div class='sidebar-2'>Ads</div></body>"
+    assert html.main_text(page, set(), set()) == "The story. A teaser."
+    assert html.main_text("<html class='nav'><body id='search'><main class='related'><p>All of it.</p></main></body></html>", set(), set()) == "All of it."
+
+
+def test_teasers_in_articles_do_not_hide_stories(spark):
+    rows = [(i, u, h.replace("</body>", "<article><p>Read more here.</p></article></body>"), o) for i, u, h, o in pages(30)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert found == {i: f"Story {i} begins. And {i * 7} ends." for i in range(30)}
