@@ -188,12 +188,15 @@ def host_of(url: Column) -> Column:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature), each once for a page; kinds are content, layout, page and under (the feature is then a branch that holds the node)."""
+    """(host, node, kind, feature, share), each once for a page; kinds are content, layout, page and under (the feature is then a branch that holds the node).
+
+    The shares of a page's exact copies on a host add up to one page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            rows: dict[str, list] = {k: [] for k in ("host", "node", "kind", "feature")}
-            for host, source in zip(column(batch, "host"), texts(batch, "html")):
+            rows: dict[str, list] = {k: [] for k in ("host", "node", "kind", "feature", "share")}
+            for host, source, share in zip(column(batch, "host"), texts(batch, "html"), column(batch, "share")):
                 page = parse(source)
                 found = {(n, "layout", f) for n, f in page.layouts} | {(n, "page", 0) for n, _ in page.layouts}
                 for b in page.blocks:
@@ -201,14 +204,20 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                     for n in b.path:
                         found |= {(b.path[-1], "under", n), (n, "page", 0)}
                 for n, kind, f in found:
-                    for k, v in zip(rows, (host, n, kind, f)):
+                    for k, v in zip(rows, (host, n, kind, f, share)):
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict({
                 "host": pa.array(rows["host"], pa.string()), "node": pa.array(rows["node"], pa.int64()),
                 "kind": pa.array(rows["kind"], pa.string()), "feature": pa.array(rows["feature"], pa.int64()),
+                "share": pa.array(rows["share"], pa.float64()),
             })
 
-    return pages.select("host", "html").mapInArrow(run, "host string, node long, kind string, feature long")
+    digest = F.xxhash64("host", "html")
+    # Only pages with copies, so that texts are not shuffled unless very many have them.
+    copied = stage(pages.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1))
+    shared = pages.select("host", "html", digest.alias("digest")).join(copied, "digest", "left")
+    shared = shared.select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    return shared.mapInArrow(run, "host string, node long, kind string, feature long, share double")
 
 
 def node_importance(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -237,7 +246,7 @@ def node_importance(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, importance): the host's own tree, steadied by the tree of all hosts where pages are few."""
-    counts = stage(style_nodes(pages).groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("n")))
+    counts = stage(style_nodes(pages).groupBy("host", "node", "kind", "feature").agg(F.round(F.sum("share")).cast("long").alias("n")))
     own = node_importance(counts, ["host", "node"])
     every = node_importance(counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"])
     every = every.select("node", F.col("m").alias("m_all"), F.col("importance").alias("common"))
@@ -261,7 +270,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     """(page_id, url, text, n_chars) of every page.
 
     A null page is empty and gives an empty text; a null url or one without a host belongs to the host
-    "". Repeated rows get equal texts, but count as pages of their own. Text is never cut or sampled.
+    "". Exact copies on a host get equal texts and are one page of its tree. Text is never cut or sampled.
     """
     pages = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"), host_of(F.col(url)).alias("host")

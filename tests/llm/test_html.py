@@ -64,3 +64,11 @@ def test_teasers_in_articles_do_not_hide_stories(spark):
     rows = [(i, u, h.replace("</body>", "<article><p>Read more here.</p></article></body>"), o) for i, u, h, o in pages(30)]
     found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert found == {i: f"Story {i} begins. And {i * 7} ends." for i in range(30)}
+
+
+def test_copies_of_a_page_are_one_page_of_the_tree(spark):
+    rows = pages(30)
+    rows += [(1_000 + i, f"http://h.example/copy/{i}", rows[3][2], "own host") for i in range(400)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert len(found) == 430 and found[1_000] == found[3]
+    assert all(found[i] == f"Story {i} begins. And {i * 7} ends." for i in range(30))
