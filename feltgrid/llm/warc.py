@@ -29,7 +29,7 @@ from feltgrid.operators.stage import new_path, stage
 LEAST_PAYLOAD = 100
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 20
-HEADER_BYTES = 64 << 10
+HEADER_BYTES = 4 << 10  # read at first; longer headers are read on to their end
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -185,16 +185,16 @@ class Damaged(ValueError):
 
 def parse_record(source: Bytes, at: int) -> tuple[dict, int]:
     """The record that begins at ``at`` and where it ends; raises Damaged if any check fails."""
-    head, end = b"", -1
+    n, end = HEADER_BYTES, -1
     while end < 0:
-        more = source.read(at + len(head), 4096)
-        if not more or len(head) > HEADER_BYTES:
-            raise Damaged("no end of headers")
-        head += more
+        head = source.read(at, n)
+        if not re.match(rb"WARC/1\.[01]\r\n", head):
+            raise Damaged("no version line")
         end = head.find(b"\r\n\r\n")
+        if end < 0 and at + n >= source.size:
+            raise Damaged("no end of headers")
+        n *= 4
     lines = head[:end].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        raise Damaged("no version line")
     fields = {}
     for line in lines[1:]:
         key, colon, value = line.decode("utf-8", "replace").partition(":")

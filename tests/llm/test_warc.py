@@ -81,3 +81,14 @@ def test_no_rows_and_empty_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1) + b"\0" * 100 + record(2))
     read = warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc"),)], "path string"))
     assert read.filter(F.col("kind") == "record").count() == 2 and [(r.end - r.start) for r in warc.quarantine(read).collect()] == [100]
+
+
+def test_headers_of_any_length_are_read(spark, tmp_path):
+    url = "data:text/html," + "a" * 300_000
+    df = spark.createDataFrame([(1, url, BIG), (2, "http://a/2", BIG + "y")], "page_id long, url string, html string")
+    read = warc.read_archives(warc.write_archives(df))
+    assert warc.quarantine(read).isEmpty() and {r.page_id: len(r.url) for r in warc.records(read).collect()} == {"1": len(url), "2": 10}
+    payload = b"x" * 50
+    long = warc.record_bytes(9, url, payload, hashlib.sha256(payload).hexdigest(), "response", None)
+    assert summary(record(1) + long + record(2)) == (["1", "9", "2"], [])
+    assert summary(record(1) + long[:200_000]) == (["1"], [(len(record(1)), len(record(1)) + 200_000)])
