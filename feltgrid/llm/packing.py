@@ -177,7 +177,7 @@ def pack_documents(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).ids, np.array([end_id], "<u4")
+        encode, end = encoder(path).ids_with_added, np.array([end_id], "<u4")
         chunk, kind = Chunk(width, shortest_tier, step_sequences * width, TaskContext.get().partitionId() << 33), None
 
         def batch_of(rows: dict[str, list]) -> pa.RecordBatch:

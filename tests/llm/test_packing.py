@@ -75,3 +75,13 @@ def test_windows_are_filled():
 
 def test_no_rows(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_added_tokens_have_the_ids_of_an_unmodified_tokenizer(spark):
+    t = Tokenizer.from_file(PATH)
+    want = lambda text: t.encode(text, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n", "x  <|endoftext|>  y", "<|endoftext", "é<|endoftext|>🎉"]
+    for text in texts:
+        assert encoder(PATH).ids_with_added(text).tolist() == want(text)
+    rows = packing.pack_documents(docs(spark, [(i, text, "en", "a") for i, text in enumerate(texts)])).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(want(text)) + 1 for i, text in enumerate(texts)}
