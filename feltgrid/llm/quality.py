@@ -32,6 +32,7 @@ PRIOR_SHARE = 0.2
 PRIOR_LOW = (0.001, 0.3)  # of a low vote on a good and on a low document
 KEEP = 0.5
 CACHE_ENTRIES = 300_000
+PIECE = 64  # characters of a word whose shape is one feature
 SILENT, LOW, GOOD = 0, 1, 2
 
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
@@ -156,12 +157,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 class Shapes(dict):
-    """Hashed column of a word's shape, as met: letters as A or a, digits as 0, runs as one sign."""
+    """Hashed column of the shape of a word or of a piece of one, as met: letters as A or a, digits as 0, runs as one sign."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        signs = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
+        signs = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
         shape = "".join(c for i, c in enumerate(signs) if not i or c != signs[i - 1])
         out = self[word] = zlib.crc32(shape.encode()) % DIMENSIONS
         return out
@@ -170,17 +171,26 @@ class Shapes(dict):
 def hashed(text: str, shapes: Shapes) -> tuple[dict[int, float], int]:
     """Sparse features and the votes: shares of word shapes, repetition, variety, and the low votes cast.
 
-    Shares are taken of ``n + 20`` words, so that the few words of a short text weigh little.
+    Shares are taken of ``n + 20`` words, so that the few words of a short text weigh little. Of a word of
+    more than ``PIECE`` characters, each piece of that length counts as a word's shape.
     """
     words = text.split()
     counts = Counter(words)
     n = len(words) + 20
+    pieces = Counter()
+    for word, k in counts.items():
+        if len(word) <= PIECE:
+            pieces[word] += k
+        else:
+            for at in range(0, len(word), PIECE):
+                pieces[word[at : at + PIECE]] += k
+    shares = pieces.total() + 20
     seen = facts(text, words, counts)
     pattern = votes(seen)
     x: dict[int, float] = {}
-    for word, k in counts.items():
-        at = shapes[word]
-        x[at] = x.get(at, 0.0) + k / n
+    for piece, k in pieces.items():
+        at = shapes[piece]
+        x[at] = x.get(at, 0.0) + k / shares
     named = {"repeated": seen.repeated, "variety": (len(counts) + 20) / n, "bias": 3.0}
     named |= {f"low {name}": 1.0 for name, v in zip(LABELLERS, digits(pattern)) if v == LOW}
     for name, value in named.items():

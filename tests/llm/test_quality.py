@@ -47,3 +47,13 @@ def test_expectation_maximisation_finds_the_accuracies():
     model = quality.expectation_maximisation(patterns, counts.astype(float))
     assert abs(model.low - 0.2) < 0.03
     assert ((model.posterior(votes) > 0.5) == low).mean() > 0.98
+
+
+def test_long_words_count_to_their_end():
+    head = "ab1-" * 30
+    one, two = (quality.hashed(head + rest, quality.Shapes())[0] for rest in ("字.X" * 60, "9/" * 90))
+    shapes = lambda x: {k: round(v, 6) for k, v in x.items()}
+    assert shapes(one) != shapes(two)
+    # Words of ordinary length keep their shares.
+    x, _ = quality.hashed("Word word", quality.Shapes())
+    assert 1 / 22 in x.values()
