@@ -404,6 +404,7 @@ def candidate_edges(members: DataFrame, described: DataFrame, link: Link) -> Dat
 
 
 REGIONS = "region long, _row long, weight long, home boolean, side int, tokens binary"
+CELLS = REGIONS + ", parent long"
 
 
 def join_small(regions: DataFrame, link: Link) -> DataFrame:
@@ -425,7 +426,7 @@ def join_small(regions: DataFrame, link: Link) -> DataFrame:
 
 
 def cut_at_pivots(regions: DataFrame, link: Link, salts: int) -> DataFrame:
-    """The cells of each region: its sets spread over ``salts`` tasks, each with all pivots of the region."""
+    """The cells of each region, their ``parent``: its sets spread over ``salts`` tasks, each with all pivots of the region."""
     order = W.partitionBy("region").orderBy(F.xxhash64("_row", "region"), "_row")
     ranked = regions.filter(F.col("home")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= PIVOTS)
     pivots = ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -435,7 +436,7 @@ def cut_at_pivots(regions: DataFrame, link: Link, salts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pivot_ids, pivot_sets = None, [], []
         for batch in batches:
-            out = {n.split()[0]: [] for n in REGIONS.split(", ")}
+            out = {n.split()[0]: [] for n in CELLS.split(", ")}
             for rank, salt, *cells in zip(*(column(batch, c) for c in ("_rank", "_salt", "region", "_row", "weight", "home", "side", "tokens"))):
                 region, row, weight, home, side, tokens = cells
                 if (region, salt) != here:
@@ -449,12 +450,12 @@ def cut_at_pivots(regions: DataFrame, link: Link, salts: int) -> DataFrame:
                 nearest = int(np.lexsort((pivot_ids, far))[0])
                 for c in np.flatnonzero(far <= far.min() + 2 * link.eps + 1e-9):
                     name = xxhash.xxh3_64_intdigest(f"{region}:{pivot_ids[c]}") - (1 << 63)
-                    for k, v in zip(out, (name, row, weight, home and c == nearest, side, tokens)):
+                    for k, v in zip(out, (name, row, weight, home and c == nearest, side, tokens, region)):
                         out[k].append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([bool(x) for x in v] if t == pa.bool_() else v, t) for v, t in zip(out.values(), types)], list(out))
 
-    return both.mapInArrow(run, REGIONS)
+    return both.mapInArrow(run, CELLS)
 
 
 def in_block_pairs(regions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -485,27 +486,20 @@ def metric_join(regions: DataFrame, link: Link, region_bytes: int = REGION_BYTES
             return results
         parents = stage(regions.join(marked.filter("large").select("region"), "region", "left_semi"))
         cells = stage(cut_at_pivots(parents, link, salts))
-        biggest = cells.groupBy("region").agg(F.count(F.lit(1)).alias("sets"))
-        stuck = _stuck(parents, cells, biggest, marked)
+        stuck = _stuck(cells, marked)
         blocks = stuck.select("region", F.greatest(F.lit(2), F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("bytes") / region_bytes)).alias("blocks"))
         results.append(join_small(in_block_pairs(parents, blocks), link))
-        regions = stage(cells.join(_cells_of(cells, parents, stuck), "region", "left_anti"))
+        # A row is in several regions after the first cut, so cells go by their parent, not by their rows.
+        regions = stage(cells.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").drop("parent"))
 
 
-def _stuck(parents: DataFrame, cells: DataFrame, cell_sizes: DataFrame, marked: DataFrame) -> DataFrame:
-    """Regions with a cell of nine tenths of their sets."""
-    origin = parents.select(F.col("region").alias("_parent"), "_row")
-    of = cells.select("region", "_row").join(origin, "_row").groupBy("region", "_parent").count()
-    full = of.join(cell_sizes, "region").filter(F.col("count") == F.col("sets")).groupBy("_parent").agg(F.max("sets").alias("_most"))
-    joined = marked.filter("large").join(full.withColumnRenamed("_parent", "region"), "region", "left")
+def _stuck(cells: DataFrame, marked: DataFrame) -> DataFrame:
+    """Large regions with a cell of nine tenths of their sets."""
+    most = cells.groupBy("parent", "region").count().groupBy(F.col("parent").alias("region")).agg(F.max("count").alias("_most"))
+    joined = marked.filter("large").join(most, "region", "left")
     return joined.filter(F.coalesce("_most", F.lit(1 << 60)) >= 0.9 * F.col("sets"))
 
 
-def _cells_of(cells: DataFrame, parents: DataFrame, stuck: DataFrame) -> DataFrame:
-    gone = parents.join(stuck.select("region"), "region", "left_semi").select("_row", F.col("region").alias("_parent"))
-    return cells.join(gone, "_row").select("region").distinct()
-
-
 def similar_documents(
     docs: DataFrame, link: Link, doc_id: str = "doc_id", text: str = "text", region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS
 ) -> DataFrame:

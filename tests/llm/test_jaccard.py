@@ -146,3 +146,39 @@ def test_no_pair_that_may_link_is_left_apart():
     common = jaccard.intersections(sets)
     for i, j in zip(*np.nonzero(link.links(common, sizes[:, None], sizes[None, :]))):
         assert forest.root(int(i)) == forest.root(int(j))
+
+
+def joined(spark, sets, link, region_sets, region_bytes=1 << 30):
+    """Links of each position and the root of its component, from one region of ``sets``."""
+    rows = [(1, i, 1, True, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    found = jaccard.metric_join(spark.createDataFrame(rows, jaccard.REGIONS), link, region_bytes, region_sets)
+    links, forest = [0] * len(sets), jaccard.Forest(len(sets))
+    for part in found:
+        for r in part.collect():
+            if r.b is None:
+                links[r.a] += r.n
+            else:
+                forest.join(r.a, r.b)
+    return links, [forest.root(i) for i in range(len(sets))]
+
+
+def test_cells_beside_a_stuck_region_are_joined(spark):
+    """A tight cluster on a chain of gradually changing sets: some cells no longer shrink, their neighbours do."""
+    rng = np.random.default_rng(2)
+    token = np.unique(rng.integers(0, 1 << 62, 4_000).astype(np.uint64))
+    rng.shuffle(token)
+    sets = [np.unique(token[2 * i : 2 * i + 100]) for i in range(150)]
+    for i in range(60):
+        s = token[100:200].copy()
+        s[rng.integers(0, 100)] = token[3_000 + i]
+        sets.append(np.unique(s))
+    link = jaccard.Link(1, 90, 100)
+    sizes = np.array([len(s) for s in sets])
+    hit = link.links(jaccard.intersections(sets), sizes[:, None], sizes[None, :])
+    np.fill_diagonal(hit, False)
+    forest = jaccard.Forest(len(sets))
+    for i, j in zip(*np.nonzero(hit)):
+        forest.join(int(i), int(j))
+    links, roots = joined(spark, sets, link, region_sets=25)
+    assert links == hit.sum(1).tolist()
+    assert roots == [forest.root(i) for i in range(len(sets))]
