@@ -37,7 +37,7 @@ PIVOTS = 16
 REGION_BYTES = 16 << 20  # of shingles that one task joins at once
 REGION_SETS = 2_048
 LEAF = 96  # sets that are compared without further pivots
-FOREST_SETS = 4_096  # sets of a chance region that are compared by their counts
+FOREST_SETS = 4_096  # sets of a chance region that one task compares by their counts
 CHUNK_SIGNATURES = 1_500_000
 BUCKETS_PER_PARTITION = 4
 COLUMNS = 4_096
@@ -379,28 +379,43 @@ def in_groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) ->
         yield current, rows
 
 
+def split_regions(members: DataFrame, most: int = FOREST_SETS) -> tuple[DataFrame, DataFrame]:
+    """Star edges (a, b) of the regions of more than ``most`` sets, and the members of all others.
+
+    Sizes are combined before the shuffle. At most one member row in ``most`` is a row of the large regions'
+    table, which is staged, so Spark broadcasts it and no large region meets in one task.
+    """
+    members = stage(members)
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("_row").alias("b"))
+    large = stage(sizes.filter(F.col("sets") > most).select("region", "b"))
+    stars = members.join(large, "region").filter(F.col("_row") != F.col("b")).select(F.col("_row").alias("a"), "b")
+    return stars, members.join(large.select("region"), "region", "left_anti")
+
+
 def candidate_edges(members: DataFrame, described: DataFrame, link: Link) -> DataFrame:
-    """Edges that connect all sets of a region that may link; a spanning forest for each region."""
+    """Edges that connect all sets of a region that may link; a spanning forest for each region.
+
+    Regions of more than ``FOREST_SETS`` sets are connected without a look at their counts: the metric join
+    cuts them at pivots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in in_groups(batches, "region", ["_row", "n", "counts"]):
             ids = [r[0] for r in rows]
-            if len(rows) > FOREST_SETS:  # too many to compare here: the metric join cuts them at pivots
-                a += ids[1:]
-                b += ids[:1] * (len(ids) - 1)
-            else:
-                counts = [np.frombuffer(r[2], np.uint16) for r in rows]
-                for j, i in may_link_forest(counts, np.array([r[1] for r in rows]), link):
-                    a.append(ids[j])
-                    b.append(ids[i])
+            counts = [np.frombuffer(r[2], np.uint16) for r in rows]
+            for j, i in may_link_forest(counts, np.array([r[1] for r in rows]), link):
+                a.append(ids[j])
+                b.append(ids[i])
             if len(a) >= 50_000:
                 yield _frame({"a": (a, pa.int64()), "b": (b, pa.int64())})
                 a, b = [], []
         yield _frame({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
-    rows = members.join(described.select("_row", "n", "counts"), "_row")
-    return rows.repartition("region").sortWithinPartitions("region", "_row").mapInArrow(run, "a long, b long").distinct()
+    stars, small = split_regions(members)
+    rows = small.join(described.select("_row", "n", "counts"), "_row")
+    forests = rows.repartition("region").sortWithinPartitions("region", "_row").mapInArrow(run, "a long, b long")
+    return forests.unionByName(stars).distinct()
 
 
 REGIONS = "region long, _row long, weight long, home boolean, side int, tokens binary"

@@ -182,3 +182,15 @@ def test_cells_beside_a_stuck_region_are_joined(spark):
     links, roots = joined(spark, sets, link, region_sets=25)
     assert links == hit.sum(1).tolist()
     assert roots == [forest.root(i) for i in range(len(sets))]
+
+
+def test_large_regions_become_stars_and_are_not_grouped(spark):
+    members = spark.createDataFrame([(1, r) for r in range(10)] + [(2, r) for r in range(5, 8)], "region long, _row long")
+    # Without counts, so a task that looked at the members of a large region would fail.
+    described = spark.createDataFrame([(r, 1, None) for r in range(10)], "_row long, n long, counts binary")
+    stars, small = jaccard.split_regions(members, 3)
+    assert sorted(map(tuple, stars.collect())) == [(r, 0) for r in range(1, 10)]
+    assert sorted(r._row for r in small.collect()) == [5, 6, 7]
+    many = spark.range(jaccard.FOREST_SETS + 1).selectExpr("7L AS region", "id AS _row")
+    joined_to = jaccard.candidate_edges(many, described, jaccard.Link(1, 90, 100))
+    assert joined_to.count() == jaccard.FOREST_SETS and joined_to.filter("b <> 0").isEmpty()
