@@ -2,7 +2,9 @@
 
 Word counts of all training documents are exact, kept as packed tables by word hash. The network is small
 and sees the most frequent words: gated recurrent units, an output softmax factored into word classes, and
-truncated backpropagation in numpy on a bounded sample of training documents. A document is scored whole:
+truncated backpropagation in numpy. It starts from weights learnt on a bounded sample in one task, then all
+training documents train it, dealt to a few rounds by hash: each task goes over its partition's documents of
+the round from the same weights, and the weights of all tasks are averaged by their tokens. A document is scored whole:
 its state is carried from window to window to the end. Words outside the network's vocabulary are one
 class to it, and share that class's probability by their counts, so the model is a distribution over all
 words with one unit of count left for unseen ones.
@@ -13,6 +15,7 @@ joined by hash in packed rows, each distinct word of a document once.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +33,27 @@ from feltgrid.operators.stage import stage
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the model; none depends on the size of the corpus."""
+    """Bounds of the model and of its start; all training documents are learnt from, whatever they are."""
 
     frequent: int = 131_072  # words whose counts are broadcast
     vocabulary: int = 1_500  # words the network tells apart
-    sample_documents: int = 2_500
+    sample_documents: int = 2_500  # of the weights that the rounds start from
     sample_tokens: int = 700_000
     units: int = 16
     window: int = 16
     streams: int = 64
     epochs: int = 2
     rate: float = 0.01
+    rounds: int = 3  # in which all training documents are learnt from, each in one of them
+    round_streams: int = 512
 
 
 END = b"\n"  # no word contains white space
 CACHE_WORDS = 400_000
 CHUNK_TOKENS = 3_000_000
 SCORED_AT_ONCE = 512  # documents
+UPDATES = 64  # of the weights, at least, in a chunk of a round
+PIECES = 16  # in which weights are averaged
 LN10 = math.log(10)
 TINY = 1e-30
 
@@ -236,7 +244,7 @@ class Network:
             e /= m
             g["w"][k], g["wb"][k] = flat[rows].T @ e, e.sum(0)
             dh_out[rows] += e @ self.p["w"][k].T
-        dh = np.zeros((streams, s), np.float32)
+        dh, rows = np.zeros((streams, s), np.float32), []
         for t in range(steps - 1, -1, -1):
             before, z, r, n, hn = kept[t]
             dh = dh + dh_out[t * streams : (t + 1) * streams]
@@ -245,12 +253,33 @@ class Network:
             dr = dn * hn * r * (1 - r)
             dx = np.concatenate([dz, dr, dn], axis=1)
             du = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g["x"], inputs[t], dx)
+            rows.append(dx)
             g["u"] += before.T @ du
             dh = (dh * z + du @ self.p["u"].T) * (inputs[t] != self.end)[:, None]
+        met = inputs[::-1].reshape(-1)
+        order = np.argsort(met, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(met[order]) != 0))
+        g["x"][met[order][start]] = np.add.reduceat(np.concatenate(rows)[order], start)
         return g, h, float(loss) / m
 
 
+class Adam:
+    """Steps of the weights of a network."""
+
+    def __init__(self, network: Network):
+        self.network, self.turn = network, 0
+        self.first = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in network.p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.turn += 1
+        for k, v in self.network.p.items():
+            np.clip(g[k], -1, 1, out=g[k])
+            self.first[k] += 0.1 * (g[k] - self.first[k])
+            self.second[k] += 0.005 * (g[k] * g[k] - self.second[k])
+            v -= rate * (self.first[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.second[k] / (1 - 0.995**self.turn)) + 1e-8)
+
+
 def train(network: Network, ids: np.ndarray, limits: Limits) -> list[float]:
     """Truncated backpropagation with Adam over parallel streams; returns the mean loss of each epoch."""
     streams = max(1, min(limits.streams, len(ids) // (2 * limits.window)))
@@ -258,27 +287,59 @@ def train(network: Network, ids: np.ndarray, limits: Limits) -> list[float]:
     if length < 2:
         return []
     words = ids[: streams * length].reshape(streams, length).T
-    first = {k: np.zeros_like(v) for k, v in network.p.items()}
-    second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    losses, turn = [], 0
+    losses, steps = [], Adam(network)
     total = max(1, limits.epochs * ((length - 1) // limits.window))
     for _ in range(limits.epochs):
         h, sums = np.zeros((streams, network.units), np.float32), []
         for at in range(0, length - 1, limits.window):
             stop = min(at + limits.window, length - 1)
             g, h, loss = network.gradients(words[at:stop], words[at + 1 : stop + 1], h)
-            turn += 1
-            rate = limits.rate * max(0.1, 1 - turn / total)
-            for k, v in network.p.items():
-                np.clip(g[k], -1, 1, out=g[k])
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.005 * (g[k] * g[k] - second[k])
-                v -= rate * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.995**turn)) + 1e-8)
+            steps.step(g, limits.rate * max(0.1, 1 - (steps.turn + 1) / total))
             sums.append(loss)
         losses.append(float(np.mean(sums)))
     return losses
 
 
+class Learner:
+    """Truncated backpropagation over ids as they come, each of them a target once."""
+
+    def __init__(self, network: Network, limits: Limits, rate: float):
+        self.network, self.limits, self.rate, self.steps = network, limits, rate, Adam(network)
+        self.held, self.size, self.last, self.tokens = [], 0, network.end, 0
+        self.chunk = limits.round_streams * limits.window * UPDATES
+
+    def add(self, ids: np.ndarray) -> None:
+        while self.size + len(ids) >= self.chunk:
+            cut = self.chunk - self.size
+            self.held.append(ids[:cut])
+            rest = self.learn(np.concatenate(self.held))
+            ids = np.concatenate([rest, ids[cut:]])
+            self.held, self.size = [], 0
+        self.held.append(ids)
+        self.size += len(ids)
+
+    def finish(self) -> None:
+        rest = np.concatenate(self.held) if self.held else np.empty(0, np.int64)
+        while len(rest):
+            rest = self.learn(rest)
+        self.held, self.size = [], 0
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """One pass over ``ids`` in parallel streams; returns the few that do not fill all streams."""
+        window = self.limits.window
+        streams = max(1, min(self.limits.round_streams, len(ids) // (window * UPDATES)))
+        length = len(ids) // streams
+        n = streams * length
+        inputs = np.append(self.last, ids[: n - 1]).reshape(streams, length).T
+        targets = ids[:n].reshape(streams, length).T
+        h = np.zeros((streams, self.network.units), np.float32)
+        for at in range(0, length, window):
+            g, h, _ = self.network.gradients(inputs[at : at + window], targets[at : at + window], h)
+            self.steps.step(g, self.rate)
+        self.last, self.tokens = ids[n - 1], self.tokens + n
+        return ids[n:]
+
+
 def score_sequences(network: Network, sequences: list[np.ndarray], window: int) -> np.ndarray:
     """Sum of natural log probabilities of each sequence; long ones first, the state carried throughout."""
     out = np.zeros(len(sequences))
@@ -332,7 +393,7 @@ class Positions(dict):
 
 
 def fit_network(training: DataFrame, hashes: np.ndarray, limits: Limits) -> Network:
-    """A network trained on the first documents by a hash of their content, in one task, bounded in tokens."""
+    """The network that the rounds start from: the first documents by a hash of their content, in one task, bounded in tokens."""
     vocabulary = min(limits.vocabulary, len(hashes))
     end_hash = xxhash.xxh3_64_intdigest(END) - (1 << 63)
     at = np.flatnonzero(hashes[:vocabulary] == end_hash)
@@ -374,6 +435,62 @@ def fit_network(training: DataFrame, hashes: np.ndarray, limits: Limits) -> Netw
     return network
 
 
+def train_on_all(network: Network, training: DataFrame, hashes: np.ndarray, limits: Limits) -> None:
+    """One pass over all training documents in rounds, each from the token-weighted mean of all tasks' weights.
+
+    Only weights travel: each task gives them in pieces, and a piece is summed as it streams in.
+    """
+    vocabulary = min(limits.vocabulary, len(hashes))
+    spark, names = training.sparkSession, sorted(network.p)
+    shapes = [network.p[k].shape for k in names]
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    cuts = np.linspace(0, int(ends[-1]), PIECES + 1).astype(int)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total, tokens_met = None, 0.0, 0
+        for batch in batches:
+            for piece, n, data in zip(*(column(batch, c) for c in ("piece", "tokens", "data"))):
+                if piece != current and tokens_met:
+                    yield averaged(current, total / tokens_met)
+                    total, tokens_met = 0.0, 0
+                current = piece
+                total, tokens_met = total + n * np.frombuffer(data, np.float32).astype(np.float64), tokens_met + n
+        if tokens_met:
+            yield averaged(current, total / tokens_met)
+
+    def averaged(piece: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "data": pa.array([values.astype(np.float32).tobytes()], pa.binary())})
+
+    for turn in range(limits.rounds):
+        shared = spark.sparkContext.broadcast((network, hashes[:vocabulary]))
+        rate = limits.rate * max(0.1, 1 - turn / limits.rounds)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            start, words = shared.value
+            own = copy.copy(start)
+            own.p = {k: v.copy() for k, v in start.p.items()}  # a worker's other tasks start from the same weights
+            known, learner = Positions(words), Learner(own, limits, rate)
+            for batch in slices(batches, "text", 4 << 20):
+                for t in texts(batch, "text"):
+                    learner.add(network_ids(np.array([known[w] for w in tokens(t)], np.int64), vocabulary))
+            learner.finish()
+            if learner.tokens:
+                flat = np.concatenate([own.p[k].reshape(-1) for k in names]).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({
+                    "piece": pa.array(range(PIECES), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * PIECES, pa.int32()),
+                    "tokens": pa.array([learner.tokens] * PIECES, pa.int64()),
+                    "data": pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                })
+
+        part = training.filter(F.pmod("_row", F.lit(limits.rounds)) == turn)
+        weights = part.select("text").mapInArrow(learn, "piece int, task int, tokens long, data binary")
+        rows = weights.repartition(PIECES, "piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, data binary").collect()
+        if not rows:
+            return
+        flat = np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows)])
+        network.p = {k: v.reshape(x).copy() for k, v, x in zip(names, np.split(flat, ends[:-1]), shapes)}
+
+
 SCORED = "n_tokens long, known long, base double, network double, outside double, n_outside long"
 PACKED = "bucket int, words binary, owners binary, times binary"
 
@@ -517,6 +634,7 @@ def score_documents(
     distinct, total = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     hashes, frequent = frequent_words(counts, limits.frequent, buckets)
     network = fit_network(training, hashes, limits)
+    train_on_all(network, training, hashes, limits)
     inside = frequent[: limits.vocabulary]
     scored = score_rows(docs, network, hashes, frequent, limits, buckets)
     rare = rare_sums(scored.filter(F.col("bucket").isNotNull()), counts, buckets)

@@ -78,3 +78,24 @@ def test_states_are_carried_across_windows():
             total += net.log_probabilities(h, np.array([w]))[0]
             last = w
         assert abs(total - value) < 1e-3
+
+
+def test_network_learns_from_all_training_documents(spark):
+    """The start sees three tokens of one document, so only the rounds can learn the order of the words."""
+    rows = [(i, " ".join("abcdefgh"[(i + k) % 8] for k in range(40)), "en", "a") for i in range(300)]
+    limits = lm.Limits(frequent=40, vocabulary=12, sample_documents=1, sample_tokens=3, units=8, window=8, rate=0.03)
+    found = lm.score_documents(docs(spark, rows).coalesce(2), lambda key: key % 5 == 0, limits=limits).collect()
+    held = [r.score / r.n_tokens for r in found if r.held_out]
+    base = [r.base_score / r.n_tokens for r in found if r.held_out]
+    assert sum(held) / len(held) > sum(base) / len(base) + 0.3
+
+
+def test_each_id_is_a_target_once(monkeypatch):
+    net, seen = lm.Network(50, 1, 4), collections.Counter()
+    monkeypatch.setattr(net, "gradients", lambda x, y, h: (seen.update(y.reshape(-1).tolist()), ({k: np.zeros_like(v) for k, v in net.p.items()}, h, 0.0))[1])
+    ids = np.random.default_rng(3).integers(0, 50, 9_001)
+    learner = lm.Learner(net, lm.Limits(window=4, round_streams=8), 0.01)
+    for part in np.split(ids, [5, 700, 6_000]):
+        learner.add(part)
+    learner.finish()
+    assert learner.tokens == len(ids) and seen == collections.Counter(ids.tolist())
