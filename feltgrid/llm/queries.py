@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.llm import decontaminate, fingerprint, html, jaccard, lm, packing, quality, secrets, toxicity, warc
+from feltgrid.llm import bestfit, decontaminate, dialogue, divergence, fingerprint, html, jaccard, lm, packing, quality, secrets, toxicity, warc
 from feltgrid.llm.frames import joined_ids
 
 
@@ -146,9 +146,105 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS m FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCUMENTS}),
+size AS (SELECT lang, count(*) AS v, sum(m)::HUGEINT AS m FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM n GROUP BY lang, source),
+g AS (SELECT a.lang, a.source, coalesce(v, 0) AS v, coalesce(t.n, 0) AS n, coalesce(s.m, 0) AS m
+      FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN total t USING (lang, source) LEFT JOIN size s ON s.lang = a.lang),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS c,
+             1 + {divergence.SCALE}::HUGEINT * (coalesce(n.n, 0) + 2) // (g.n + 2 * g.v) AS p, 1 + {divergence.SCALE}::HUGEINT * (kept.m + 2) // (g.m + 2 * g.v) AS q
+      FROM g JOIN kept USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+         FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    damaged = dialogue.damage(dialogue.read_rows(conversations))
+    return dialogue.Repair(damaged, ids=conversations.select("conv_id")).digests()
+
+
+def _turn_sql(role: str, text: str, after: str, cost: str, letter: str) -> str:
+    """The repair that puts a turn before the one of state ``after``."""
+    return f"{{'c': {after}.c + {cost}, 'a': '{letter}' || {after}.a, 't': chr(10) || {role} || ':' || {text} || {after}.t}}"
+
+
+def _row_sql(state: int) -> str:
+    """The best repair from row x on in a state of the grammar, its first edit no insertion."""
+    after = dialogue.NEXT[state]
+    role = dialogue.ROLE[after]
+    options = [f"{{'c': s{state}.c + 2, 'a': 'D' || s{state}.a, 't': s{state}.t}}",
+               f"CASE WHEN NOT gone THEN {_turn_sql(repr(role), 'x.text', f's{after}', '1 + extra', 'R')} END",
+               f"CASE WHEN NOT gone AND initial = '{role[0]}' THEN {_turn_sql('x.role', 'x.text', f's{after}', 'extra', 'K')} END"]
+    if state == dialogue.START:
+        options.append(f"CASE WHEN NOT gone AND initial = 's' THEN {_turn_sql('x.role', 'x.text', 's1', 'extra', 'K')} END")
+    return f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL)) AS n{state}"
+
+
+def _insert_sql(state: int, after: str) -> str:
+    role = dialogue.ROLE[dialogue.NEXT[state]]
+    return f"list_min([n{state}, {_turn_sql(repr(role), repr(''), after, '5', 'I')}]) AS s{state}"
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda k: ord(k)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (SELECT *, {_CRC_SQL} % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+             CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM hit, LATERAL unnest(generate_series(1, CASE h WHEN 3 THEN 2 ELSE 1 END)) WHERE h <> 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+f AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), again) AS i,
+             regexp_full_match(text, '[\x20\x09-\x0D]*') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM e),
+x AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS odd FROM f),
+dp AS (
+  SELECT conv_id, count(*) + 1 AS pos, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1,
+         {{'c': 5, 'a': 'I', 't': chr(10) || 'assistant:'}} AS s2, {{'c': 0, 'a': '', 't': ''}} AS s3 FROM x GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, {_insert_sql(0, "s2")}, {_insert_sql(1, "s2")}, s2, s3
+  FROM (SELECT *, {_insert_sql(2, "n3")}, {_insert_sql(3, "n2")}
+        FROM (SELECT x.conv_id, x.i AS pos, {", ".join(map(_row_sql, range(4)))}
+              FROM dp JOIN x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.i = dp.pos - 1))),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+                  count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT gone) AS truncated,
+                  count(*) FILTER (WHERE odd) AS illegal FROM x GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM o.conv_id AND dp.pos = 1
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_packing, op4_html, op5_decontaminate, op6_lm_score, op7_toxicity, op8_quality, op9_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (
+        op1_jaccard_join, op2_secrets, op3_packing, op4_html, op5_decontaminate, op6_lm_score, op7_toxicity, op8_quality, op9_warc, op10_fingerprint,
+        op11_best_fit, op12_divergence, op13_conversations,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL, "op12_divergence": OP12_SQL, "op13_conversations": OP13_SQL}
