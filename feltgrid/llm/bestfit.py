@@ -193,8 +193,8 @@ def pack_best_fit(
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     found = stage(pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path, width, end_id, with_ids))
-    sizes = stage(found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
-    plan, _ = best_fit_decreasing({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, width)
+    sizes = found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    plan, _ = best_fit_decreasing({r.length: r["count"] for r in found.groupBy("length").count().collect()}, width)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = found.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
