@@ -1,10 +1,11 @@
 """Document log-likelihoods from a gated recurrent language model.
 
-Word counts of all training documents are exact, kept as packed tables by word hash. The network is small
+Word counts of all training documents are exact, kept as packed tables by word hash. Once they are known, texts
+are turned into packed ids and staged, and the rest works on ids. The network is small
 and sees the most frequent words: gated recurrent units, an output softmax factored into word classes, and
-truncated backpropagation in numpy. It starts from weights learnt on a bounded sample in one task, then all
-training documents train it, dealt to a few rounds by hash: each task goes over its partition's documents of
-the round from the same weights, and the weights of all tasks are averaged by their tokens. A document is scored whole:
+truncated backpropagation in numpy. All training documents train it, dealt to a few rounds by hash: each task
+goes over its partition's documents of the round from the same weights, and the weights of all tasks are
+averaged by their tokens. A document is scored whole:
 its state is carried from window to window to the end. Words outside the network's vocabulary are one
 class to it, and share that class's probability by their counts, so the model is a distribution over all
 words with one unit of count left for unseen ones.
@@ -16,6 +17,7 @@ joined by hash in packed rows, each distinct word of a document once.
 from __future__ import annotations
 
 import copy
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,29 +35,25 @@ from feltgrid.operators.stage import stage
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the model and of its start; all training documents are learnt from, whatever they are."""
+    """Bounds of the model; all training documents are learnt from, whatever they are."""
 
     frequent: int = 131_072  # words whose counts are broadcast
-    vocabulary: int = 1_500  # words the network tells apart
-    sample_documents: int = 2_500  # of the weights that the rounds start from
-    sample_tokens: int = 700_000
+    vocabulary: int = 1_500  # words the network tells apart, below 2^15
     units: int = 16
     window: int = 16
-    streams: int = 64
-    epochs: int = 2
-    rate: float = 0.01
+    streams: int = 512  # side by side in a task
+    updates: int = 256  # of the weights, at least, in a task's share of a round
+    rate: float = 0.02
     rounds: int = 3  # in which all training documents are learnt from, each in one of them
-    round_streams: int = 512
 
 
 END = b"\n"  # no word contains white space
 CACHE_WORDS = 400_000
 CHUNK_TOKENS = 3_000_000
-SCORED_AT_ONCE = 512  # documents
-UPDATES = 64  # of the weights, at least, in a chunk of a round
+SCORED_AT_ONCE = 512  # lanes of documents
+SCORED_BYTES = 8 << 20  # of ids
 PIECES = 16  # in which weights are averaged
 LN10 = math.log(10)
-TINY = 1e-30
 
 
 def tokens(text: str) -> list[bytes]:
@@ -155,6 +153,15 @@ def frequent_words(counts: DataFrame, most: int, buckets: int) -> tuple[np.ndarr
     return rows.column("h").to_numpy(), rows.column("c").to_numpy()
 
 
+def end_inside(hashes: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same words, the end among the first ``vocabulary`` ones: where documents end, states begin anew."""
+    at = np.flatnonzero(hashes == xxhash.xxh3_64_intdigest(END) - (1 << 63))
+    if not len(at) or at[0] < vocabulary:
+        return hashes, counts
+    order = np.insert(np.delete(np.arange(len(hashes)), at[0]), vocabulary - 1, at[0])
+    return hashes[order], counts[order]
+
+
 # --- The network ----------------------------------------------------------------------------
 
 
@@ -162,16 +169,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _log_likelihoods(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at its target; overwrites ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    hit = x[np.arange(len(x)), target]
+    return hit - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _loss_gradient(x: np.ndarray, target: np.ndarray, scale: float) -> float:
+    """Turns scores into ``scale`` times the gradient of their softmax loss, in place; returns the loss."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    hit = x[rows, target]
+    total = np.exp(x, out=x).sum(axis=1)
+    x *= (scale / total)[:, None]
+    x[rows, target] -= scale
+    return float(np.log(total).sum() - hit.sum())
 
 
 class Network:
     """Gated recurrent units with a class-factored softmax; word 0 stands for all words outside.
 
     Words come sorted by frequency and are cut into classes of about the square root of their number;
-    word 0 is a class of its own.
+    word 0 is a class of its own. All weights stand in one vector, ``flat``, of which ``p`` holds views.
     """
 
     def __init__(self, n_words: int, end: int, units: int):
@@ -179,19 +199,25 @@ class Network:
         self.n, self.end, self.units = n_words, end, units
         size = max(1, math.isqrt(n_words))
         ids = np.arange(n_words)
-        self.klass = np.where(ids == 0, 0, 1 + (ids - 1) // size)
-        self.slot = np.where(ids == 0, 0, (ids - 1) % size)
+        self.klass = np.where(ids == 0, 0, 1 + (ids - 1) // size).astype(np.int16)
+        self.slot = np.where(ids == 0, 0, (ids - 1) % size).astype(np.int16)
         self.classes = int(self.klass.max()) + 1
-        lengths = np.bincount(self.klass, minlength=self.classes)
-
-        def matrix(*shape: int) -> np.ndarray:
-            return (rng.standard_normal(shape) * 0.1).astype(np.float32)
-
-        self.p = {"x": matrix(n_words, 3 * units), "u": matrix(units, 3 * units), "c": matrix(units, self.classes), "cb": np.zeros(self.classes, np.float32),
-                  "w": matrix(self.classes, units, size), "wb": np.zeros((self.classes, size), np.float32)}
+        c = self.classes
+        self.shapes = {"x": (n_words, 3 * units), "u": (units, 3 * units), "c": (units, c), "cb": (c,), "w": (c, units, size), "wb": (c, size)}
+        self.use(np.zeros(sum(map(math.prod, self.shapes.values())), np.float32))
+        for name in ("x", "u", "c", "w"):
+            self.p[name][...] = rng.standard_normal(self.shapes[name]) * 0.1
         # Slots beyond a class's last word can never be meant.
+        lengths = np.bincount(self.klass, minlength=c)
         self.p["wb"][np.arange(size)[None, :] >= lengths[:, None]] = -30
 
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([math.prod(x) for x in self.shapes.values()])
+        return {k: part.reshape(x) for (k, x), part in zip(self.shapes.items(), np.split(flat, ends[:-1]))}
+
+    def use(self, flat: np.ndarray) -> None:
+        self.flat, self.p = flat, self.views(flat)
+
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple:
         x, s = self.p["x"][ids], self.units
         hu = h @ self.p["u"]
@@ -200,67 +226,79 @@ class Network:
         n = np.tanh(x[:, 2 * s :] + r * hu[:, 2 * s :])
         return n + z * (h - n), z, r, n, hu[:, 2 * s :]
 
+    def by_class(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order of ``words`` by class, where each class begins in it, and the classes and slots in that order."""
+        klass = self.klass[words]
+        order = np.argsort(klass, kind="stable")
+        klass = klass[order]
+        return order, np.searchsorted(klass, np.arange(self.classes + 1)), klass, self.slot[words][order]
+
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each word after each state."""
-        klass, slot = self.klass[words], self.slot[words]
-        out = _log_softmax(h @ self.p["c"] + self.p["cb"])[np.arange(len(words)), klass]
-        order = np.argsort(klass, kind="stable")
-        cut = np.searchsorted(klass[order], np.arange(self.classes + 1))
+        order, cut, klass, slot = self.by_class(words)
+        h = h[order]
+        found = _log_likelihoods(h @ self.p["c"] + self.p["cb"], klass)
         for k in range(1, self.classes):
-            rows = order[cut[k] : cut[k + 1]]
-            if len(rows):
-                out[rows] += _log_softmax(h[rows] @ self.p["w"][k] + self.p["wb"][k])[np.arange(len(rows)), slot[rows]]
+            a, b = cut[k], cut[k + 1]
+            if a < b:
+                found[a:b] += _log_likelihoods(h[a:b] @ self.p["w"][k] + self.p["wb"][k], slot[a:b])
+        out = np.empty(len(words), found.dtype)
+        out[order] = found
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients of the mean loss over a window (steps, streams), the last state and the loss.
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradient of the mean loss over a window (steps, streams) as one vector, the last state and the loss.
 
         Backpropagation ends at the window's begin. A state is set to zero before the first word of a document.
+        Words are sorted by class once, for both parts of the softmax.
         """
-        steps, streams, s = *inputs.shape, self.units
-        kept, states = [], []
+        (steps, streams), s = inputs.shape, self.units
+        live = (inputs != self.end)[:, :, None]
+        kept, states = [], np.empty((steps, streams, s), h.dtype)
         for t in range(steps):
-            h = h * (inputs[t] != self.end)[:, None]
-            before = h
-            h, z, r, n, hn = self.step(inputs[t], h)
+            before = h * live[t]
+            h, z, r, n, hn = self.step(inputs[t], before)
             kept.append((before, z, r, n, hn))
-            states.append(h)
-        flat, words = np.concatenate(states), targets.reshape(-1)
-        klass, slot, m = self.klass[words], self.slot[words], len(words)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        logp = _log_softmax(flat @ self.p["c"] + self.p["cb"])
-        loss = -logp[np.arange(m), klass].sum()
-        d = np.exp(logp)
-        d[np.arange(m), klass] -= 1
-        d /= m
-        g["c"], g["cb"] = flat.T @ d, d.sum(0)
-        dh_out = d @ self.p["c"].T
-        for k in np.unique(klass[klass > 0]):
-            rows = np.flatnonzero(klass == k)
-            logw = _log_softmax(flat[rows] @ self.p["w"][k] + self.p["wb"][k])
-            loss -= logw[np.arange(len(rows)), slot[rows]].sum()
-            e = np.exp(logw)
-            e[np.arange(len(rows)), slot[rows]] -= 1
-            e /= m
-            g["w"][k], g["wb"][k] = flat[rows].T @ e, e.sum(0)
-            dh_out[rows] += e @ self.p["w"][k].T
-        dh, rows = np.zeros((streams, s), np.float32), []
+            states[t] = h
+        words = targets.reshape(-1)
+        m = len(words)
+        flat = np.zeros_like(self.flat)
+        g = self.views(flat)
+        order, cut, klass, slot = self.by_class(words)
+        sorted_h = states.reshape(m, s)[order]
+        d = sorted_h @ self.p["c"] + self.p["cb"]
+        loss = _loss_gradient(d, klass, 1 / m)
+        g["c"][...], g["cb"][...] = sorted_h.T @ d, d.sum(0)
+        back = d @ self.p["c"].T
+        for k in range(1, self.classes):
+            a, b = cut[k], cut[k + 1]
+            if a < b:
+                e = sorted_h[a:b] @ self.p["w"][k] + self.p["wb"][k]
+                loss += _loss_gradient(e, slot[a:b], 1 / m)
+                g["w"][k], g["wb"][k] = sorted_h[a:b].T @ e, e.sum(0)
+                back[a:b] += e @ self.p["w"][k].T
+        dh_out = np.empty_like(back)
+        dh_out[order] = back
+        dh_out = dh_out.reshape(steps, streams, s)
+        dh, rows = np.zeros((streams, s), h.dtype), np.empty((steps, streams, 3 * s), h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, hn = kept[t]
-            dh = dh + dh_out[t * streams : (t + 1) * streams]
+            dh = dh + dh_out[t]
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            rows.append(dx)
+            dx = rows[t]
+            dx[:, :s] = dh * (before - n) * z * (1 - z)
+            dx[:, s : 2 * s] = dn * hn * r * (1 - r)
+            du = dx.copy()
+            dx[:, 2 * s :] = dn
+            du[:, 2 * s :] = dn * r
             g["u"] += before.T @ du
-            dh = (dh * z + du @ self.p["u"].T) * (inputs[t] != self.end)[:, None]
-        met = inputs[::-1].reshape(-1)
+            dh = (dh * z + du @ self.p["u"].T) * live[t]
+        met = inputs.reshape(-1)
         order = np.argsort(met, kind="stable")
-        start = np.flatnonzero(np.append(True, np.diff(met[order]) != 0))
-        g["x"][met[order][start]] = np.add.reduceat(np.concatenate(rows)[order], start)
-        return g, h, float(loss) / m
+        met = met[order]
+        start = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+        g["x"][met[start]] = np.add.reduceat(rows.reshape(m, 3 * s)[order], start)
+        return flat, h, loss / m
 
 
 class Adam:
@@ -268,36 +306,24 @@ class Adam:
 
     def __init__(self, network: Network):
         self.network, self.turn = network, 0
-        self.first = {k: np.zeros_like(v) for k, v in network.p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.first, self.second = np.zeros_like(network.flat), np.zeros_like(network.flat)
 
-    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, g: np.ndarray, rate: float) -> None:
+        """Moves the weights against ``g``, which is used up."""
         self.turn += 1
-        for k, v in self.network.p.items():
-            np.clip(g[k], -1, 1, out=g[k])
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.005 * (g[k] * g[k] - self.second[k])
-            v -= rate * (self.first[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.second[k] / (1 - 0.995**self.turn)) + 1e-8)
-
-
-def train(network: Network, ids: np.ndarray, limits: Limits) -> list[float]:
-    """Truncated backpropagation with Adam over parallel streams; returns the mean loss of each epoch."""
-    streams = max(1, min(limits.streams, len(ids) // (2 * limits.window)))
-    length = len(ids) // streams
-    if length < 2:
-        return []
-    words = ids[: streams * length].reshape(streams, length).T
-    losses, steps = [], Adam(network)
-    total = max(1, limits.epochs * ((length - 1) // limits.window))
-    for _ in range(limits.epochs):
-        h, sums = np.zeros((streams, network.units), np.float32), []
-        for at in range(0, length - 1, limits.window):
-            stop = min(at + limits.window, length - 1)
-            g, h, loss = network.gradients(words[at:stop], words[at + 1 : stop + 1], h)
-            steps.step(g, limits.rate * max(0.1, 1 - (steps.turn + 1) / total))
-            sums.append(loss)
-        losses.append(float(np.mean(sums)))
-    return losses
+        np.clip(g, -1, 1, out=g)
+        self.first *= 0.9
+        self.first += 0.1 * g
+        np.multiply(g, g, out=g)
+        g -= self.second
+        g *= 0.005
+        self.second += g
+        np.sqrt(self.second, out=g)
+        g *= 1 / math.sqrt(1 - 0.995**self.turn)
+        g += 1e-8
+        np.divide(self.first, g, out=g)
+        g *= rate / (1 - 0.9**self.turn)
+        self.network.flat -= g
 
 
 class Learner:
@@ -306,7 +332,7 @@ class Learner:
     def __init__(self, network: Network, limits: Limits, rate: float):
         self.network, self.limits, self.rate, self.steps = network, limits, rate, Adam(network)
         self.held, self.size, self.last, self.tokens = [], 0, network.end, 0
-        self.chunk = limits.round_streams * limits.window * UPDATES
+        self.chunk = limits.streams * limits.window * limits.updates
 
     def add(self, ids: np.ndarray) -> None:
         while self.size + len(ids) >= self.chunk:
@@ -319,7 +345,7 @@ class Learner:
         self.size += len(ids)
 
     def finish(self) -> None:
-        rest = np.concatenate(self.held) if self.held else np.empty(0, np.int64)
+        rest = np.concatenate(self.held) if self.held else np.empty(0, np.int16)
         while len(rest):
             rest = self.learn(rest)
         self.held, self.size = [], 0
@@ -327,10 +353,10 @@ class Learner:
     def learn(self, ids: np.ndarray) -> np.ndarray:
         """One pass over ``ids`` in parallel streams; returns the few that do not fill all streams."""
         window = self.limits.window
-        streams = max(1, min(self.limits.round_streams, len(ids) // (window * UPDATES)))
+        streams = max(1, min(self.limits.streams, len(ids) // (window * self.limits.updates)))
         length = len(ids) // streams
         n = streams * length
-        inputs = np.append(self.last, ids[: n - 1]).reshape(streams, length).T
+        inputs = np.append(self.last, ids[: n - 1]).astype(np.int16).reshape(streams, length).T
         targets = ids[:n].reshape(streams, length).T
         h = np.zeros((streams, self.network.units), np.float32)
         for at in range(0, length, window):
@@ -340,33 +366,45 @@ class Learner:
         return ids[n:]
 
 
+def lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Sequences dealt to lanes of nearly equal length, none much longer than the longest sequence."""
+    if not len(lengths):
+        return []
+    count = int(max(1, min(most, len(lengths), lengths.sum() // lengths.max())))
+    out, heap = [[] for _ in range(count)], [(0, k) for k in range(count)]
+    for i in np.argsort(-lengths, kind="stable"):
+        size, k = heap[0]
+        out[k].append(int(i))
+        heapq.heapreplace(heap, (size + int(lengths[i]), k))
+    return out
+
+
 def score_sequences(network: Network, sequences: list[np.ndarray], window: int) -> np.ndarray:
-    """Sum of natural log probabilities of each sequence; long ones first, the state carried throughout."""
-    out = np.zeros(len(sequences))
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    for lo in range(0, len(order), SCORED_AT_ONCE):
-        group = order[lo : lo + SCORED_AT_ONCE]
-        lengths = np.array([len(sequences[i]) for i in group])
-        h = np.zeros((len(group), network.units), np.float32)
-        last = np.full(len(group), network.end)
-        for at in range(0, int(lengths[0]), window):
-            live = int(np.searchsorted(-lengths, -at))  # sequences with words from ``at`` on
-            h, last, group_ids = h[:live], last[:live], group[:live]
-            block = np.full((live, window), -1, np.int64)
-            for row, i in enumerate(group_ids):
-                part = sequences[i][at : at + window]
-                block[row, : len(part)] = part
-            states, targets, owners = [], [], []
-            for t in range(min(window, int(lengths[0]) - at)):
-                here = int(np.searchsorted(-lengths[:live], -(at + t)))
-                h[:here] = network.step(last[:here], h[:here])[0]
-                states.append(h[:here].copy())
-                targets.append(block[:here, t])
-                owners.append(np.arange(here))
-                last[:here] = block[:here, t]
-            who, words = np.concatenate(owners), np.concatenate(targets)
-            logp = network.log_probabilities(np.concatenate(states), words)
-            out[np.array(group_ids)] += np.bincount(who, logp, live)
+    """Sum of natural log probabilities of each sequence, each of which ends with an end.
+
+    A lane goes on with the next sequence where one ends, from a state of zero, so lanes stay full; within a
+    sequence the state is carried to its end.
+    """
+    dealt = lanes(np.array([len(x) for x in sequences], np.int64), SCORED_AT_ONCE)
+    sizes = [sum(len(sequences[i]) for i in lane) for lane in dealt]
+    order = sorted(range(len(dealt)), key=lambda k: -sizes[k])
+    out, total = np.zeros(len(sequences)), np.array([sizes[k] for k in order], np.int64)
+    longest = int(total.max(initial=0))
+    words, logs = np.zeros((longest, len(order)), np.int16), np.zeros((longest, len(order)), np.float32)
+    for row, k in enumerate(order):
+        words[: total[row], row] = np.concatenate([sequences[i] for i in dealt[k]])
+    h, last = np.zeros((len(order), network.units), np.float32), np.full(len(order), network.end, np.int16)
+    for at in range(0, longest, window):
+        stop, live = min(at + window, longest), int(np.searchsorted(-total, -at))  # lanes with words from ``at`` on
+        h, last = h[:live], last[:live]
+        states = np.empty((stop - at, live, network.units), np.float32)
+        for t in range(at, stop):
+            h = states[t - at] = network.step(last, h * (last != network.end)[:, None])[0]
+            last = words[t, :live]
+        logs[at:stop, :live] = network.log_probabilities(states.reshape(-1, network.units), words[at:stop, :live].reshape(-1)).reshape(stop - at, live)
+    for row, k in enumerate(order):
+        starts = np.cumsum([0, *(len(sequences[i]) for i in dealt[k][:-1])])
+        out[dealt[k]] = np.add.reduceat(logs[: total[row], row].astype(np.float64), starts)
     return out
 
 
@@ -392,59 +430,20 @@ class Positions(dict):
         return out
 
 
-def fit_network(training: DataFrame, hashes: np.ndarray, limits: Limits) -> Network:
-    """The network that the rounds start from: the first documents by a hash of their content, in one task, bounded in tokens."""
+def untrained(hashes: np.ndarray, limits: Limits) -> Network:
+    """The network that the first round starts from."""
     vocabulary = min(limits.vocabulary, len(hashes))
-    end_hash = xxhash.xxh3_64_intdigest(END) - (1 << 63)
-    at = np.flatnonzero(hashes[:vocabulary] == end_hash)
-    end = int(at[0]) + 1 if len(at) else 0
-    network = Network(vocabulary + 1, end, limits.units)
-    draw = F.xxhash64("text", "_row")
-    sample = training.select("text", draw.alias("_draw"))
-    most = sample.select("_draw").orderBy("_draw").limit(limits.sample_documents).agg(F.max("_draw")).first()[0]
-    if most is None:
-        return network
-    shared = training.sparkSession.sparkContext.broadcast(hashes[:vocabulary])
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Positions(shared.value)
-        for batch in slices(batches, "text"):
-            found = [network_ids(np.array([known[w] for w in tokens(t)], np.int64), vocabulary).astype(np.int32) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("_draw")), pa.array([f[: limits.sample_tokens].tobytes() for f in found], pa.binary())], ["_draw", "ids"]
-            )
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in column(batch, "ids"):
-                if size < limits.sample_tokens:
-                    held.append(np.frombuffer(part, np.int32)[: limits.sample_tokens - size])
-                    size += len(held[-1])
-        if held:
-            train(network, np.concatenate(held).astype(np.int64), limits)
-        names = list(network.p)
-        yield pa.RecordBatch.from_pydict({"name": names, "data": pa.array([network.p[k].astype(np.float32).tobytes() for k in names], pa.binary())})
-
-    rows = (
-        sample.filter(F.col("_draw") <= most).mapInArrow(ids, "_draw long, ids binary").repartition(1)
-        .sortWithinPartitions("_draw", "ids").mapInArrow(learn, "name string, data binary").collect()
-    )
-    for name, data in rows:
-        network.p[name] = np.frombuffer(data, np.float32).reshape(network.p[name].shape).copy()
-    return network
+    at = np.flatnonzero(hashes[:vocabulary] == xxhash.xxh3_64_intdigest(END) - (1 << 63))
+    return Network(vocabulary + 1, int(at[0]) + 1 if len(at) else 0, limits.units)
 
 
-def train_on_all(network: Network, training: DataFrame, hashes: np.ndarray, limits: Limits) -> None:
-    """One pass over all training documents in rounds, each from the token-weighted mean of all tasks' weights.
+def train_on_all(network: Network, training: DataFrame, limits: Limits) -> None:
+    """One pass over the ids of all training documents in rounds, each from the token-weighted mean of all tasks' weights.
 
     Only weights travel: each task gives them in pieces, and a piece is summed as it streams in.
     """
-    vocabulary = min(limits.vocabulary, len(hashes))
-    spark, names = training.sparkSession, sorted(network.p)
-    shapes = [network.p[k].shape for k in names]
-    ends = np.cumsum([math.prod(x) for x in shapes])
-    cuts = np.linspace(0, int(ends[-1]), PIECES + 1).astype(int)
+    spark = training.sparkSession
+    cuts = np.linspace(0, len(network.flat), PIECES + 1).astype(int)
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total, tokens_met = None, 0.0, 0
@@ -462,47 +461,46 @@ def train_on_all(network: Network, training: DataFrame, hashes: np.ndarray, limi
         return pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "data": pa.array([values.astype(np.float32).tobytes()], pa.binary())})
 
     for turn in range(limits.rounds):
-        shared = spark.sparkContext.broadcast((network, hashes[:vocabulary]))
+        shared = spark.sparkContext.broadcast(network)
         rate = limits.rate * max(0.1, 1 - turn / limits.rounds)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            start, words = shared.value
-            own = copy.copy(start)
-            own.p = {k: v.copy() for k, v in start.p.items()}  # a worker's other tasks start from the same weights
-            known, learner = Positions(words), Learner(own, limits, rate)
-            for batch in slices(batches, "text", 4 << 20):
-                for t in texts(batch, "text"):
-                    learner.add(network_ids(np.array([known[w] for w in tokens(t)], np.int64), vocabulary))
+            own = copy.copy(shared.value)
+            own.use(shared.value.flat.copy())  # a worker's other tasks start from the same weights
+            learner = Learner(own, limits, rate)
+            for batch in batches:
+                for part in column(batch, "ids"):
+                    learner.add(np.frombuffer(part, np.int16))
             learner.finish()
             if learner.tokens:
-                flat = np.concatenate([own.p[k].reshape(-1) for k in names]).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({
                     "piece": pa.array(range(PIECES), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * PIECES, pa.int32()),
                     "tokens": pa.array([learner.tokens] * PIECES, pa.int64()),
-                    "data": pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    "data": pa.array([own.flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 })
 
         part = training.filter(F.pmod("_row", F.lit(limits.rounds)) == turn)
-        weights = part.select("text").mapInArrow(learn, "piece int, task int, tokens long, data binary")
+        weights = part.select("ids").mapInArrow(learn, "piece int, task int, tokens long, data binary")
         rows = weights.repartition(PIECES, "piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, data binary").collect()
-        if not rows:
-            return
-        flat = np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows)])
-        network.p = {k: v.reshape(x).copy() for k, v, x in zip(names, np.split(flat, ends[:-1]), shapes)}
+        if rows:
+            network.use(np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows)]))
 
 
-SCORED = "n_tokens long, known long, base double, network double, outside double, n_outside long"
+SUMS = "n_tokens long, known long, base double, outside double, n_outside long, ids binary"
 PACKED = "bucket int, words binary, owners binary, times binary"
 
 
-def score_rows(docs: DataFrame, network: Network, hashes: np.ndarray, counts: np.ndarray, limits: Limits, buckets: int) -> DataFrame:
-    """Staged rows of two kinds: the sums of each document, and packed words that are not frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast((network, hashes, counts))
+def encoded_rows(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, limits: Limits, buckets: int) -> DataFrame:
+    """Staged rows of two kinds: each document's network ids and sums, and packed words that are not frequent.
+
+    Training and scoring read these, so a text is cut into words here and for the counts only.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, counts))
     vocabulary = min(limits.vocabulary, len(hashes))
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, hashes, counts = shared.value
+        hashes, counts = shared.value
         log_count, known, word_hash = np.log10(counts + 1.0), Positions(hashes), Hashes()
         for batch in slices(batches, "text", 8 << 20):
             rows = column(batch, "_row")
@@ -514,23 +512,19 @@ def score_rows(docs: DataFrame, network: Network, hashes: np.ndarray, counts: np
                 head = found >= 0
                 logs = log_count[found[head]]
                 sums.append((len(words), int(head.sum()), float(logs.sum()), float(logs[found[head] >= vocabulary].sum()), int((ids == 0).sum())))
-                sequences.append(ids)
+                sequences.append(ids.astype(np.int16).tobytes())
                 rest = np.flatnonzero(~head)
                 if len(rest) and row not in listed:  # equal rows list their rare words once
                     listed.add(row)
                     rare.append(np.array([word_hash[words[i]] for i in rest], np.int64))
                     owners.append(np.full(len(rest), row, np.int64))
-            logp = score_sequences(network, sequences, 4 * limits.window) / LN10
             n = len(rows)
             doc = [batch.column(batch.schema.get_field_index(c)) for c in ("_row", "doc_id", "held_out")]
             values = [*zip(*sums)] if sums else [[]] * 5
             none = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
-            names = ["_row", "doc_id", "held_out", "n_tokens", "known", "base", "network", "outside", "n_outside", "bucket", "words", "owners", "times"]
-            long, real = pa.int64(), pa.float64()
-            yield pa.RecordBatch.from_arrays([
-                *doc, pa.array(values[0], long), pa.array(values[1], long), pa.array(values[2], real), pa.array(logp, real), pa.array(values[3], real),
-                pa.array(values[4], long), *none,
-            ], names)
+            names = ["_row", "doc_id", "held_out", "n_tokens", "known", "base", "outside", "n_outside", "ids", "bucket", "words", "owners", "times"]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*doc, *(pa.array(v, t) for v, t in zip(values, types)), pa.array(sequences, pa.binary()), *none], names)
             if rare:
                 yield packed(np.concatenate(rare), np.concatenate(owners), doc[1].type, names)
 
@@ -544,10 +538,24 @@ def score_rows(docs: DataFrame, network: Network, hashes: np.ndarray, counts: np
         some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
         k = len(some)
         blobs = [pa.array([v[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for v in (words, owners, times)]
-        empty = [pa.nulls(k, t) for t in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())]
+        empty = [pa.nulls(k, t) for t in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*empty, pa.array(some, pa.int32()), *blobs], names)
 
-    return stage(docs.select("_row", "doc_id", "held_out", "text").mapInArrow(run, f"_row long, doc_id {key}, held_out boolean, {SCORED}, {PACKED}"))
+    return stage(docs.select("_row", "doc_id", "held_out", "text").mapInArrow(run, f"_row long, doc_id {key}, held_out boolean, {SUMS}, {PACKED}"))
+
+
+def network_scores(encoded: DataFrame, network: Network, limits: Limits) -> DataFrame:
+    """``encoded`` documents with ``network``, the decimal logarithm of the probability of their ids, in place of the ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(network)
+    names = [c for c in encoded.columns if c != "ids"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", SCORED_BYTES):
+            found = score_sequences(shared.value, [np.frombuffer(x, np.int16) for x in column(batch, "ids")], limits.window) / LN10
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found)], [*names, "network"])
+
+    return encoded.mapInArrow(run, f"{schema}, network double")
 
 
 def rare_sums(packed: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
@@ -632,15 +640,16 @@ def score_documents(
     training = docs.filter(~F.col("held_out"))
     counts = stage(word_counts(training, buckets))
     distinct, total = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    hashes, frequent = frequent_words(counts, limits.frequent, buckets)
-    network = fit_network(training, hashes, limits)
-    train_on_all(network, training, hashes, limits)
+    hashes, frequent = end_inside(*frequent_words(counts, limits.frequent, buckets), limits.vocabulary)
+    rows = encoded_rows(docs, hashes, frequent, limits, buckets)
+    encoded = rows.filter(F.col("bucket").isNull()).select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "outside", "n_outside", "ids")
+    network = untrained(hashes, limits)
+    train_on_all(network, encoded.filter(~F.col("held_out")), limits)
     inside = frequent[: limits.vocabulary]
-    scored = score_rows(docs, network, hashes, frequent, limits, buckets)
-    rare = rare_sums(scored.filter(F.col("bucket").isNotNull()), counts, buckets)
+    rare = rare_sums(rows.filter(F.col("bucket").isNotNull()), counts, buckets)
     base = math.log10(total + distinct + 1)
     outside = math.log10(total - int(inside.sum()) + distinct - len(inside) + 1)
-    joined = scored.filter(F.col("bucket").isNull()).join(rare, "_row", "left")
+    joined = network_scores(encoded, network, limits).join(rare, "_row", "left")
     tail = F.coalesce("rare", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
