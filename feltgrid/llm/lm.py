@@ -96,8 +96,9 @@ def word_counts(training: DataFrame, buckets: int) -> DataFrame:
         known, held, size = Hashes(), [], 0
         for batch in slices(batches, "text", 4 << 20):
             for t in texts(batch, "text"):
-                held.append(np.array([known[w] for w in tokens(t)], np.int64))
-                size += len(held[-1])
+                words = tokens(t)
+                held.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                size += len(words)
             if size >= CHUNK_TOKENS:
                 yield packed(*np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
@@ -153,10 +154,13 @@ def frequent_words(counts: DataFrame, most: int, buckets: int) -> tuple[np.ndarr
     return rows.column("h").to_numpy(), rows.column("c").to_numpy()
 
 
-def end_inside(hashes: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+def end_inside(hashes: np.ndarray, counts: np.ndarray, vocabulary: int, training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The same words, the end among the first ``vocabulary`` ones: where documents end, states begin anew."""
-    at = np.flatnonzero(hashes == xxhash.xxh3_64_intdigest(END) - (1 << 63))
-    if not len(at) or at[0] < vocabulary:
+    end = xxhash.xxh3_64_intdigest(END) - (1 << 63)
+    at = np.flatnonzero(hashes == end)
+    if len(hashes) and not len(at):  # more frequent words than there are documents: one gives way
+        hashes, counts, at = np.append(hashes[:-1], end), np.append(counts[:-1], training.count()), [len(hashes) - 1]
+    if not len(hashes) or at[0] < vocabulary:
         return hashes, counts
     order = np.insert(np.delete(np.arange(len(hashes)), at[0]), vocabulary - 1, at[0])
     return hashes[order], counts[order]
@@ -412,8 +416,8 @@ def score_sequences(network: Network, sequences: list[np.ndarray], window: int)
 
 
 def network_ids(found: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Network words of positions among the frequent words: the first ones count from 1, all others are 0."""
-    return np.where((found >= 0) & (found < vocabulary), found + 1, 0)
+    """Network words of positions among the frequent words: the first ones count from 1, all others (-1 too) are 0."""
+    return np.where(found < vocabulary, found + 1, 0).astype(np.int16)
 
 
 class Positions(dict):
@@ -501,22 +505,20 @@ def encoded_rows(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
-        log_count, known, word_hash = np.log10(counts + 1.0), Positions(hashes), Hashes()
+        log_count, known, word_hash = np.append(np.log10(counts + 1.0), 0.0), Positions(hashes), Hashes()
         for batch in slices(batches, "text", 8 << 20):
             rows = column(batch, "_row")
             sequences, sums, rare, owners, listed = [], [], [], [], set()
             for row, t in zip(rows, texts(batch, "text")):
                 words = tokens(t)
-                found = np.array([known[w] for w in words], np.int64)
-                ids = network_ids(found, vocabulary)
-                head = found >= 0
-                logs = log_count[found[head]]
-                sums.append((len(words), int(head.sum()), float(logs.sum()), float(logs[found[head] >= vocabulary].sum()), int((ids == 0).sum())))
-                sequences.append(ids.astype(np.int16).tobytes())
-                rest = np.flatnonzero(~head)
+                found = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                logs, ids = log_count[found], network_ids(found, vocabulary)  # 0 for words that are not frequent
+                rest = np.flatnonzero(found < 0)
+                sums.append((len(words), len(words) - len(rest), float(logs.sum()), float(logs[ids == 0].sum()), len(ids) - int(np.count_nonzero(ids))))
+                sequences.append(ids.tobytes())
                 if len(rest) and row not in listed:  # equal rows list their rare words once
                     listed.add(row)
-                    rare.append(np.array([word_hash[words[i]] for i in rest], np.int64))
+                    rare.append(np.fromiter((word_hash[words[i]] for i in rest.tolist()), np.int64, len(rest)))
                     owners.append(np.full(len(rest), row, np.int64))
             n = len(rows)
             doc = [batch.column(batch.schema.get_field_index(c)) for c in ("_row", "doc_id", "held_out")]
@@ -640,7 +642,7 @@ def score_documents(
     training = docs.filter(~F.col("held_out"))
     counts = stage(word_counts(training, buckets))
     distinct, total = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    hashes, frequent = end_inside(*frequent_words(counts, limits.frequent, buckets), limits.vocabulary)
+    hashes, frequent = end_inside(*frequent_words(counts, limits.frequent, buckets), limits.vocabulary, training)
     rows = encoded_rows(docs, hashes, frequent, limits, buckets)
     encoded = rows.filter(F.col("bucket").isNull()).select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "outside", "n_outside", "ids")
     network = untrained(hashes, limits)

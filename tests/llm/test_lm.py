@@ -113,6 +113,7 @@ def test_scores_match_plain_python(spark, monkeypatch):
     if b"\n" not in head:
         head[-1] = b"\n"
     ids = {w: i + 1 for i, w in enumerate(head)}
+    assert ids[b"\n"] == net.end
     outside = sum(c.values()) - sum(c[w] for w in head) + len(c) - len(head) + 1
 
     def want(r):
