@@ -1,7 +1,7 @@
 """Clustering of province vectors: Ward trees, silhouettes, monthly evolution, PCA and KMeans.
 
-Ward trees are built in rounds over a table of clusters, for all groups at once and for any number of
-rows: each round finds the nearest cluster of every cluster block by block and joins all mutual pairs.
+Ward trees are built in rounds over a table of clusters that keep their nearest neighbours, for all groups
+at once and for any number of rows.
 """
 
 from __future__ import annotations
@@ -59,86 +59,260 @@ def standardise(df: DataFrame, features: Sequence[str], group: str | None = None
 #
 # A cluster is named by its smallest key. Ward's cost is reducible: joining two clusters brings neither
 # closer to a third one than the nearer of them was. So all pairs of mutually nearest clusters can be joined
-# at once, and sorting all joins by their height gives the tree that joining one pair at a time gives.
+# at once, sorting all joins by their height gives the tree that joining one pair at a time gives, and a
+# cluster keeps its nearest neighbour until that neighbour is joined to another.
+#
+# Rows of a group lie in blocks of near rows. A block's task knows its own clusters and the boxes that
+# hold those of the other blocks; a nearest neighbour within the block that is nearer than any box is
+# nearest of all, and the task joins such pairs until none is left. Only what remains looks into other
+# blocks, and only into those whose box is not farther than the nearest cluster known.
+
+KNOWN, OPEN, WAITING = range(3)  # of a cluster's neighbour: nearest of all, nearest of its block, to be looked for
+JOIN, CLUSTER, BOX, WORK = range(4)  # kinds of rows
+ROUND_SHIFT = 32
+CHUNK_CELLS = 1 << 21
+SAFE = 1 - 1e-12  # bounds are rounded apart from costs
+
+
+def _costs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Ward costs of clusters with centres ``x`` and sizes ``n`` (rows) and others (columns)."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, CHUNK_CELLS // max(1, y.size))
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        gaps = ((x[part, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        out[part] = gaps * (2 * n[part, None] * m[None, :] / (n[part, None] + m[None, :]))
+    return out
+
+
+def _fences(x: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Least cost that any cluster in one of the boxes could have."""
+    out = np.full(len(x), np.inf)
+    for lo, hi, m in zip(low, high, least):
+        gaps = (np.maximum(0, np.maximum(lo - x, x - hi)) ** 2).sum(axis=1)
+        out = np.minimum(out, gaps * (2 * n * m / (n + m)))
+    return out
+
+
+class _Block:
+    """Clusters of one block in the order of their names, and the joins that are certain."""
+
+    def __init__(self, rows: pd.DataFrame, boxes: pd.DataFrame, features: list[str]):
+        rows = rows.sort_values("_key", ignore_index=True)
+        self.keys, self.x, self.n = rows["_key"].to_numpy(), rows[features].to_numpy("float64").copy(), rows["_n"].to_numpy("float64").copy()
+        self.cost, self.lo, self.hi = rows["cost"].to_numpy("float64").copy(), rows["lo"].to_numpy(object).copy(), rows["hi"].to_numpy(object).copy()
+        self.state = rows["_state"].to_numpy().copy()
+        self.boxes = [boxes[[f"{side}{f}" for f in features]].to_numpy("float64") for side in ("_low_", "_high_")] + [boxes["_least"].to_numpy("float64")]
+        self.place = {k: i for i, k in enumerate(self.keys)}
+        partner = [None if s == WAITING else h if k == l else l for k, l, h, s in zip(self.keys, self.lo, self.hi, self.state)]
+        self.near = np.array([self.place.get(p, -1) for p in partner], np.int64)
+        self.alive, self.compared, self.joins = np.ones(len(rows), bool), 0, []
+
+    def look(self, some: np.ndarray) -> None:
+        """The nearest cluster of the block for each of ``some``; equal costs go by the smaller names."""
+        others = np.flatnonzero(self.alive)
+        if not len(some):
+            return
+        costs = _costs(self.x[some], self.n[some], self.x[others], self.n[others])
+        costs[some[:, None] == others[None, :]] = np.inf
+        self.compared += costs.size
+        best = costs.argmin(axis=1)
+        fence = _fences(self.x[some], self.n[some], *self.boxes)
+        for i, j, c, f in zip(some, others[best], costs[np.arange(len(some)), best], fence):
+            self._set(i, j if np.isfinite(c) else -1, c, KNOWN if c < f * SAFE else OPEN)
+        # A cluster that is as near as a kept neighbour takes its place if its name is smaller.
+        fresh = np.isin(others, some, invert=True)
+        for i, row in zip(some, costs):
+            for j in others[fresh & (row <= self.cost[others])]:
+                pair = (min(i, j), max(i, j))
+                if self.near[j] >= 0 and pair < (min(j, self.near[j]), max(j, self.near[j])):
+                    self._set(j, i, row[np.searchsorted(others, j)], self.state[j])
+
+    def _set(self, i: int, near: int, cost: float, state: int) -> None:
+        self.near[i], self.cost[i], self.state[i] = near, cost, state
+        self.lo[i], self.hi[i] = (None, None) if near < 0 else (self.keys[min(i, near)], self.keys[max(i, near)])
+
+    def join_all(self, first: int) -> None:
+        self.look(np.flatnonzero(self.state == WAITING))
+        while True:
+            i = np.flatnonzero(self.alive & (self.near >= 0) & (self.state == KNOWN))
+            i = i[(self.near[self.near[i]] == i) & (self.state[self.near[i]] == KNOWN) & (i < self.near[i])]
+            if not len(i):
+                return
+            j = self.near[i]
+            total = self.n[i] + self.n[j]
+            self.x[i] = (self.x[i] * self.n[i][:, None] + self.x[j] * self.n[j][:, None]) / total[:, None]
+            self.n[i], self.alive[j] = total, False
+            for a, b, size in zip(i, j, total):
+                self.joins.append((self.keys[a], self.keys[b], self.cost[a], size, first + len(self.joins)))
+            gone = np.concatenate([i, j])
+            self.look(np.flatnonzero(self.alive & (np.isin(self.near, gone) | np.isin(np.arange(len(self.alive)), i))))
+
+
+def _local_joins(features: list[str], number: int):
+    """Rows of the joins a block can make for sure, of the clusters left, and of the comparisons made."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        own = block[block["_kind"] == CLUSTER]
+        if not len(own):
+            return block.head(0)[_columns(features)]
+        b = _Block(own, block[block["_kind"] == BOX], features)
+        b.join_all(number << ROUND_SHIFT)
+        group, name, left = own["_group"].iat[0], own["_block"].iat[0], np.flatnonzero(b.alive)
+        lo, hi, cost, size, order = zip(*b.joins) if b.joins else ((),) * 5
+        out = [
+            pd.DataFrame({"_kind": JOIN, "lo": lo, "hi": hi, "cost": cost, "_n": size, "round": order}),
+            pd.DataFrame({"_kind": CLUSTER, "_key": b.keys[left], "_n": b.n[left], "_state": b.state[left], "lo": b.lo[left], "hi": b.hi[left],
+                          "cost": np.where(np.isfinite(b.cost[left]), b.cost[left], np.nan), **dict(zip(features, b.x[left].T))}),
+            pd.DataFrame({"_kind": [WORK], "cost": [float(b.compared)]}),
+        ]
+        return pd.concat([o for o in out if len(o)]).assign(_group=group, _block=name).reindex(columns=_columns(features))
 
+    return run
 
-def _ward_cost(features: Sequence[str]):
-    """For every cluster of a block its nearest one in another block, by Ward cost, then by names."""
-    features = list(features)
 
-    def nearest(pair: pd.DataFrame) -> pd.DataFrame:
+def _visits(features: list[str]):
+    """Nearest cluster of another block for each visitor, and what comes as near to a member as its neighbour."""
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
         one, other = pair[pair["_side"] == 0], pair[pair["_side"] == 1].sort_values("_key", ignore_index=True)
-        x, y = one[features].to_numpy("float64"), other[features].to_numpy("float64")
-        n, m = one["_n"].to_numpy("float64"), other["_n"].to_numpy("float64")
-        mine, theirs = one["_key"].to_numpy(), other["_key"].to_numpy()
         rows = []
-        for i in range(len(one) if len(other) else 0):
-            gaps = ((y - x[i]) ** 2).sum(axis=1)
-            cost = gaps * (2 * n[i] * m / (n[i] + m))
-            cost[theirs == mine[i]] = np.inf
-            best = np.flatnonzero(cost == cost.min())
-            # Of equally near ones the pair with the smallest names.
-            k = min(best, key=lambda j: (min(mine[i], theirs[j]), max(mine[i], theirs[j])))
-            if np.isfinite(cost[k]):
-                rows.append((one["_group"].iat[i], mine[i], cost[k], min(mine[i], theirs[k]), max(mine[i], theirs[k])))
-        return pd.DataFrame(rows, columns=["_group", "_key", "cost", "lo", "hi"])
+        if len(one) and len(other):
+            mine, theirs, kept = one["_key"].to_numpy(), other["_key"].to_numpy(), other["cost"].to_numpy("float64")
+            costs = _costs(one[features].to_numpy("float64"), one["_n"].to_numpy("float64"), other[features].to_numpy("float64"), other["_n"].to_numpy("float64"))
+            for k, row in zip(mine, costs):
+                near = row.min()
+                p = min((min(k, t), max(k, t)) for t in theirs[row == near])
+                rows.append((CLUSTER, k, near, *p))
+                rows += [(CLUSTER, theirs[j], row[j], min(k, theirs[j]), max(k, theirs[j])) for j in np.flatnonzero(row <= kept)]
+            rows.append((WORK, None, float(costs.size), None, None))
+        return pd.DataFrame(rows, columns=["_kind", "_key", "cost", "lo", "hi"]).assign(_group=pair["_group"].iat[0])[["_kind", "_group", "_key", "cost", "lo", "hi"]]
+
+    return run
 
-    return nearest
+
+def _columns(features: list[str]) -> list[str]:
+    return ["_kind", "_group", "_block", "_key", "_n", "_state", "cost", "lo", "hi", "round", *features]
+
+
+def _in_blocks(rows: DataFrame, features: list[str], block_rows: int) -> DataFrame:
+    """``rows`` with ``_block``: groups over ``block_rows`` rows are halved at medians, one feature after the other.
+
+    Blocks that equal values keep large are cut by hash.
+    """
+    counts = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    largest = counts.agg(F.max("_rows")).first()[0] or 0
+    placed = rows.withColumn("_block", F.lit(0).cast("bigint"))
+    if largest <= block_rows:
+        return placed
+    spread = rows.agg(*[F.var_pop(f).alias(f) for f in features]).first()
+    widest = sorted(features, key=lambda f: -(spread[f] or 0))
+    placed = placed.join(counts, "_group")
+    level = 0
+    while largest > block_rows << level:
+        feature = widest[level % min(len(widest), 8)]
+        middle = placed.groupBy("_group", "_block").agg(F.percentile_approx(feature, 0.5).alias("_middle"))
+        upper = (F.col(feature) > F.col("_middle")) & (F.col("_rows") > F.lit(block_rows << level))
+        placed = stage(placed.join(middle, ["_group", "_block"]).withColumn("_block", F.col("_block") * 2 + upper.cast("bigint")).drop("_middle"))
+        level += 1
+    held = placed.groupBy("_group", "_block").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).alias("_parts"))
+    part = F.pmod(F.xxhash64("_key"), F.col("_parts"))
+    return placed.join(held, ["_group", "_block"]).withColumn("_block", F.shiftleft("_block", 24) + part).drop("_rows", "_parts")
 
 
 def ward_merges(
-    points: DataFrame, key: str, features: Sequence[str], group: str | None = None, block_rows: int = BLOCK_ROWS
+    points: DataFrame, key: str, features: Sequence[str], group: str | None = None, block_rows: int = BLOCK_ROWS, work: list[int] | None = None
 ) -> DataFrame:
     """All joins of one Ward tree per ``group``: rows ``(group, lo, hi, distance, sample_count, round)``.
 
-    Each round compares the clusters block by block, one row per cluster and block comes back, and joins
-    every mutually nearest pair; the rounds are about the logarithm of the rows unless rows stand in a
-    chain. ``hi`` is joined to ``lo``, the smaller name. Keys are unique within a group.
+    ``hi`` is joined to ``lo``, the smaller name; ``round`` rises along each branch. Keys are unique within a group.
+    Groups that fit into a block are done in the first round, all of them in parallel. ``work`` takes the
+    number of pairs compared in each round.
     """
     features = list(features)
-    clusters = stage(points.select(
-        (F.lit("") if group is None else F.col(group).cast("string")).alias("_group"), F.col(key).cast("string").alias("_key"),
-        F.lit(1.0).alias("_n"), *[F.col(f).cast("double").alias(f) for f in features],
-    ))
+    start = points.select(
+        (F.lit("") if group is None else F.col(group).cast("string")).alias("_group"), F.col(key).cast("string").alias("_key"), F.lit(1.0).alias("_n"),
+        F.lit(WAITING).alias("_state"), F.lit(None).cast("double").alias("cost"), *[F.lit(None).cast("string").alias(c) for c in ("lo", "hi")],
+        *[F.col(f).cast("double").alias(f) for f in features],
+    )
+    clusters = _in_blocks(stage(start), features, block_rows)
+    doubles = ", ".join(f"`{f}` double" for f in features)
+    schema = f"_kind int, _group string, _block bigint, _key string, _n double, _state int, cost double, lo string, hi string, round bigint, {doubles}"
     found, number = [], 0
     while True:
-        largest = clusters.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
-        if largest < 2:
+        box = [e for f in features for e in (F.min(f).alias(f"_low_{f}"), F.max(f).alias(f"_high_{f}"))]
+        boxes = clusters.groupBy("_group", "_block").agg(F.min("_n").alias("_least"), *box)
+        others = boxes.withColumnRenamed("_block", "_from").join(boxes.select("_group", "_block"), "_group").filter("_from <> _block").drop("_from")
+        seen = clusters.withColumn("_kind", F.lit(CLUSTER)).unionByName(others.withColumn("_kind", F.lit(BOX)), allowMissingColumns=True)
+        local = stage(seen.groupBy("_group", "_block").applyInPandas(_local_joins(features, number), schema))
+        joined = local.filter(F.col("_kind") == JOIN)
+        found.append(joined.select("_group", "lo", "hi", F.sqrt("cost").alias("distance"), F.col("_n").cast("bigint").alias("sample_count"), "round"))
+        left = local.filter(F.col("_kind") == CLUSTER).drop("_kind", "round")
+        open_ = left.groupBy("_group").agg(F.count(F.lit(1)).alias("_left")).filter("_left > 1").select("_group")
+        done = open_.isEmpty()
+        if work is not None:
+            work.append(int(local.filter(F.col("_kind") == WORK).agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]))
+        if done:
             break
-        blocks = -(-largest // block_rows)
-        own = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        placed = clusters.select("*", F.lit(0).alias("_side"), own.alias("_a"), every.alias("_b")).unionByName(
-            clusters.select("*", F.lit(1).alias("_side"), own.alias("_b"), every.alias("_a"))
-        )
-        near = placed.groupBy("_group", "_a", "_b").applyInPandas(
-            _ward_cost(features), "_group string, _key string, cost double, lo string, hi string"
-        )
-        best = near.groupBy("_group", "_key").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
-        mutual = best.groupBy("_group", "m.lo", "m.hi").agg(F.count(F.lit(1)).alias("_votes"), F.min("m.cost").alias("cost"))
-        sizes = clusters.select("_group", F.col("_key").alias("lo"), F.col("_n").alias("_n_lo"))
-        others = clusters.select("_group", F.col("_key").alias("hi"), F.col("_n").alias("_n_hi"))
-        joins = mutual.filter(F.col("_votes") == 2).join(sizes, ["_group", "lo"]).join(others, ["_group", "hi"])
-        joins = stage(joins.select(
-            "_group", "lo", "hi", F.sqrt("cost").alias("distance"), (F.col("_n_lo") + F.col("_n_hi")).cast("bigint").alias("sample_count"),
-            F.lit(number).alias("round"),
-        ))
+        joins, clusters = _joins_across(left.join(open_, "_group", "left_semi"), joined, features, number, work)
         found.append(joins)
-        target = joins.select("_group", F.col("hi").alias("_key"), "lo")
-        moved = clusters.join(target, ["_group", "_key"], "left").withColumn("_key", F.coalesce("lo", "_key"))
-        clusters = stage(moved.groupBy("_group", "_key").agg(
-            F.sum("_n").alias("_sum"), *[(F.sum(F.col(f) * F.col("_n")) / F.sum("_n")).alias(f) for f in features]
-        ).withColumnRenamed("_sum", "_n"))
         number += 1
-    if not found:
-        schema = "_group string, lo string, hi string, distance double, sample_count bigint, round int"
-        return points.sparkSession.createDataFrame([], schema)
     merges = found[0]
     for more in found[1:]:
         merges = merges.unionByName(more)
     return merges
 
 
+def _joins_across(left: DataFrame, joined: DataFrame, features: list[str], number: int, work: list[int] | None) -> tuple[DataFrame, DataFrame]:
+    """Joins of mutually nearest clusters of any blocks, and the clusters after them."""
+    name = ["_group", "_name"]
+    partner = F.when(F.col("lo") == F.col("_key"), F.col("hi")).otherwise(F.col("lo"))
+
+    def ends(joins: DataFrame) -> DataFrame:
+        return joins.select("_group", F.explode(F.array("lo", "hi")).alias("_name"), F.col("lo").alias("_to"))
+
+    # A neighbour in another block that was joined there: such clusters look again within their block first.
+    lost = left.withColumn("_name", partner).join(ends(joined).select(*name, F.lit(True).alias("_lost")).distinct(), name, "left").drop("_name")
+    gone = (F.col("_state") == KNOWN) & F.col("_lost").isNotNull()
+    left = lost.withColumn("_state", F.when(gone, WAITING).otherwise(F.col("_state"))).drop("_lost")
+    box = [e for f in features for e in (F.min(f).alias(f"_low_{f}"), F.max(f).alias(f"_high_{f}"))]
+    boxes = left.groupBy("_group", F.col("_block").alias("_b")).agg(F.min("_n").alias("_least"), *box)
+    gaps = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"_low_{f}") - F.col(f), F.col(f) - F.col(f"_high_{f}")), F.lit(2.0)) for f in features), F.lit(0.0))
+    bound = gaps * (2 * F.col("_n") * F.col("_least") / (F.col("_n") + F.col("_least")))
+    near = F.col("cost").isNull() | (bound * SAFE <= F.col("cost"))
+    visitors = left.filter(F.col("_state") == OPEN).join(boxes, "_group").filter((F.col("_b") != F.col("_block")) & near)
+    visitors = visitors.select("_group", F.col("_block").alias("_a"), "_b", "_key", "_n", "cost", *features, F.lit(0).alias("_side"))
+    visited = visitors.select("_group", "_a", "_b").distinct()
+    members = visited.join(left.withColumnRenamed("_block", "_b"), ["_group", "_b"]).select("_group", "_a", "_b", "_key", "_n", "cost", *features, F.lit(1).alias("_side"))
+    compared = stage(visitors.unionByName(members).groupBy("_group", "_a", "_b").applyInPandas(
+        _visits(features), "_kind int, _group string, _key string, cost double, lo string, hi string"
+    ))
+    if work is not None:
+        work[-1] += int(compared.filter(F.col("_kind") == WORK).agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0])
+    nearer = compared.filter(F.col("_kind") == CLUSTER).groupBy("_group", "_key").agg(F.min(F.struct("cost", "lo", "hi")).alias("_new"))
+    own = F.when(F.col("cost").isNotNull(), F.struct("cost", "lo", "hi"))
+    best = left.join(nearer, ["_group", "_key"], "left").withColumn("_best", F.array_min(F.array_compact(F.array(own, "_new"))))
+    best = stage(best.select("_group", "_block", "_key", "_n", "_state", *[F.col("_best")[c].alias(c) for c in ("cost", "lo", "hi")], *features))
+    votes = best.filter(F.col("_state") != WAITING).groupBy("_group", "lo", "hi").agg(
+        F.count(F.lit(1)).alias("_votes"), F.min("cost").alias("cost"), F.sum("_n").cast("bigint").alias("sample_count")
+    )
+    order = F.lit((number + 1 << ROUND_SHIFT) - 1)
+    joins = stage(votes.filter("_votes = 2").select("_group", "lo", "hi", F.sqrt("cost").alias("distance"), "sample_count", order.alias("round")))
+    moved = best.withColumn("_name", F.col("_key")).join(ends(joins), name, "left").withColumn("_name", partner)
+    moved = moved.join(ends(joins).select(*name, F.lit(True).alias("_lost")), name, "left")
+    stale = F.col("_to").isNotNull() | F.col("_lost").isNotNull() | (F.col("_state") == WAITING)
+    total = F.sum("_n")
+    clusters = moved.withColumns({"_stale": stale, "_target": F.coalesce("_to", "_key")}).groupBy("_group", "_target").agg(
+        F.min_by("_block", "_key").alias("_block"), F.max("_stale").alias("_stale"), total.alias("_size"),
+        *[F.first(c).alias(c) for c in ("cost", "lo", "hi")], *[(F.sum(F.col(f) * F.col("_n")) / total).alias(f) for f in features],
+    )
+    kept = {c: F.when(~F.col("_stale"), F.col(c)) for c in ("cost", "lo", "hi")}
+    return joins, stage(clusters.select(
+        "_group", F.col("_target").alias("_key"), F.col("_size").alias("_n"), F.when(F.col("_stale"), WAITING).otherwise(KNOWN).alias("_state"),
+        *[e.alias(c) for c, e in kept.items()], *features, "_block",
+    ))
+
+
 def _numbered(merges: DataFrame) -> DataFrame:
     """Joins with their ``step`` in order of height; a join comes after those it rests on."""
     order = W.partitionBy("_group").orderBy(F.round("distance", 10), "round", "lo", "hi")
@@ -159,13 +333,13 @@ def cut_labels(merges: DataFrame, points: DataFrame, key: str, ks: Sequence[int]
     joined = _numbered(merges).select("_group", F.col("hi").alias("_key"), "lo", "step")
     start = sized.join(joined, ["_group", "_key"], "left")
     taken = F.col("step") < F.col("_rows") - F.col("k")
-    state = stage(start.select("_group", "k", key, "_key", F.when(taken, F.col("lo")).otherwise(F.col("_key")).alias("root")))
-    while not state.filter(F.col("root") != F.col("_key")).isEmpty():
+    state = stage(start.select("_group", "k", key, "_key", F.when(taken, F.col("lo")).otherwise(F.col("_key")).alias("root"), F.lit(True).alias("_moved")))
+    while True:
         up = state.select("_group", "k", F.col("_key").alias("root"), F.col("root").alias("_up"))
         moved = state.join(up, ["_group", "k", "root"])
-        if moved.filter(F.col("_up") != F.col("root")).isEmpty():
+        state = stage(moved.select("_group", "k", key, "_key", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")))
+        if state.filter("_moved").isEmpty():
             break
-        state = stage(moved.select("_group", "k", key, "_key", F.col("_up").alias("root")))
     number = F.row_number().over(W.partitionBy("_group", "k").orderBy("root")) - 1
     names = state.filter(F.col("root") == F.col("_key")).select("_group", "k", "root", number.cast("int").alias("label"))
     return state.join(names, ["_group", "k", "root"]).select("_group", "k", key, "label")

@@ -199,3 +199,30 @@ def test_kmeans_and_squared_silhouette(spark):
     assert len(partition((r.key, r.label) for r in labels.collect())) == 4
     joined = labels.join(df, "key").withColumn("v", F.array(*names))
     assert 0 < cluster.silhouette_squared(joined, "v", "label").first().silhouette <= 1
+
+
+def test_kept_neighbours_save_comparisons(spark):
+    """The same tree from any cut into blocks, and fewer pairs from round to round."""
+    x = np.concatenate([random_rows(150, 2, 5), random_rows(50, 2, 5)[:7]])  # some rows twice
+    df, names = frame(spark, x)
+    whole = cluster.ward_merges(df, "key", names)
+    work = []
+    cut = cluster.ward_merges(df, "key", names, block_rows=12, work=work)
+    heights = [sorted(r.distance for r in m.collect()) for m in (whole, cut)]
+    assert heights[1] == pytest.approx(heights[0], abs=1e-9)
+    for k in (2, 5, 20):
+        labels = [partition((r.key, r.label) for r in cluster.cut_labels(m, df, "key", [k]).collect()) for m in (whole, cut)]
+        assert labels[0] == labels[1]
+    # All pairs in each of the rounds would be 157 * 156 comparisons and more.
+    assert work[-1] < work[0] and sum(work) < 157 * 156
+    assert all(a >= b for a, b in zip(work, work[2:]))
+
+
+def test_groups_grow_their_own_trees(spark):
+    x = random_rows(60, 2, 8)
+    df, names = frame(spark, x)
+    grouped = df.withColumn("g", F.when(F.substring("key", 2, 4).cast("int") < 45, "a").otherwise("b"))
+    merges = cluster.ward_merges(grouped, "key", names, "g", block_rows=10)
+    for g, rows in (("a", slice(0, 45)), ("b", slice(45, 60))):
+        alone = cluster.ward_merges(df.filter(F.substring("key", 2, 4).cast("int").between(rows.start, rows.stop - 1)), "key", names)
+        assert sorted(r.distance for r in merges.filter(F.col("_group") == g).collect()) == pytest.approx(sorted(r.distance for r in alone.collect()))
