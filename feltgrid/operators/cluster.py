@@ -596,7 +596,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def pca_scatter(vectors: DataFrame, features: Sequence[str] = domain.CLUSTER_FEATURES) -> DataFrame:
     """Two principal components ``x, y`` of the standardised features (sample deviation).
 
-    Each axis is turned so that its largest loading is positive.
+    Each axis is turned so that its largest loading is positive, the first of equal ones.
     """
     raw = _assembled(vectors, features)
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(raw)
@@ -605,7 +605,7 @@ def pca_scatter(vectors: DataFrame, features: Sequence[str] = domain.CLUSTER_FEA
     mean, std = scaler.mean.toArray(), scaler.std.toArray()
     axes = []
     for axis in loadings.T:
-        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        axis = axis * np.sign(axis[np.abs(axis).round(9).argmax()])
         terms = [
             (F.col(f) - float(m)) / float(s) * float(w)
             for f, m, s, w in zip(features, mean, std, axis) if s > 0
