@@ -12,7 +12,7 @@ from feltgrid.functions import dates, text
 from feltgrid.operators.rows import beside
 from feltgrid.operators.skew import salted_left_join, smallest_per_group
 from feltgrid.operators.stage import stage
-POSITION_BITS = 12  # rows of a bucket when the first rows of a month are looked for
+POSITION_BITS = 22  # bytes of a bucket when the first rows of a month are looked for
 
 
 def attach_province(

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from feltgrid import domain
 from feltgrid.functions.text import strip
+from feltgrid.sources.splitcsv import read_csv
 
 MONTH_IN_PATH = r"/(\d{4}-\d{2})(?:\.csv)?(?:/[^/]*)?$"
-FILE_SHIFT = 33
-SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:)/+"
 
 
 def month_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -40,55 +39,24 @@ def missing_months(
     )
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All-text CSV scan: header, byte-order mark, doubled quotes, line breaks in quotes."""
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-
-
 def read_posts(
     spark: SparkSession, directory: str, months: Sequence[str] = domain.POST_MONTHS
 ) -> DataFrame:
     """Raw posts of the months that exist, with ``file_month`` and the row's ``position``.
 
-    A month is one CSV file or, at volume, a folder of part files: a file with quoted line breaks
-    cannot be split, so its size bounds the scan's parallelism. Positions increase in file order, and
-    by file name within a folder.
+    A month is one CSV file or a folder of part files; both are read in byte ranges. Positions rise in file
+    order, and by file name within a folder.
     """
     wanted = month_files(spark, directory).filter(F.col("month").isin(list(months)))
     # One path per month file; the list is as short as the folder listing.
     paths = sorted(row.path for row in wanted.collect())
     if not paths:
         raise FileNotFoundError(f"no monthly post files in {directory}")
-    df = read_csv(spark, paths)
-    df = df.withColumn("file_month", F.regexp_extract(F.col("_metadata.file_path"), MONTH_IN_PATH, 1))
+    df = read_csv(spark, paths, position="position", path="_path")
+    df = df.withColumn("file_month", F.regexp_extract("_path", MONTH_IN_PATH, 1)).drop("_path")
     if "geo_info" not in df.columns:
         df = df.withColumn("geo_info", F.lit(None).cast("string"))
-    return with_position(df)
-
-
-def with_position(scan: DataFrame, name: str = "position") -> DataFrame:
-    """A CSV scan with each row's place: the number of its file by path, then the row's number.
-
-    Spark deals files to tasks by size, so a row's number in its task says nothing about other files. A CSV
-    file with line breaks in quotes is never split, so within a file the numbers follow the lines. The list of
-    files is as long as the folder listing.
-    """
-    names = sorted(scan.inputFiles())
-    files = scan.sparkSession.createDataFrame(list(enumerate(names)), "_file long, _path string")
-    # The two sources write a different number of slashes behind the scheme.
-    files = files.withColumn("_path", F.regexp_replace("_path", SCHEME, "$1/"))
-    numbered = scan.withColumns({"_path": F.regexp_replace("_metadata.file_path", SCHEME, "$1/"), "_number": F.monotonically_increasing_id()})
-    within = F.col("_number").bitwiseAND(F.lit((1 << FILE_SHIFT) - 1))
-    place = F.shiftleft(F.col("_file"), FILE_SHIFT) + within
-    return numbered.join(files, "_path").withColumn(name, place).drop("_path", "_number", "_file")
+    return df
 
 
 def select_users(df: DataFrame, provinces: Sequence[str] = domain.PROVINCES, position: str | None = None) -> DataFrame:
@@ -116,7 +84,7 @@ def select_users(df: DataFrame, provinces: Sequence[str] = domain.PROVINCES, pos
 
 
 def read_users(spark: SparkSession, path: str, provinces: Sequence[str] = domain.PROVINCES) -> DataFrame:
-    return select_users(with_position(read_csv(spark, path), "_place"), provinces, "_place")
+    return select_users(read_csv(spark, path, position="_place"), provinces, "_place")
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:

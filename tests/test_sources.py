@@ -69,7 +69,7 @@ def test_first_rows_follow_file_names_not_sizes(spark, tmp_path):
     month.mkdir()
     (month / "part-0.csv").write_text("_id,user_id\n" + "".join(f"a{i},u1\n" for i in range(3)), encoding="utf-8")
     (month / "part-1.csv").write_text("_id,user_id\n" + "".join(f"b{i},u1\n" for i in range(30_000)), encoding="utf-8")
-    df = posts.with_position(posts.read_csv(spark, str(month))).withColumn("file_month", F.lit("2020-01"))
+    df = posts.read_csv(spark, str(month), position="position").withColumn("file_month", F.lit("2020-01"))
     first = enrich.first_rows_per_month(df, ["2020-01"], 5)
     assert sorted(r["_id"] for r in first.collect()) == ["a0", "a1", "a2", "b0", "b1"]
     users = tmp_path / "users"
@@ -158,3 +158,31 @@ def test_export_and_summary(spark, tmp_path):
     tables.write_panel(df, str(tmp_path / "by"), partition_by=["n"])
     assert spark.read.parquet(str(tmp_path / "by")).filter("n = 1").count() == 1
     assert json.loads(tables.run_summary(df.agg(F.count("*").alias("rows")))) == {"rows": 2}
+
+
+def test_csv_cut_at_every_byte(spark, tmp_path):
+    """One file read by many tasks, whatever falls on a cut."""
+    rows = [("1", "plain", "x"), ("2", "two\nlines", ""), ("3", 'a ""quoted"" word', "é\r\nü"), ("4", "\n\n\n", "end, comma"), ("5", "long " * 30 + "\n" + "tail " * 20, "日本\n語")]
+    rows = [(f"{i}-{a}", b.replace('""', '"'), c) for i in range(4) for a, b, c in rows]
+    quoted = lambda t: '"' + t.replace('"', '""') + '"' if any(c in t for c in ',"\n\r') else t
+    content = "﻿id,content,note\n" + "".join(",".join(map(quoted, r)) + "\n" + ("\n" if i % 7 == 3 else "") for i, r in enumerate(rows))
+    (tmp_path / "a.csv").write_bytes(content.encode())
+    (tmp_path / "b.csv").write_bytes(b'id,content,note\r\n9,"last\r\nrow",z')
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (16, 37, 100, 1001, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            df = posts.read_csv(spark, str(tmp_path), position="place", path="file")
+            assert df.columns == ["id", "content", "note", "place", "file"]
+            found = df.orderBy("place").collect()
+            want = [*((a, b, c or None) for a, b, c in rows), ("9", "last\r\nrow", "z")]
+            assert [tuple(r)[:3] for r in found] == want, size
+            assert len({r.place for r in found}) == len(found) and {r.file[-5:] for r in found} == {"a.csv", "b.csv"}
+            if size == 100:
+                from feltgrid.sources.splitcsv import range_parities, read_lines
+                ranges, cut = range_parities(read_lines(spark, [str(tmp_path)]))
+                assert sum(map(len, ranges.values())) > 10 and cut
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
