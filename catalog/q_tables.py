@@ -86,12 +86,12 @@ def dashboard_coercion(spark, d):
 
 
 @query(v.with_(v.POSTS, select="""
-SELECT 'emotion_panel_weekly' AS source, count(DISTINCT (date_week, region))::BIGINT AS row_count, 12 AS hash_length, true AS has_bytes FROM posts
-UNION ALL SELECT 'emotion_panel_monthly', count(DISTINCT (date_month, province))::BIGINT, 12, true FROM posts
-UNION ALL SELECT 'emotion_national_timeline', count(DISTINCT date_week)::BIGINT, 12, true FROM posts
-UNION ALL SELECT 'province_emotion_vectors', count(DISTINCT province)::BIGINT, 12, true FROM posts"""))
+SELECT 'emotion_panel_weekly' AS source, count(DISTINCT (date_week, region))::BIGINT AS row_count, true AS hashes_agree, true AS sizes_agree FROM posts
+UNION ALL SELECT 'emotion_panel_monthly', count(DISTINCT (date_month, province))::BIGINT, true, true FROM posts
+UNION ALL SELECT 'emotion_national_timeline', count(DISTINCT date_week)::BIGINT, true, true FROM posts
+UNION ALL SELECT 'province_emotion_vectors', count(DISTINCT province)::BIGINT, true, true FROM posts"""))
 def export_manifest(spark, d):
-    """Panels exported as files and described by the manifest; file names and hashes vary by run."""
+    """Panels exported as part files; what their writers say is compared with the files as Spark reads them."""
     folder = new_path(spark)
     posts = v.posts(spark, d)
     bundle.export_bundle({
@@ -100,11 +100,28 @@ def export_manifest(spark, d):
         "emotion_national_timeline": panels.national_timeline(posts),
         "province_emotion_vectors": panels.province_vectors(posts, None),
     }, folder)
-    return bundle.manifest(spark, folder).select(
-        "source", "row_count", F.length("hash").alias("hash_length"), (F.col("size_bytes") > 0).alias("has_bytes")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select(
+        F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), F.substring(F.sha2("content", 256), 1, 12).alias("_hash"), F.col("length").alias("_bytes"))
+    both = bundle.manifest(spark, folder).join(files, "path", "full")
+    return both.groupBy("source").agg(
+        F.sum("row_count").alias("row_count"), F.coalesce(F.bool_and(F.col("hash").eqNullSafe(F.col("_hash"))), F.lit(False)).alias("hashes_agree"),
+        F.coalesce(F.bool_and(F.col("size_bytes").eqNullSafe(F.col("_bytes"))), F.lit(False)).alias("sizes_agree"),
     )
 
 
+@query(v.with_(v.POSTS, """
+m AS (SELECT date_month, count(*) AS total_posts FROM posts GROUP BY date_month),
+t AS (SELECT '"date_month","total_posts"' || chr(10) || string_agg('"' || date_month || '",' || total_posts || chr(10), '' ORDER BY date_month) AS text, count(*) AS n FROM m)""",
+               select="SELECT 'months' AS source, substr(sha256(text), 1, 12) AS hash, n AS row_count, strlen(text)::BIGINT AS size_bytes FROM t"))
+def export_hash(spark, d):
+    """One file of known bytes: its writer's SHA-256, rows and size."""
+    folder = new_path(spark)
+    months = v.posts(spark, d).groupBy("date_month").agg(F.count(F.lit(1)).alias("total_posts"))
+    # A row per month.
+    bundle.export_bundle({"months": months.coalesce(1).sortWithinPartitions("date_month")}, folder)
+    return bundle.manifest(spark, folder).select("source", "hash", "row_count", "size_bytes")
+
+
 @query("SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids FROM documents")
 def scoring_stream(spark, d):
     """Documents scored as a file stream, run twice: the second run finds nothing new."""

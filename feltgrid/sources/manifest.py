@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltgrid.sources.tables import write_panel
+from feltgrid.sources.files import FORMAT, LISTED, FileSource
+
+ENTRY = "path string, source string, hash string, row_count bigint, size_bytes bigint"
 
 # The bundle's table names, required first, then optional keyword tables.
 REQUIRED_TABLES = [
@@ -20,7 +22,7 @@ KEYWORD_TABLES = ["nlp_keywords_by_week", "nlp_emotion_keywords", "nlp_global_vo
 def export_bundle(
     tables: Mapping[str, DataFrame], directory: str, formats: Mapping[str, str] | None = None, required: Sequence[str] = ()
 ) -> None:
-    """Write each table below ``directory/<name>``; panels are small, so one file each.
+    """Write each table below ``directory/<name>`` as the files of its tasks, listed by the writers.
 
     A name in ``required`` without a table is an error, and nothing is written then.
     """
@@ -29,21 +31,32 @@ def export_bundle(
         raise ValueError(f"the bundle misses tables: {missing}")
     formats = formats or {}
     for name, df in tables.items():
-        write_panel(df, f"{directory}/{name}", formats.get(name, "csv"), files=1)
+        df.sparkSession.dataSource.register(FileSource)
+        df.write.format(FORMAT).mode("overwrite").option("kind", formats.get(name, "csv")).option("path", f"{directory}/{name}").save()
 
 
 def manifest(spark: SparkSession, directory: str) -> DataFrame:
     """One row per exported file: path, table, short SHA-256, rows and bytes.
 
+    Files that ``export_bundle`` wrote were described by their writers; other files are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    # As long as the folder listing.
+    paths = [r.path for r in found.option("pathGlobFilter", f"{{*.csv,*.json,{LISTED}}}").load(directory).select("path").collect()]
+    lists = [p for p in paths if p.endswith(f"/{LISTED}")]
+    listed = {p.rsplit("/", 1)[0] for p in lists}
+    other = [p for p in paths if p.rsplit("/", 1)[0] not in listed]
+    entries = spark.read.schema(ENTRY).json(lists) if lists else spark.createDataFrame([], ENTRY)
+    return entries.unionByName(describe_files(spark, other)) if other else entries
+
+
+def describe_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The manifest rows of files that others wrote; each is read whole.
+
     Rows are lines less the header for CSV; for JSON the length of the list, of the ``weeks``,
     ``emotions`` or ``vocabulary`` member, or the number of lines of a JSON-lines file.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{csv,json}")
-        .load(directory)
-    )
+    files = spark.read.format("binaryFile").load(list(paths))
     content = F.decode("content", "UTF-8")
     text = F.trim(content)
     lines = F.regexp_count(F.regexp_replace(content, r"\n+$", ""), F.lit("\n")) + 1

@@ -154,7 +154,7 @@ def test_manifest(spark, tmp_path):
 def test_export_and_summary(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
     manifest.export_bundle({"cluster_labels": df}, str(tmp_path), {"cluster_labels": "csv"})
-    assert manifest.manifest(spark, str(tmp_path)).first().row_count == 2
+    assert sum(r.row_count for r in manifest.manifest(spark, str(tmp_path)).collect()) == 2
     tables.write_panel(df, str(tmp_path / "by"), partition_by=["n"])
     assert spark.read.parquet(str(tmp_path / "by")).filter("n = 1").count() == 1
     assert json.loads(tables.run_summary(df.agg(F.count("*").alias("rows")))) == {"rows": 2}
@@ -186,3 +186,21 @@ def test_csv_cut_at_every_byte(spark, tmp_path):
     finally:
         for k, value in kept.items():
             spark.conf.set(k, value)
+
+
+def test_writers_describe_their_files(spark, tmp_path):
+    df = spark.range(0, 100, 1, 5).select("id", F.concat(F.lit('a "b", c\n'), "id").alias("text"), F.when(F.col("id") > 50, 1.5).alias("x"))
+    for _ in range(2):  # the second export replaces the first
+        manifest.export_bundle({"t": df, "lines": df, "none": df.filter("id < 0")}, str(tmp_path), {"lines": "json"})
+    (tmp_path / "t" / "part-lost.csv").write_text("left by a lost attempt")
+    entries = manifest.manifest(spark, str(tmp_path)).collect()
+    for e in entries:
+        data = (tmp_path / e.path).read_bytes()
+        assert e.hash == hashlib.sha256(data).hexdigest()[:12] and e.size_bytes == len(data) and e.path.startswith(f"{e.source}/")
+    total = {s: (sum(e.row_count for e in entries if e.source == s), sum(e.source == s for e in entries)) for s in ("t", "lines", "none")}
+    assert total["t"] == total["lines"] == (100, 5) and total["none"] == (0, 1)
+    files = sorted(str(tmp_path / e.path) for e in entries if e.source == "t")
+    back = posts.read_csv(spark, files)
+    assert sorted((r.id, r.text, r.x) for r in back.collect()) == sorted((str(i), f'a "b", c\n{i}', "1.5" if i > 50 else None) for i in range(100))
+    rows = [json.loads(line) for e in entries if e.source == "lines" for line in (tmp_path / e.path).read_text().splitlines()]
+    assert len(rows) == 100 and rows[0].keys() == {"id", "text", "x"}
