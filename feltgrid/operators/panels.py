@@ -52,6 +52,11 @@ def weekly_panel(
         *_means(),
         *_stds(),
     )
+    return weekly_measures(panel, min_posts)
+
+
+def weekly_measures(panel: DataFrame, min_posts: int = domain.MIN_POSTS_RELIABLE) -> DataFrame:
+    """A week's counts, means and deviations with the measures derived from them."""
     return _ratios(_dominant(panel)).withColumns({
         "dominant_score": F.greatest(*MEANS),
         "emotional_intensity": metrics.intensity("neutral_mean"),
@@ -69,6 +74,10 @@ def monthly_panel(
     panel = _valid(posts, provinces, region).groupBy("date_month", region).agg(
         F.count("post_id").alias("total_posts"), *_means(), *_stds(["joy", "fear"])
     )
+    return monthly_measures(panel, min_posts)
+
+
+def monthly_measures(panel: DataFrame, min_posts: int = domain.MIN_POSTS_RELIABLE) -> DataFrame:
     return _dominant(panel).withColumns({
         "dominant_score": F.greatest(*MEANS),
         "emotional_intensity": metrics.intensity("neutral_mean"),
@@ -78,7 +87,10 @@ def monthly_panel(
 
 def national_timeline(posts: DataFrame) -> DataFrame:
     """Week, over all posts whatever their province."""
-    panel = posts.groupBy("date_week").agg(F.count("post_id").alias("total_posts"), *_means(), *_stds())
+    return national_measures(posts.groupBy("date_week").agg(F.count("post_id").alias("total_posts"), *_means(), *_stds()))
+
+
+def national_measures(panel: DataFrame) -> DataFrame:
     return _ratios(_dominant(panel)).withColumn("emotional_intensity", metrics.intensity("neutral_mean"))
 
 
@@ -147,7 +159,11 @@ def dataset_profile(posts: DataFrame) -> DataFrame:
 
 def emotion_distribution(posts: DataFrame) -> DataFrame:
     """Mean and sample deviation of each emotion over all posts."""
-    wide = posts.agg(*_means(), *_stds())
+    return emotion_rows(posts.agg(*_means(), *_stds()))
+
+
+def emotion_rows(wide: DataFrame) -> DataFrame:
+    """One row per emotion from one row of means and deviations."""
     pairs = [
         F.struct(F.lit(e).alias("emotion"), F.col(f"{e}_mean").alias("mean"), F.col(f"{e}_std").alias("std"))
         for e in domain.EMOTIONS

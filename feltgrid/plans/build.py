@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feltgrid import domain
 from feltgrid.functions import dates, text
-from feltgrid.operators import anomaly, cluster, enrich, keywords, merge, panels, sampling, validate
+from feltgrid.operators import anomaly, cluster, enrich, keywords, merge, moments, panels, sampling, validate
 from feltgrid.operators.stage import stage
 from feltgrid.sources.tables import require_columns, write_panel
 
@@ -109,6 +109,32 @@ def build_panels(labelled: DataFrame, directory: str, provinces: Sequence[str] |
     return {name: spark.read.parquet(f"{directory}/{name}") for name in tables}
 
 
+def expand_panels(
+    state: DataFrame | None, new: DataFrame, directory: str, replaced: DataFrame | None = None,
+    provinces: Sequence[str] | None = domain.PROVINCES, min_posts: int = domain.MIN_POSTS_RELIABLE,
+) -> dict[str, DataFrame]:
+    """The four panels after an expansion, from the stored state of the earlier posts, the new posts and the earlier rows of posts that are replaced.
+
+    Earlier posts are not read. The new state is written to ``directory/moments``, which must not be where ``state`` lies.
+    """
+    require_columns(new, domain.LABELLED_REQUIRED, "labelled posts")
+    states = [moments.post_moments(new)] + ([state] if state is not None else [])
+    if replaced is not None:
+        states.append(moments.negative(moments.post_moments(replaced)))
+    write_panel(moments.merge_moments(*states), f"{directory}/moments")
+    spark = new.sparkSession
+    merged = spark.read.parquet(f"{directory}/moments")
+    tables = {
+        "emotion_panel_weekly": moments.weekly_panel(merged, provinces, min_posts),
+        "emotion_panel_monthly": moments.monthly_panel(merged, provinces, min_posts),
+        "emotion_national_timeline": moments.national_timeline(merged),
+        "province_emotion_vectors": moments.province_vectors(merged, provinces),
+    }
+    for name, df in tables.items():
+        write_panel(df, f"{directory}/{name}")
+    return {"moments": merged, **{name: spark.read.parquet(f"{directory}/{name}") for name in tables}}
+
+
 def build_anomalies(tables: Mapping[str, DataFrame], min_posts: int = domain.MIN_POSTS_RELIABLE) -> DataFrame:
     series = anomaly.zscore_series(tables["emotion_national_timeline"])
     events = anomaly.anomaly_events(series)
