@@ -100,6 +100,25 @@ def scoring_log(spark, d):
     return scoring.scoring_log(failing(spark, d))
 
 
+def make_counting_scorer():
+    """As the failing one, telling the tokens of each try."""
+    inner = make_failing_scorer()
+
+    def score(texts):
+        return scoring.Reply(inner(texts), sum(len(t) // 4 + 20 for t in texts), 40 * len(texts))
+
+    return score
+
+
+@query("""
+WITH t AS (SELECT CASE WHEN length(text) % 2 = 1 THEN 2 ELSE 1 END AS tries, length(text) // 4 + 20 AS prompt, length(text) % 2 AS odd FROM documents)
+SELECT count(*)::BIGINT AS batches, count(*) FILTER (odd = 1)::BIGINT AS failed_batches, sum(tries)::BIGINT AS tries, sum(tries * prompt)::BIGINT AS prompt_tokens,
+       sum(tries * 40)::BIGINT AS completion_tokens, sum(tries * (prompt + 40))::BIGINT AS total_tokens FROM t""")
+def scoring_usage(spark, d):
+    """Batches of one: a text that fails is sent twice, and both tries are paid for."""
+    return scoring.scoring_usage(scoring.score_posts(docs(spark, d), make_counting_scorer, batch_size=1, tries=2, accounting=True))
+
+
 @query("""
 SELECT count(*)::BIGINT AS total_rows, count(*) FILTER (length(text) % 2 = 0)::BIGINT AS total_labeled,
        count(*) FILTER (length(text) % 2 = 1)::BIGINT AS total_failed, ceil(count(*) / 30.0)::BIGINT AS total_batches FROM documents""")
@@ -146,9 +165,15 @@ def scorer_compare(spark, d):
 
 
 @query(v.with_(SCORED, select="""
-SELECT count(*)::BIGINT AS rows, '' AS issues, true AS passed FROM scored"""))
+SELECT count(*)::BIGINT AS rows, '' AS issues, true AS passed FROM scored UNION ALL
+SELECT count(*)::BIGINT, 'outside_joy=' || count(*) FILTER (post_id % 3 = 0) || '; outside_fear=' || count(*) FILTER (post_id % 5 = 0), false FROM scored"""))
 def score_gate(spark, d):
-    return scoring.score_gate(scoring.score_with_lexicon(docs(spark, d), LEXICON))
+    """A run that passes, and one with scores out of range."""
+    scored = scoring.score_with_lexicon(docs(spark, d), LEXICON)
+    bad = scored.withColumns({
+        "joy": F.when(F.col("post_id") % 3 == 0, 1.5).otherwise(F.col("joy")), "fear": F.when(F.col("post_id") % 5 == 0, -0.5).otherwise(F.col("fear")),
+    })
+    return scoring.score_gate(scored).unionByName(scoring.score_gate(bad))
 
 
 @query(v.with_(SCORED, select="""

@@ -1,18 +1,21 @@
 """End-to-end mini data set, dashboard coercion, the export bundle and the scoring stream."""
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import views as v
 from catalog.q_cleaning import MARKED, clean_sql, letters_sql, marked
 from catalog.q_panels import monthly, weekly
-from catalog.q_scoring import LEXICON, docs
+from catalog.q_scoring import LEXICON, SCORED, docs
 from feltgrid.operators import panels, sampling, scoring
 from feltgrid.operators.stage import new_path, stage
 from feltgrid.plans import build
 from feltgrid.sources import manifest as bundle
 from feltgrid.sources import tables
-from feltgrid.streaming.scoring_stream import read_post_stream, score_stream
+from feltgrid.streaming.scoring_stream import read_post_stream, read_scored, score_stream, score_stream_by_id
 
 WEEK_OF_DOC = "CAST(7 * (CASE WHEN doc_id % 200 = 0 THEN 20 ELSE doc_id % 20 END) AS INTEGER)"
 MINI_TARGETS = {f"2020-{m:02d}": 100 * m for m in range(1, 7)}
@@ -122,7 +125,10 @@ def export_hash(spark, d):
     return bundle.manifest(spark, folder).select("source", "hash", "row_count", "size_bytes")
 
 
-@query("SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids FROM documents")
+STREAM_SQL = f"SELECT post_id, {v.round_cols('joy', 'neutral')}, 'ok' AS label_status FROM scored"
+
+
+@query(v.with_(SCORED, select=STREAM_SQL))
 def scoring_stream(spark, d):
     """Documents scored as a file stream, run twice: the second run finds nothing new."""
     folder = new_path(spark)
@@ -131,5 +137,28 @@ def scoring_stream(spark, d):
     for _ in range(2):
         posts = read_post_stream(spark, source, docs(spark, d).schema)
         score_stream(posts, lambda p: scoring.score_with_lexicon(p, LEXICON), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    scored = spark.read.parquet(f"{folder}/out")
-    return scored.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("post_id").alias("ids"))
+    return v.rounded(spark.read.parquet(f"{folder}/out").select("post_id", "joy", "neutral", "label_status"))
+
+
+@query(v.with_(SCORED, select=STREAM_SQL))
+def scoring_stream_by_id(spark, d):
+    """Two deliveries that share two fifths of the documents; the first batch breaks off and runs again."""
+    folder = new_path(spark)
+    source, rows = f"{folder}/in", docs(spark, d)
+    number = F.col("post_id") % 10
+
+    def run(score):
+        posts = read_post_stream(spark, source, rows.schema)
+        score_stream_by_id(posts, score, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+
+    def breaking(posts):
+        scored = scoring.score_with_lexicon(posts, LEXICON)
+        return scored.withColumn("label_status", F.when(F.col("post_id") >= 0, F.raise_error(F.lit("killed"))).otherwise("ok"))
+
+    rows.filter(number < 7).write.parquet(source)
+    with contextlib.suppress(StreamingQueryException):
+        run(breaking)
+    run(lambda p: scoring.score_with_lexicon(p, LEXICON))
+    rows.filter(number >= 3).write.mode("append").parquet(source)
+    run(lambda p: scoring.score_with_lexicon(p, LEXICON))
+    return v.rounded(read_scored(spark, f"{folder}/out").select("post_id", "joy", "neutral", "label_status"))
