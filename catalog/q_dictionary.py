@@ -8,7 +8,6 @@ from feltgrid.operators import keywords
 from feltgrid.operators.stage import stage
 
 LETTERS, SIGNS = "aeiouthnrsld", "甲乙丙丁戊己庚辛壬癸子丑"
-LONGEST = 6
 
 WORDS_SQL = r"[一-鿿]+|[\p{L}\p{M}\p{N}_.]+"
 TOKENS_SQL = f"""
@@ -18,9 +17,10 @@ runs AS (SELECT * FROM pieces WHERE regexp_full_match(run, '[一-鿿]+')),
 dictionary AS (
   SELECT DISTINCT word, CASE WHEN length(word) % 2 = 0 THEN 'n' ELSE 'v' END AS pos
   FROM (SELECT unnest(regexp_extract_all(translate(lower(text), '{LETTERS}', '{SIGNS}'), '[一-鿿]+')) AS word FROM benchmark)
-  WHERE length(word) BETWEEN 2 AND {LONGEST}),
+  WHERE length(word) >= 2),
+sizes AS (SELECT DISTINCT length(word) AS n FROM dictionary),
 grams AS (SELECT post_id, date_week, substr(run, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS word
-          FROM runs, LATERAL unnest(generate_series(2, {LONGEST})) s(n), LATERAL unnest(generate_series(1, length(run) - n + 1)) p(i)),
+          FROM runs, sizes, LATERAL unnest(generate_series(1, length(run) - n + 1)) p(i)),
 tokens AS (SELECT post_id, date_week, word, pos FROM grams JOIN dictionary USING (word))"""
 
 
@@ -30,7 +30,7 @@ def written(text):
 
 def dictionary(spark, d):
     runs = v.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(written(F.col("text")), F.lit("([一-鿿]+)"), F.lit(1))).alias("word"))
-    words = runs.filter(F.length("word").between(2, LONGEST)).distinct()
+    words = runs.filter(F.length("word") >= 2).distinct()
     return stage(words.withColumn("pos", F.when(F.length("word") % 2 == 0, "n").otherwise("v")))
 
 

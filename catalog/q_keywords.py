@@ -185,11 +185,11 @@ def keyword_review(spark, d):
 
 @query(v.with_(v.TEXTS, RAW_TOKENS, """
 raw_counts AS (SELECT word, count(*)::BIGINT AS count FROM raw_tokens GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)""", select=f"""
-SELECT word, count FROM raw_counts WHERE word IN {_listed(["un", "le", "the", "la", "der", "il", "we", "en", "et", "que"] + STOP_WORDS)}"""))
+SELECT word, count FROM raw_counts WHERE word IN {_listed(["un", "le", "the", "la", "der", "il", "we", "en", "et", "que"] + STOP_WORDS + NOISE_WORDS)}"""))
 def noise_check(spark, d):
     raw = keywords.week_term_counts(keywords.tokenise(v.texts(spark, d), PATTERN, filtered=False))
     extra = spark.createDataFrame([(w,) for w in ["un", "le", "the", "la", "der", "il", "we", "en", "et", "que"]], "word string")
-    return keywords.noise_check(raw, tables.stop_words(spark).union(extra))
+    return keywords.noise_check(raw, tables.stop_words(spark).union(tables.noise_words(spark)).union(extra).distinct())
 
 
 @query(v.with_(v.TEXTS, RAW_TOKENS, TOKENS, COUNTS, WEIGHTS, STATUS, select="""

@@ -6,6 +6,8 @@ so counts and scores always refer to the same term.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def text_column(df: DataFrame) -> str:
     raise ValueError(f"no text column, expected one of {TEXT_COLUMNS}")
 
 
-def _ngrams(run: Column, sizes: range) -> Column:
+def _ngrams(run: Column, sizes: Sequence[int]) -> Column:
     """All character n-grams of a CJK run, in text order per size."""
     parts = [
         F.when(
@@ -37,7 +39,7 @@ def _ngrams(run: Column, sizes: range) -> Column:
         ).otherwise(F.array().cast("array<string>"))
         for n in sizes
     ]
-    return F.concat(*parts)
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
 
 
 def tokenise(
@@ -59,10 +61,10 @@ def tokenise(
     matches = F.regexp_extract_all(source, F.lit(pattern or WORDS), F.lit(0))
     tokens = posts.select(*keep, F.explode(matches).alias("word"))
     if pattern is None:
-        sizes = range(2, 3)
+        sizes: Sequence[int] = [2]
         if dictionary is not None:
-            longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 1
-            sizes = range(1, longest + 1)
+            # One row per length that occurs, however long the longest entry.
+            sizes = sorted(r.n for r in dictionary.select(F.length("word").alias("n")).distinct().collect() if r.n)
         is_run = F.col("word").rlike(f"^{CJK_RUN}$")
         whole = ~is_run if dictionary is not None else ~is_run | (F.length("word") == 1)
         parts = F.when(whole, F.array("word")).otherwise(_ngrams(F.col("word"), sizes))

@@ -121,10 +121,11 @@ def quality_report(
 ) -> DataFrame:
     """One row of counts, score validity, distributions and drift of a merged set.
 
-    The merged posts are read once for a week-province cell table of counts and sums, which is
-    materialised; every distribution, rate and mean is then taken from the cells. Only the check
-    for repeated ids reads the posts' ids again. Scores out of range are counted, not removed.
+    The merge runs once: ids, weeks, provinces and scores are materialised, and so is a week-province cell
+    table of counts and sums, from which every distribution, rate and mean is taken. Scores out of range are
+    counted, not removed.
     """
+    merged = stage(merged.select(key, "date_week", "province", *domain.EMOTIONS))
     n = F.count(F.lit(1))
 
     def sums() -> list[Column]:

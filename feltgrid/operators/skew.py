@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feltgrid.operators.stage import stage
+
 HOT_SHARE = 0.001
 SALTS = 64
+TRACKED = 16  # keys that the sketch follows for each one it may name
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
@@ -19,25 +23,33 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counts.filter((F.col("count") >= total * share) & F.col(key).isNotNull()).select(key)
 
 
+def stage_with_hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> tuple[DataFrame, list]:
+    """``df`` staged, and the keys that hold about ``share`` of its rows or more, from the same pass.
+
+    A mergeable heavy-hitter sketch rides on the write, so nothing is read twice. It may name a key that is
+    somewhat rarer, never miss one; the list is bounded by ``1 / share``.
+    """
+    seen, most = Observation(), math.ceil(1 / share)
+    top = F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(TRACKED * most))
+    staged = stage(df.observe(seen, top.alias("top"), F.count(F.lit(1)).alias("rows")))
+    found = seen.get
+    return staged, [r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] >= share * found["rows"]]
+
+
 def salted_left_join(
     left: DataFrame, right: DataFrame, key: str, row_id: str, share: float = HOT_SHARE, salts: int = SALTS
 ) -> DataFrame:
     """Left join that spreads each hot key, and null keys, over ``salts`` tasks.
 
-    Only the rows of ``right`` that match a hot key are repeated. The hot-key list is bounded by
-    ``1 / share`` rows, which is what allows its broadcast.
+    ``left`` is computed once. Only the rows of ``right`` that match a hot key are repeated.
     """
-    hot = hot_keys(left, key, share).withColumn("_hot", F.lit(True))
+    left, keys = stage_with_hot_keys(left, key, share)
+    hot = F.col(key).isin(keys) if keys else F.lit(False)
     draw = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    spread = F.col("_hot") | F.col(key).isNull()
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(spread, draw).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = (
-        right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted_left.drop("_hot").join(salted_right, [key, "_salt"], "left").drop("_salt")
+    salted_left = left.withColumn("_salt", F.when(hot | F.col(key).isNull(), draw).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(copies))
+    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
 
 
 def smallest_per_group(

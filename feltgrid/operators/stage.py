@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def stage_folder(spark: SparkSession) -> str:
     """The folder for staged tables: the one in ``spark.checkpoint.dir``, else the warehouse.
 
-    Both are folders that all executors share.
+    Both have to be folders that all executors share. The warehouse is by default one on the driver's own disk, where a
+    cluster's staged tables would be lost, so that is refused.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{folder.rstrip('/')}/feltgrid/{spark.sparkContext.applicationId}"
 
 

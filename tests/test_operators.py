@@ -301,3 +301,15 @@ def test_dashboard_queries(spark):
 def test_period_delta_with_one_week(spark):
     row = anomaly.period_delta(panels.national_timeline(labelled(spark, 1))).first()
     assert row.previous_week is None and row.positive_delta == 0.0
+
+
+def test_a_salted_join_computes_its_posts_once(spark):
+    posts = spark.range(3000).select(F.col("id").alias("post_id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("u"), "id")).alias("user_id"))
+    staged, hot = skew.stage_with_hot_keys(posts, "user_id", 0.1)
+    assert hot == ["hot"] and staged.count() == 3000
+    users = spark.createDataFrame([("hot", "北京"), ("u1", "上海")], "user_id string, province string")
+    joined = enrich.attach_province(posts, users)
+    assert joined.filter("province = '北京'").count() == 1500 and joined.count() == 3000
+    # The plan reads the staged posts once, and not the posts themselves.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [post_id") == 1 and "Range (" not in plan
