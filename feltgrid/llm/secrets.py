@@ -8,9 +8,11 @@ partial sums, so a string that a third of all documents quote is a few rows for
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feltgrid.llm.frames import fresh
@@ -18,6 +20,7 @@ from feltgrid.operators.stage import stage
 
 MAX_OWNERS = 3
 PLACEHOLDER = "[secret]"
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -52,32 +55,51 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda Spark would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of all beginnings of an array. Sums are taken in chunks, as appending to one array copies it each time."""
+    zero = F.struct(_long(0).alias("sum"), F.array().cast("array<long>").alias("sums"))
+
+    def fold(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums")))
+
+    def joined(parts: Column) -> Column:
+        offsets = F.concat(F.array(_long(0)), fold(F.transform(parts, lambda p: p["sum"]))["sums"])
+        pairs = F.arrays_zip(parts.alias("p"), offsets.alias("o"))
+        return F.flatten(F.transform(F.filter(pairs, lambda z: z["p"].isNotNull()), lambda z: F.transform(z["p"]["sums"], lambda x: x + z["o"])))
+
+    def chunks(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+        return let(F.transform(starts, lambda at: fold(F.slice(values, at, CHUNK))), joined)
+
+    return let(numbers, chunks)
+
+
 def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """Leftmost non-overlapping matches of one kind as spans of code points, failing ones dropped.
 
-    A text is cut at its matches; the lengths of pieces and matches in turn give the positions.
+    A text is cut at its matches; the lengths of pieces and matches in turn give the positions. The work
+    grows with the matches, not with their square.
     """
     pattern = F.lit(kind.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    secret = F.regexp_extract_all(text, pattern, F.lit(kind.group))
-    between = F.split(text, kind.pattern, -1)
-    steps = F.transform(
-        whole,
-        lambda m, i: F.struct(
-            F.length(F.get(between, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), F.get(secret, i).alias("value")
-        ),
-    )
-    empty = F.struct(_long(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m).cast("long"))
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g).cast("long"))
+    values = F.regexp_extract_all(text, pattern, F.lit(kind.group))
 
-    def add(acc: Column, step: Column) -> Column:
-        start = acc["at"] + step["gap"]
-        end = start + step["size"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), step["value"].alias("value"))
-        fits = F.length(step["value"]) >= kind.least
-        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def listed(steps: Column) -> Column:
+        ends = running_sums(F.transform(steps, lambda s: s["gap"] + s["size"]))
+        spans = F.transform(F.arrays_zip(steps.alias("s"), ends.alias("e")), lambda z: F.struct(
+            (z["e"] - z["s"]["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), z["e"].alias("end"), z["s"]["value"].alias("value"),
+        ))
+        return F.filter(spans, lambda s: F.length(s["value"]) >= kind.least)
 
-    found = F.aggregate(steps, empty, add, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(SPANS))
+    # The last piece of the text follows no match.
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), values.alias("value")), lambda s: s["size"].isNotNull())
+    return F.when(text.rlike(kind.pattern), let(steps, listed)).otherwise(F.array().cast(SPANS))
 
 
 def candidate_spans(text: Column, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS) -> Column:
@@ -154,27 +176,30 @@ def redact(
 ) -> DataFrame:
     """``docs`` with every live-looking span of ``text`` replaced; copied examples and all else stay.
 
-    Overlapping spans are replaced as one. Texts without live spans, and null texts, are unchanged. Only
-    rows with candidates are joined with the verdicts; all others pass without a shuffle.
+    Overlapping spans are replaced as one. Texts without live spans, and null texts, are unchanged. Rows are staged
+    with their spans, so patterns run once; only rows with candidates are joined with the verdicts, all others
+    pass without a shuffle.
     """
-    scanned = scan(docs, doc_id, text, repository, owner)
+    row, name = fresh(docs, "_row"), fresh(docs, "_spans")
+    own = {"_row": F.col(row), "doc_id": F.col(doc_id), "repository": F.col(repository).cast("string"), "owner": F.col(owner).cast("string"), "spans": F.col(name)}
+    rows = stage(docs.withColumns({row: row_key(doc_id, text, repository, owner), name: candidate_spans(F.coalesce(F.col(text), F.lit("")))}))
+    scanned = rows.select(*[c.alias(n) for n, c in own.items()])
     live = ownership(scanned, max_owners).filter(F.col("verdict") == "live")
-    row, live_name = fresh(docs, "_row"), fresh(docs, "_live")
-    live = live.groupBy(F.col("_row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(live_name))
-    rows = docs.withColumn(row, row_key(doc_id, text, repository, owner))
-    some = F.lit(False)
-    for kind in BASE_KINDS + MORE_KINDS:
-        some = some | F.coalesce(F.col(text).rlike(kind.pattern), F.lit(False))
-    marked = rows.filter(some).join(live, row, "left")
-    start = F.struct(_long(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(placeholder))).otherwise(acc["out"]).alias("out")
-        )
-
-    rest = F.aggregate(live_name, start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    cleaned = marked.withColumn(text, F.when(F.col(live_name).isNull(), F.col(text)).otherwise(rest)).select(*docs.columns)
-    return rows.filter(~some).select(*docs.columns).unionByName(cleaned)
+    # Where the text before a span begins: after all spans before it.
+    before = W.partitionBy("_row").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    live = live.withColumn("from", F.coalesce(F.max("end").over(before), _long(0))).groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "from"))).alias("_live"), F.max("end").alias("_last")
+    )
+    column = F.col(text)
+    live_name, last_name = fresh(rows, "_live"), fresh(rows, "_last")
+    live = live.select(F.col("_row").alias(row), F.col("_live").alias(live_name), F.col("_last").alias(last_name))
+
+    def piece(s: Column) -> Column:
+        gap = F.substring(column, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int"))
+        return F.when(s["start"] >= s["from"], F.concat(gap, F.lit(placeholder))).otherwise(F.lit(""))
+
+    tail = F.substring(column, (F.col(last_name) + 1).cast("int"), F.length(column))
+    cleaned = F.concat(F.array_join(F.transform(live_name, piece), ""), tail)
+    marked = rows.filter(F.size(name) > 0).join(live, row, "left")
+    marked = marked.withColumn(text, F.when(F.col(live_name).isNull(), column).otherwise(cleaned)).select(*docs.columns)
+    return rows.filter(F.size(name) == 0).select(*docs.columns).unionByName(marked)

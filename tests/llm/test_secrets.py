@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import re
+import time
 
+from pyspark.sql import functions as F
 from helpers import ROWS, docs
 
 from feltgrid.llm import secrets
@@ -53,3 +56,21 @@ def test_redaction_keeps_rows_and_clean_texts(spark):
 def test_no_rows(spark):
     assert secrets.scan_secrets(docs(spark, [])).count() == 0
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(brute(None).encode()).hexdigest()
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    """Twenty thousand checksums: the square of the matches would take minutes."""
+    text = "\n".join(f"é {i:016x}" for i in range(20_000)) + " password=" + "a1" * 10
+    rows = [(1, text, "en", "a"), (2, " ".join(f"token={i:012d}" for i in range(1_100)), "en", "b")]
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert found[1].n_hex == 20_001 and found[1].base_spans == brute(text) and found[2].base_spans == brute(rows[1][1])
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
+    assert clean[1] == "\n".join(["é [secret]"] * 20_000) + " [secret]" and clean[2] == " ".join(["[secret]"] * 1_100)
+    assert time.perf_counter() - start < 60
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 511, 512, 513, 1_030)], "x array<long>")
+    for r in df.select("x", secrets.running_sums(F.col("x")).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.x))
