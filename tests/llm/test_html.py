@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from feltgrid.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var x="</p><p>no</p>";</script></head><body>
@@ -9,8 +13,14 @@ c</p><div class="advert">Buy</div><table><tr><td>1<td>2<tr><td>3</table><form><p
 <aside>Side</aside><footer>&copy; site</footer><script>unclosed"""
 
 
+def text_of(source):
+    """The page's text when every declared branch is weak."""
+    weak = html.parse(source).declared
+    return html.main_text(source, weak, weak)
+
+
 def test_blocks_of_an_untidy_page():
-    assert html.main_text(PAGE.replace("{n}", "7"), set(), set()) == "Title & more One bold line 7 Two <x> a b c 1 2 3"
+    assert text_of(PAGE.replace("{n}", "7")) == "Title & more One bold line 7 Two <x> a b c 1 2 3"
 
 
 def test_parser_survives_anything():
@@ -56,8 +66,8 @@ def test_one_template_on_every_page_is_kept_as_a_last_resort(spark):
 
 def test_text_beside_article_elements_is_kept():
     page = "<body class='has-sidebar'><div class='story'><p>The story.</p></div><article class='comments-open'><p>A teaser.</p></article><div class='sidebar-2'>Ads</div></body>"
-    assert html.main_text(page, set(), set()) == "The story. A teaser."
-    assert html.main_text("<html class='nav'><body id='search'><main class='related'><p>All of it.</p></main></body></html>", set(), set()) == "All of it."
+    assert text_of(page) == "The story. A teaser."
+    assert text_of("<html class='nav'><body id='search'><main class='related'><p>All of it.</p></main></body></html>") == "All of it."
 
 
 def test_teasers_in_articles_do_not_hide_stories(spark):
@@ -72,3 +82,30 @@ def test_copies_of_a_page_are_one_page_of_the_tree(spark):
     found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert len(found) == 430 and found[1_000] == found[3]
     assert all(found[i] == f"Story {i} begins. And {i * 7} ends." for i in range(30))
+
+
+def test_reader_comments_and_listed_branches_go(spark):
+    extra = ("<div class='comment-list'><p>Reader {i} says {j}.</p></div><div class='share-buttons'>Share {i}</div>"
+             "<ul class='nav-list'><li>Go {i}</li></ul><div class='ad-container'>Buy {j} now</div><div class='has-sidebar'><p>Also {j}.</p></div>")
+    rows = [(i, u, h.replace("<div class='foot'>", extra.format(i=i, j=i * 31) + "<div class='foot'>"), o) for i, u, h, o in pages(30)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert found == {i: f"Story {i} begins. And {i * 7} ends. Also {i * 31}." for i in range(30)}
+
+
+def test_near_copies_do_not_switch_the_tree_off(spark):
+    rows = pages(30)
+    rows += [(1_000 + i, f"http://h.example/copy/{i}", rows[3][2].replace("<body>", f"<body><!-- {i} -->"), "own host") for i in range(400)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert len(found) == 430 and all(found[i] == f"Story {i} begins. And {i * 7} ends." for i in range(30)) and found[1_399] == found[3]
+
+
+GIVEN = "/root/testdata/sf0.1/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="given pages not present")
+def test_the_tree_alone_removes_adverts_from_the_given_pages(spark):
+    """Class words switched off: the texts stay the same, so the importance of ``div.ad`` removes it."""
+    given = spark.read.parquet(GIVEN)
+    heeded = {r.page_id: r.text for r in html.extract(given).collect()}
+    alone = {r.page_id: r.text for r in html.extract(given, evidence=False).collect()}
+    assert alone == heeded
