@@ -35,6 +35,8 @@ FILTER_FEATURES = 160
 HASHES = 5
 CUTOFF = 0.3
 CHUNK_BYTES = 1 << 20  # of texts held at once
+RANGE_BYTES = 8 << 20  # of stored table, a few times that of text
+MOST_RANGES = 10_000
 JOINED_BYTES = 1 << 18
 PIECE_BYTES = 32 << 10
 UNIT = 1 << 24  # of sums of c log c
@@ -258,9 +260,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _ranges_of(docs: DataFrame) -> int:
+    """A range for every ``RANGE_BYTES`` that Spark knows the table to have, ``MOST_RANGES`` at most; rows stream through a range's task."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_RANGES, -(-size // RANGE_BYTES))
+
+
 def _range_bounds(docs: DataFrame, parts: int) -> list:
     """Up to ``parts`` - 1 increasing ids that cut the table into ranges of similar size."""
-    found = docs.select(F.expr(f"approx_percentile(doc_id, {[i / parts for i in range(1, parts)]!r}, 10000)".replace("[", "array(").replace("]", ")"))).first()[0]
+    found = docs.select(F.expr(f"approx_percentile(doc_id, {[i / parts for i in range(1, parts)]!r}, {max(10_000, 20 * parts)})".replace("[", "array(").replace("]", ")"))).first()[0]
     return sorted(set(found or []))
 
 
@@ -270,11 +278,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     Ids are whole numbers. The next document is the one with the next higher id, after the last the
     first. A null text is empty; rows that share an id follow each other in the order of their texts, and
     a null id comes before all others. Texts without features, and empty ones, are one feature as a
-    whole. A single row is its own next document; an empty table gives no rows. ``parts`` ranges of ids
-    (by default the session's number of shuffle partitions) bound what the driver holds: one id each.
+    whole. A single row is its own next document; an empty table gives no rows. ``parts`` ranges of ids (by
+    default as many as the table has ``RANGE_BYTES``) bound what the driver holds: one id each.
     """
-    spark = docs.sparkSession
-    parts = max(2, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, parts or _ranges_of(docs))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranks = rarity_ranks(level_counts(docs, "text"))
     bounds = np.array(_range_bounds(docs.select("doc_id"), parts), np.int64)
@@ -316,7 +323,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     dealt = (
         docs.mapInArrow(deal, "part int, extra boolean, key long, doc_id long, data binary")
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .sortWithinPartitions("part", "extra", "key", "data")
     )
 

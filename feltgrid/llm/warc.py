@@ -241,62 +241,82 @@ def _valid(source: Bytes, at: int) -> bool:
         return False
 
 
-def _inflate(source: Bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at``, and where it ends."""
+def _inflate(source: Bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it.
+
+    Of a damaged member, all that comes out before the damage.
+    """
     z, parts = zlib.decompressobj(31), []
-    try:
-        while not z.eof:
-            chunk = source.read(at, READ_BYTES)
-            if not chunk:
-                raise Damaged("member is cut short")
+    while not z.eof:
+        chunk = source.read(at, READ_BYTES)
+        if not chunk:
+            return b"".join(parts), at, "member is cut short"
+        before = z.copy()
+        try:
             parts.append(z.decompress(chunk))
-            at += len(chunk)
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
-    return b"".join(parts), at - len(z.unused_data)
+        except zlib.error as error:
+            parts += _until_damage(before, chunk)
+            return b"".join(parts), at, f"member: {error}"
+        at += len(chunk)
+    return b"".join(parts), at - len(z.unused_data), None
+
+
+def _until_damage(z: zlib._Decompress, chunk: bytes) -> Iterator[bytes]:
+    """What ``chunk`` gives before its decompression fails, to the byte."""
+    step = 4096
+    while step:
+        for at in range(0, len(chunk), step):
+            before = z.copy()
+            try:
+                yield z.decompress(chunk[at : at + step])
+            except zlib.error:
+                z, chunk = before, chunk[at : at + step]
+                break
+        step = 1 if step > 1 else 0
+
+
+def _in_member(source: Bytes, at: int) -> tuple[list[tuple[str, int, int, object]], int, str | None]:
+    """Records and gaps of the member at ``at``, its end, and its damage. Of a damaged one, the records that their digest proves."""
+    data, end, reason = _inflate(source, at)
+    found = list(plain_records(Bytes(data)))
+    if reason is not None:
+        found = [x for x in found if x[0] == "record" and x[3].get("warc-payload-digest", "").startswith("sha256:") and x[3]["warc-type"] != "revisit"]
+    return found, end, reason
 
 
 def salvage(source: Bytes) -> Iterator[tuple[str, int, int, object]]:
     """All valid records of a plain or compressed archive, and the quarantined gaps.
 
-    A damaged member is given up as a whole up to the next one that inflates to valid records; offsets of
-    a record in a member are those of the member.
+    Of a damaged member, the records before the damage that pass their digest are returned; the member is
+    quarantined up to the next one that gives valid records. Offsets of a record in a member are those of the member.
     """
     at = 0
     while at < source.size:
-        if source.read(at, 3) != MEMBER:
-            if source.read(at, len(VERSION)) == VERSION and _valid(source, at):
-                fields, end = parse_record(source, at)
-                yield "record", at, end, fields
-                at = end
+        start, reason = at, "no member or record begins here"
+        if source.read(at, 3) == MEMBER:
+            found, end, reason = _in_member(source, at)
+            end = end if reason is None else _next_start(source, start + 1)
+            for kind, _, _, what in found:
+                yield kind, start, end, what
+            at = end
+            if reason is None:
                 continue
-            reason, start = "no member or record begins here", at
+        elif source.read(at, len(VERSION)) == VERSION and _valid(source, at):
+            fields, at = parse_record(source, at)
+            yield "record", start, at, fields
+            continue
         else:
-            start = at
-            try:
-                data, end = _inflate(source, at)
-                parts = list(plain_records(Bytes(data)))
-                for kind, _, _, what in parts:
-                    yield kind, at, end, what
-                at = end
-                continue
-            except Damaged as error:
-                reason = str(error)
-        at = _next_start(source, start + 1)
+            at = _next_start(source, start + 1)
         yield "gap", start, at, reason
 
 
 def _next_start(source: Bytes, at: int) -> int:
-    """Where the next valid member or plain record begins; the end if there is none."""
+    """Where the next member with valid records or the next plain record begins; the end if there is none."""
     gz, plain = source.find(MEMBER, at), source.find(VERSION, at)
     while gz >= 0 or plain >= 0:
         if plain < 0 or 0 <= gz < plain:
-            try:
-                data, _ = _inflate(source, gz)
-                if any(kind == "record" for kind, *_ in plain_records(Bytes(data))):
-                    return gz
-            except Damaged:
-                pass
+            if any(kind == "record" for kind, *_ in _in_member(source, gz)[0]):
+                return gz
             gz = source.find(MEMBER, gz + 1)
         else:
             if _valid(source, plain):
@@ -360,6 +380,7 @@ def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def records(read: DataFrame) -> DataFrame:
+    """The records among the rows of ``read_archives``, without the columns of gaps; no rows from no rows."""
     return read.filter(F.col("kind") == "record").drop("kind", "reason")
 
 

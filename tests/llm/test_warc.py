@@ -92,3 +92,20 @@ def test_headers_of_any_length_are_read(spark, tmp_path):
     long = warc.record_bytes(9, url, payload, hashlib.sha256(payload).hexdigest(), "response", None)
     assert summary(record(1) + long + record(2)) == (["1", "9", "2"], [])
     assert summary(record(1) + long[:200_000]) == (["1"], [(len(record(1)), len(record(1)) + 200_000)])
+
+
+def test_records_before_the_damage_of_a_member_are_kept():
+    """One member for the whole file, as many tools write it."""
+    whole = warc.member(b"".join(record(i, bytes(os.urandom(400))) for i in range(3)))
+    checksum = bytearray(whole)
+    checksum[-6] ^= 255
+    for data in (bytes(checksum), whole[:-9]):
+        records, gaps = summary(data)
+        assert records[:2] == ["0", "1"] and gaps == [(0, len(data))], records
+    assert summary(bytes(checksum))[0] == ["0", "1", "2"]
+    later = warc.member(record(7))
+    assert summary(bytes(checksum) + later) == (["0", "1", "2", "7"], [(0, len(whole))])
+    bare = record(5).replace(b"WARC-Payload-Digest", b"X-Payload-Digest")
+    damaged = bytearray(warc.member(bare + bare))
+    damaged[-6] ^= 255
+    assert summary(bytes(damaged)) == ([], [(0, len(damaged))])
