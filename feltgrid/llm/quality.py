@@ -3,10 +3,11 @@
 Overlapping heuristic labellers vote low, good or nothing on every document. The votes of all documents
 are counted by pattern, and expectation-maximisation over the counted patterns estimates how often each
 labeller casts each vote on good and on low documents. The resulting posterior of each pattern is the
-training target of a hashed linear scorer, which then scores all documents whole.
+training target of a hashed linear scorer, which then scores all documents whole, by itself.
 
-The labellers see only what they were written for; the scorer, which sees the shapes of all words, also
-judges documents on which every labeller keeps silent. The quality is read off the mean of both log odds.
+The labellers see only what they were written for and answer in three grades; the scorer sees the shapes and
+the endings of all words and the measures behind the votes as numbers, but no votes. So it also judges documents on which every
+labeller keeps silent, and cannot repeat the labellers' rules.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PRIOR_LOW = (0.001, 0.3)  # of a low vote on a good and on a low document
 KEEP = 0.5
 CACHE_ENTRIES = 300_000
 PIECE = 64  # characters of a word whose shape is one feature
+ENDING = 3  # characters of a word that are one feature
+ENDING_WEIGHT = 0.5
 SILENT, LOW, GOOD = 0, 1, 2
 
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
@@ -156,9 +159,23 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 # --- The scorer -----------------------------------------------------------------------------
 
 
+class Endings(dict):
+    """Hashed column of the ending of a word, as met."""
+
+    def __missing__(self, ending: str) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        out = self[ending] = zlib.crc32(b"\1" + ending.encode()) % DIMENSIONS
+        return out
+
+
 class Shapes(dict):
     """Hashed column of the shape of a word or of a piece of one, as met: letters as A or a, digits as 0, runs as one sign."""
 
+    def __init__(self):
+        super().__init__()
+        self.endings = Endings()
+
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
@@ -169,7 +186,7 @@ class Shapes(dict):
 
 
 def hashed(text: str, shapes: Shapes) -> tuple[dict[int, float], int]:
-    """Sparse features and the votes: shares of word shapes, repetition, variety, and the low votes cast.
+    """Sparse features and the votes: shares of word shapes and word endings, and the measures of the text.
 
     Shares are taken of ``n + 20`` words, so that the few words of a short text weigh little. Of a word of
     more than ``PIECE`` characters, each piece of that length counts as a word's shape.
@@ -191,8 +208,14 @@ def hashed(text: str, shapes: Shapes) -> tuple[dict[int, float], int]:
     for piece, k in pieces.items():
         at = shapes[piece]
         x[at] = x.get(at, 0.0) + k / shares
-    named = {"repeated": seen.repeated, "variety": (len(counts) + 20) / n, "bias": 3.0}
-    named |= {f"low {name}": 1.0 for name, v in zip(LABELLERS, digits(pattern)) if v == LOW}
+    endings = shapes.endings
+    for word, k in counts.items():
+        at = endings[word[-ENDING:]]
+        x[at] = x.get(at, 0.0) + ENDING_WEIGHT * k / n
+    named = {"variety": (len(counts) + 20) / n, "bias": 3.0, "letters": seen.letters, "length": min(4.0, seen.chars / max(1, seen.words) / 10)}
+    # Roots, so that a few in a hundred are seen.
+    named |= {name: getattr(seen, name) ** 0.5 for name in ("signs", "capitals", "bare", "repeated", "runs", "copied_lines", "tails")}
+    named["shouts"] = min(1.0, seen.shouts) ** 0.5
     for name, value in named.items():
         at = zlib.crc32(b"\0" + name.encode()) % DIMENSIONS
         x[at] = x.get(at, 0.0) + value
@@ -265,16 +288,14 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample:
     patterns, counts = vote_patterns(plain)
     model = expectation_maximisation(patterns, counts)
     weights = fit_linear(training_rows(plain, model, sample))
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (labels, w), shapes = shared.value, Shapes()
+        w, shapes = shared.value, Shapes()
         for batch in slices(batches, text):
             found = [hashed(t, shapes) for t in texts(batch, text)]
-            linear = np.array([sum(w[k] * v for k, v in x.items()) for x, _ in found])
-            known = labels.log_odds(np.array([digits(p) for _, p in found], np.int64).reshape(-1, len(LABELLERS)))
-            raw = (linear + known) / 2
-            out = 1 / (1 + np.exp(np.clip(raw, -60, 60)))
+            low = np.array([sum(w[k] * v for k, v in x.items()) for x, _ in found])
+            out = 1 / (1 + np.exp(np.clip(low, -60, 60)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.float64()), pa.array(out >= KEEP, pa.bool_())], [*batch.schema.names, "quality", "keep"]
             )

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from helpers import ROWS, WORDS, docs
 
 from feltgrid.llm import quality
@@ -57,3 +59,23 @@ def test_long_words_count_to_their_end():
     # Words of ordinary length keep their shares.
     x, _ = quality.hashed("Word word", quality.Shapes())
     assert 1 / 22 in x.values()
+
+
+GIVEN = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(GIVEN), reason="driver tables not present")
+def test_agreement_with_labels_that_are_never_learnt(spark):
+    """The scorer alone, on labels that nothing of the classifier has seen."""
+    found = quality.quality(spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "text"))
+    labels = spark.read.parquet(f"{GIVEN}/labels.parquet").selectExpr("doc_id", "quality AS label")
+    rows = found.join(labels, "doc_id").collect()
+    assert np.mean([r.keep == (r.label == 1) for r in rows]) > 0.98
+    assert np.mean([r.keep for r in rows if r.label == 1]) > 0.995
+
+
+def test_the_scorer_sees_no_votes():
+    """Two texts with the same votes get different scores from the same weights, and no column is a vote's."""
+    x, pattern = quality.hashed(clean(3), quality.Shapes())
+    y, same = quality.hashed(clean(4), quality.Shapes())
+    assert pattern == same and x != y
