@@ -42,8 +42,8 @@ class Limits:
     units: int = 16
     window: int = 16
     streams: int = 512  # side by side in a task
-    updates: int = 256  # of the weights, at least, in a task's share of a round
-    rate: float = 0.02
+    updates: int = 192  # of the weights, at least, in a task's share of a round
+    rate: float = 0.03
     rounds: int = 3  # in which all training documents are learnt from, each in one of them
 
 
@@ -173,22 +173,36 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_likelihoods(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+SAFE_SCORE = 60.0  # of which no float32 exponential or sum of them overflows
+
+
+def _largest(w: np.ndarray, b: np.ndarray) -> float:
+    """No score ``h @ w + b`` exceeds this, as states lie between -1 and 1."""
+    return float((np.abs(w).sum(axis=-2) + np.abs(b)).max())
+
+
+def _exponentials(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Turns scores into exponentials, shifted by each row's largest unless they are ``safe``; returns the rows' sums."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_likelihoods(x: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
     """Logarithm of each row's softmax at its target; overwrites ``x``."""
-    x -= x.max(axis=1, keepdims=True)
-    hit = x[np.arange(len(x)), target]
-    return hit - np.log(np.exp(x, out=x).sum(axis=1))
+    total = _exponentials(x, safe)
+    return np.log(np.maximum(x[np.arange(len(x)), target] / total, 1e-37))
 
 
-def _loss_gradient(x: np.ndarray, target: np.ndarray, scale: float) -> float:
+def _loss_gradient(x: np.ndarray, target: np.ndarray, scale: float, safe: bool) -> float:
     """Turns scores into ``scale`` times the gradient of their softmax loss, in place; returns the loss."""
     rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    hit = x[rows, target]
-    total = np.exp(x, out=x).sum(axis=1)
+    total = _exponentials(x, safe)
     x *= (scale / total)[:, None]
+    loss = -float(np.log(np.maximum(x[rows, target] / scale, 1e-37)).sum())
     x[rows, target] -= scale
-    return float(np.log(total).sum() - hit.sum())
+    return loss
 
 
 class Network:
@@ -230,6 +244,10 @@ class Network:
         n = np.tanh(x[:, 2 * s :] + r * hu[:, 2 * s :])
         return n + z * (h - n), z, r, n, hu[:, 2 * s :]
 
+    def safe(self) -> tuple[bool, bool]:
+        """Whether the scores of classes and of words are small enough to do without a shift."""
+        return _largest(self.p["c"], self.p["cb"]) < SAFE_SCORE, _largest(self.p["w"], self.p["wb"]) < SAFE_SCORE
+
     def by_class(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The order of ``words`` by class, where each class begins in it, and the classes and slots in that order."""
         klass = self.klass[words]
@@ -241,11 +259,12 @@ class Network:
         """Natural logarithm of the probability of each word after each state."""
         order, cut, klass, slot = self.by_class(words)
         h = h[order]
-        found = _log_likelihoods(h @ self.p["c"] + self.p["cb"], klass)
+        safe_class, safe_word = self.safe()
+        found = _log_likelihoods(h @ self.p["c"] + self.p["cb"], klass, safe_class)
         for k in range(1, self.classes):
             a, b = cut[k], cut[k + 1]
             if a < b:
-                found[a:b] += _log_likelihoods(h[a:b] @ self.p["w"][k] + self.p["wb"][k], slot[a:b])
+                found[a:b] += _log_likelihoods(h[a:b] @ self.p["w"][k] + self.p["wb"][k], slot[a:b], safe_word)
         out = np.empty(len(words), found.dtype)
         out[order] = found
         return out
@@ -271,14 +290,15 @@ class Network:
         order, cut, klass, slot = self.by_class(words)
         sorted_h = states.reshape(m, s)[order]
         d = sorted_h @ self.p["c"] + self.p["cb"]
-        loss = _loss_gradient(d, klass, 1 / m)
+        safe_class, safe_word = self.safe()
+        loss = _loss_gradient(d, klass, 1 / m, safe_class)
         g["c"][...], g["cb"][...] = sorted_h.T @ d, d.sum(0)
         back = d @ self.p["c"].T
         for k in range(1, self.classes):
             a, b = cut[k], cut[k + 1]
             if a < b:
                 e = sorted_h[a:b] @ self.p["w"][k] + self.p["wb"][k]
-                loss += _loss_gradient(e, slot[a:b], 1 / m)
+                loss += _loss_gradient(e, slot[a:b], 1 / m, safe_word)
                 g["w"][k], g["wb"][k] = sorted_h[a:b].T @ e, e.sum(0)
                 back[a:b] += e @ self.p["w"][k].T
         dh_out = np.empty_like(back)
@@ -425,12 +445,16 @@ class Positions(dict):
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.known = {int(h): i for i, h in enumerate(hashes)}
+        self.known, self.hashes = {int(h): i for i, h in enumerate(hashes)}, Hashes()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[word] = self.known.get(xxhash.xxh3_64_intdigest(word) - (1 << 63), -1)
+            self.hashes.clear()
+        h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        out = self[word] = self.known.get(h, -1)
+        if out < 0:
+            self.hashes[word] = h
         return out
 
 
@@ -505,7 +529,7 @@ def encoded_rows(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
-        log_count, known, word_hash = np.append(np.log10(counts + 1.0), 0.0), Positions(hashes), Hashes()
+        log_count, known = np.append(np.log10(counts + 1.0), 0.0), Positions(hashes)
         for batch in slices(batches, "text", 8 << 20):
             rows = column(batch, "_row")
             sequences, sums, rare, owners, listed = [], [], [], [], set()
@@ -518,7 +542,7 @@ def encoded_rows(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, limits
                 sequences.append(ids.tobytes())
                 if len(rest) and row not in listed:  # equal rows list their rare words once
                     listed.add(row)
-                    rare.append(np.fromiter((word_hash[words[i]] for i in rest.tolist()), np.int64, len(rest)))
+                    rare.append(np.fromiter((known.hashes[words[i]] for i in rest.tolist()), np.int64, len(rest)))
                     owners.append(np.full(len(rest), row, np.int64))
             n = len(rows)
             doc = [batch.column(batch.schema.get_field_index(c)) for c in ("_row", "doc_id", "held_out")]
