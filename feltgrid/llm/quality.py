@@ -263,8 +263,8 @@ def training_rows(docs: DataFrame, model: LabelModel, sample: int) -> list:
             found = [hashed(t, shapes) for t in texts(batch, "text")]
             y = shared.value.posterior(np.array([digits(p) for _, p in found]).reshape(-1, len(LABELLERS)))
             yield pa.RecordBatch.from_pydict({
-                "at": pa.array([list(x) for x, _ in found], pa.list_(pa.int32())),
-                "x": pa.array([list(x.values()) for x, _ in found], pa.list_(pa.float64())),
+                "at": pa.array([np.fromiter(x, np.int16, len(x)).tobytes() for x, _ in found], pa.binary()),
+                "x": pa.array([np.fromiter(x.values(), np.float32, len(x)).tobytes() for x, _ in found], pa.binary()),
                 "y": pa.array(y, pa.float64()),
             })
 
@@ -272,8 +272,10 @@ def training_rows(docs: DataFrame, model: LabelModel, sample: int) -> list:
     chosen = docs.select(draw.alias("_draw")).orderBy("_draw").limit(sample).agg(F.max("_draw")).first()[0]
     if chosen is None:
         return []
-    rows = docs.filter(draw <= chosen).mapInArrow(run, "at array<int>, x array<double>, y double").collect()
-    return sorted(((np.array(r.at), np.array(r.x), r.y) for r in rows), key=lambda r: (r[0].tolist(), r[1].tolist(), r[2]))
+    # Packed, the sample is a few dozen megabytes; sorted, so that the order of tasks does not matter.
+    found = docs.filter(draw <= chosen).mapInArrow(run, "at binary, x binary, y double").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("at", "x", "y"))))
+    return [(np.frombuffer(at, np.int16).astype(np.int64), np.frombuffer(x, np.float32), y) for at, x, y in rows]
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
