@@ -293,7 +293,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, shapes = shared.value, Shapes()
+        w, shapes = shared.value.tolist(), Shapes()
         for batch in slices(batches, text):
             found = [hashed(t, shapes) for t in texts(batch, text)]
             low = np.array([sum(w[k] * v for k, v in x.items()) for x, _ in found])
