@@ -15,13 +15,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in contract.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
