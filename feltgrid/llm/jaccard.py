@@ -21,11 +21,12 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,6 +39,8 @@ REGION_BYTES = 16 << 20  # of shingles that one task joins at once
 REGION_SETS = 2_048
 LEAF = 96  # sets that are compared without further pivots
 FOREST_SETS = 4_096  # sets of a chance region that one task compares by their counts
+FOREST_BYTES = 16 << 20  # of their counts
+SPREAD = 4  # tasks that measure a region at its pivots, for each region that would fit into one
 CHUNK_SIGNATURES = 1_500_000
 BUCKETS_PER_PARTITION = 4
 COLUMNS = 4_096
@@ -254,16 +257,33 @@ def join_region(sets: list[np.ndarray], home: np.ndarray, weight: np.ndarray, si
     return edges, counted
 
 
+def overlaps(pivot: np.ndarray, every: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shingles that sets have in common with a pivot; ``every`` is the sets one after the other."""
+    k = np.searchsorted(pivot, every)
+    k[k == len(pivot)] = 0
+    return np.add.reduceat((pivot[k] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def distances(pivot: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Jaccard distances of sets to a pivot."""
     sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    k = np.searchsorted(pivot, every)
-    k[k == len(pivot)] = 0
-    common = np.add.reduceat((pivot[k] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    common = overlaps(pivot, np.concatenate(sets), sizes)
     return 1 - common / (sizes + len(pivot) - common)
 
 
+def pivot_stars(ids: list[int], pivots: list[np.ndarray], link: Link) -> np.ndarray:
+    """For each pivot the smallest id of the pivots that links among pivots reach from it."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sizes = np.array([len(pivots[i]) for i in order])
+    every, forest = np.concatenate([pivots[i] for i in order]), Forest(len(order))
+    for k, i in enumerate(order):
+        for j in np.flatnonzero(link.links(overlaps(pivots[i], every, sizes), len(pivots[i]), sizes)).tolist():
+            forest.join(k, j)
+    out = np.empty(len(ids), np.int64)
+    out[order] = [ids[order[forest.root(k)]] for k in range(len(order))]
+    return out
+
+
 # --- The distributed join -------------------------------------------------------------------
 
 
@@ -379,15 +399,18 @@ def in_groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) ->
         yield current, rows
 
 
-def split_regions(members: DataFrame, most: int = FOREST_SETS) -> tuple[DataFrame, DataFrame]:
+def split_regions(members: DataFrame, most: int = FOREST_SETS, most_bytes: int = FOREST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Star edges (a, b) of the regions of more than ``most`` sets, and the members of all others.
 
-    Sizes are combined before the shuffle. At most one member row in ``most`` is a row of the large regions'
+    Where ``members`` have sizes ``n``, regions whose counts may take more than ``most_bytes`` are large too; the
+    counts of a set take about ``n`` bytes at most. Sizes are combined before the shuffle. At most one member row in ``most`` is a row of the large regions'
     table, which is staged, so Spark broadcasts it and no large region meets in one task.
     """
     members = stage(members)
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("_row").alias("b"))
-    large = stage(sizes.filter(F.col("sets") > most).select("region", "b"))
+    held = F.sum(F.col("n") + 32) if "n" in members.columns else F.lit(0)
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("_row").alias("b"), held.alias("bytes"))
+    # A region of two sets is always compared.
+    large = stage(sizes.filter((F.col("sets") > most) | (F.col("bytes") > most_bytes) & (F.col("sets") > 2)).select("region", "b"))
     stars = members.join(large, "region").filter(F.col("_row") != F.col("b")).select(F.col("_row").alias("a"), "b")
     return stars, members.join(large.select("region"), "region", "left_anti")
 
@@ -395,7 +418,7 @@ def split_regions(members: DataFrame, most: int = FOREST_SETS) -> tuple[DataFram
 def candidate_edges(members: DataFrame, described: DataFrame, link: Link) -> DataFrame:
     """Edges that connect all sets of a region that may link; a spanning forest for each region.
 
-    Regions of more than ``FOREST_SETS`` sets are connected without a look at their counts: the metric join
+    Regions of more than ``FOREST_SETS`` sets or ``FOREST_BYTES`` of counts are connected without a look at their counts: the metric join
     cuts them at pivots.
     """
 
@@ -413,13 +436,13 @@ def candidate_edges(members: DataFrame, described: DataFrame, link: Link) -> Dat
         yield _frame({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
     stars, small = split_regions(members)
-    rows = small.join(described.select("_row", "n", "counts"), "_row")
+    rows = small.select("region", "_row").join(described.select("_row", "n", "counts"), "_row")
     forests = rows.repartition("region").sortWithinPartitions("region", "_row").mapInArrow(run, "a long, b long")
     return forests.unionByName(stars).distinct()
 
 
 REGIONS = "region long, _row long, weight long, home boolean, side int, tokens binary"
-CELLS = REGIONS + ", parent long"
+MEASURED = REGIONS + ", pivot array<long>, pivot_star array<long>, far array<double>, star long, bytes long"
 
 
 def join_small(regions: DataFrame, link: Link) -> DataFrame:
@@ -437,40 +460,93 @@ def join_small(regions: DataFrame, link: Link) -> DataFrame:
                 "n": ([None] * len(edges) + counts[some].astype(np.int64).tolist(), pa.int64()),
             })
 
-    return regions.repartition("region").sortWithinPartitions("region", "_row").mapInArrow(run, "a long, b long, n long")
+    sets = regions.select(*(n.split()[0] for n in REGIONS.split(", ")))
+    return sets.repartition("region").sortWithinPartitions("region", "_row").mapInArrow(run, "a long, b long, n long")
 
 
-def cut_at_pivots(regions: DataFrame, link: Link, salts: int) -> DataFrame:
-    """The cells of each region, their ``parent``: its sets spread over ``salts`` tasks, each with all pivots of the region."""
+def measure(regions: DataFrame, link: Link) -> DataFrame:
+    """The sets of each region with their distances ``far`` to all pivots of the region.
+
+    A region's sets are spread over ``salts`` tasks, a column of ``regions``, and its pivots are copied to each.
+    ``star`` names the sets that are known to be connected through links to pivots and among them: the nearest
+    pivot's ``pivot_star`` if the set links to it, else the set itself.
+    """
     order = W.partitionBy("region").orderBy(F.xxhash64("_row", "region"), "_row")
     ranked = regions.filter(F.col("home")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= PIVOTS)
-    pivots = ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = regions.withColumns({"_rank": F.lit(0), "_salt": F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")})
+    pivots = ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))))
+    spread = regions.withColumns({"_rank": F.lit(0), "_salt": F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int")})
     both = pivots.unionByName(spread).repartition("region", "_salt").sortWithinPartitions("region", "_salt", F.desc("_rank"), "_row")
+    names = [n.split()[0] for n in REGIONS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, pivot_ids, pivot_sets = None, [], []
-        for batch in batches:
-            out = {n.split()[0]: [] for n in CELLS.split(", ")}
-            for rank, salt, *cells in zip(*(column(batch, c) for c in ("_rank", "_salt", "region", "_row", "weight", "home", "side", "tokens"))):
-                region, row, weight, home, side, tokens = cells
+        here, ids, pivots = None, [], []
+        for batch in slices(batches, "tokens"):
+            rows, sets = column(batch, "_row"), [np.frombuffer(t, _U) for t in column(batch, "tokens")]
+            keys = list(zip(column(batch, "region"), column(batch, "_salt"), (r > 0 for r in column(batch, "_rank"))))
+            taken, found = [], []
+            for (region, salt, is_pivot), at in groupby(range(len(keys)), keys.__getitem__):
+                at = list(at)
                 if (region, salt) != here:
-                    here, pivot_ids, pivot_sets = (region, salt), [], []
-                own = np.frombuffer(tokens, _U)
-                if rank:
-                    pivot_ids.append(row)
-                    pivot_sets.append(own)
+                    here, ids, pivots = (region, salt), [], []
+                if is_pivot:
+                    ids += [rows[i] for i in at]
+                    pivots += [sets[i] for i in at]
                     continue
-                far = np.array([distances(own, [p])[0] for p in pivot_sets])
-                nearest = int(np.lexsort((pivot_ids, far))[0])
-                for c in np.flatnonzero(far <= far.min() + 2 * link.eps + 1e-9):
-                    name = xxhash.xxh3_64_intdigest(f"{region}:{pivot_ids[c]}") - (1 << 63)
-                    for k, v in zip(out, (name, row, weight, home and c == nearest, side, tokens, region)):
-                        out[k].append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([bool(x) for x in v] if t == pa.bool_() else v, t) for v, t in zip(out.values(), types)], list(out))
+                sizes, every = np.array([len(sets[i]) for i in at]), np.concatenate([sets[i] for i in at])
+                common = np.stack([overlaps(p, every, sizes) for p in pivots], axis=1)
+                lengths = np.array([len(p) for p in pivots])
+                far = 1 - common / (sizes[:, None] + lengths - common)
+                nearest, stars = far.argmin(1), pivot_stars(ids, pivots, link)
+                linked = link.links(common[np.arange(len(at)), nearest], sizes, lengths[nearest])
+                taken += at
+                found.append((np.tile(ids, len(at)), np.tile(stars, len(at)), far.ravel(), np.where(linked, stars[nearest], [rows[i] for i in at]),
+                              np.full(len(at), len(ids))))
+            if not taken:
+                continue
+            ids_of, stars_of, far_of, star, times = map(np.concatenate, zip(*found))
+            offsets = pa.array(np.append(0, np.cumsum(times)), pa.int32())
+            kept = batch.select(names).take(pa.array(taken))
+            yield pa.RecordBatch.from_arrays([
+                *kept.columns, *(pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((ids_of, pa.int64()), (stars_of, pa.int64()), (far_of, pa.float64()))),
+                pa.array(star, pa.int64()), pa.array([8 * len(sets[i]) for i in taken], pa.int64()),
+            ], [n.split()[0] for n in MEASURED.split(", ")])
+
+    return both.mapInArrow(run, MEASURED)
 
-    return both.mapInArrow(run, CELLS)
+
+def star_edges(measured: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets that links connect: from each set to the stars of the pivots it links to.
+
+    The nearest pivot is linked if any is; links to others than its star are found among the cells.
+    """
+    return measured.filter(F.col("star") != F.col("_row")).select(F.col("_row").alias("a"), F.col("star").alias("b"))
+
+
+def open_sets(measured: DataFrame, link: Link) -> DataFrame:
+    """``measured`` without sets that cannot link to a set outside their own star.
+
+    A set at distance r from its pivot links to nothing that is farther than r + eps from that pivot; no set
+    outside the star is nearer to one of its pivots than the smallest such distance, taken for each star.
+    """
+    pivots = F.explode(F.arrays_zip("pivot_star", "far"))
+    outside = measured.select("region", "star", pivots.alias("p")).filter(F.col("p.pivot_star") != F.col("star"))
+    nearest = stage(outside.groupBy("region", F.col("p.pivot_star").alias("star")).agg(F.min("p.far").alias("_outside")))
+    stars = measured.join(nearest, ["region", "star"], "left")
+    alone = (F.col("star") == F.col("_row")) & ~F.array_contains("pivot_star", F.col("_row"))
+    # A set that links to no pivot stays; a star without any set outside it is the whole region.
+    stays = alone | (F.array_min("far") + link.eps + 1e-9 >= F.col("_outside"))
+    return stars.filter(F.coalesce(stays, F.lit(False))).drop("_outside")
+
+
+def cells_of(measured: DataFrame, link: Link) -> DataFrame:
+    """The cells of each region, their ``parent``: a set's home is its nearest pivot, and it is copied to those within twice eps more."""
+    pivots = F.arrays_zip("far", "pivot")
+    reach = F.filter(pivots, lambda p: p["far"] <= F.array_min("far") + 2 * link.eps + 1e-9)
+    cells = measured.withColumns({"parent": F.col("region"), "_nearest": F.array_min(pivots)["pivot"], "_cell": F.explode(reach)})
+    return cells.select(
+        "parent", F.xxhash64("region", "_cell.pivot").alias("region"), "_row", "weight",
+        (F.col("home") & (F.col("_cell.pivot") == F.col("_nearest"))).alias("home"), "side", "tokens", "star", "bytes",
+    )
 
 
 def in_block_pairs(regions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -482,41 +558,87 @@ def in_block_pairs(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("region", low, high, F.lit("pair")).alias("region"), "_row", "weight", "home", side.cast("int").alias("side"), "tokens")
 
 
-def metric_join(regions: DataFrame, link: Link, region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS) -> list[DataFrame]:
+def beside_largest_star(measured: DataFrame, stuck: DataFrame, region_bytes: int, region_sets: int) -> DataFrame:
+    """Regions that pivots do not cut, without the pairs within their largest star, which are connected already.
+
+    The other sets meet each other in pairs of blocks, and each of their blocks meets every block of the star.
+    """
+    rows = measured.join(stuck.select("region"), "region")
+    stars = rows.groupBy("region", "star").agg(F.count(F.lit(1)).alias("sets"), F.sum("bytes").alias("bytes"))
+    totals = stars.groupBy("region").agg(
+        F.max(F.struct("sets", "star", "bytes")).alias("top"), F.sum("sets").alias("sets"), F.sum("bytes").alias("bytes")
+    )
+
+    def blocks(sets: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(2 * sets / region_sets), F.ceil(2 * size / region_bytes)).cast("int")
+
+    plan = stage(totals.select(
+        "region", F.col("top.star").alias("_star"), blocks(F.col("top.sets"), F.col("top.bytes")).alias("inner"),
+        blocks(F.col("sets") - F.col("top.sets"), F.col("bytes") - F.col("top.bytes")).alias("blocks"),
+    ))
+    rows = rows.join(plan, "region")
+    others = rows.filter(F.col("star") != F.col("_star"))
+    own = F.pmod(F.xxhash64("_row"), F.when(F.col("star") == F.col("_star"), F.col("inner")).otherwise(F.col("blocks"))).cast("int")
+    width = F.when(F.col("star") == F.col("_star"), F.col("blocks")).otherwise(F.col("inner"))
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), width - 1)))
+    inner, outer = F.when(F.col("star") == F.col("_star"), F.col("_own")).otherwise(F.col("_other")), F.when(
+        F.col("star") == F.col("_star"), F.col("_other")).otherwise(F.col("_own"))
+    across = met.select(F.xxhash64("region", inner, outer, F.lit("star")).alias("region"), "_row", "weight", "home", F.lit(0).alias("side"), "tokens")
+    return across.unionByName(in_block_pairs(others.drop("_star", "inner", "blocks"), plan.select("region", "blocks")))
+
+
+def metric_join(
+    regions: DataFrame, link: Link, region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS, count_links: bool = True
+) -> list[DataFrame]:
     """Links of all regions, cut at pivots until each fits into a task.
 
     A region is done when it has at most ``region_sets`` sets and ``region_bytes`` of shingles. One whose
     largest cell keeps nine tenths of its sets is compared in pairs of blocks instead, which is exact too.
+    Without ``count_links`` only what connects sets is looked for: sets that link to one pivot are not
+    compared with each other, and leave when nothing outside their star is near enough to link.
     """
     results = []
-    spark = regions.sparkSession
-    salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("tokens")).alias("bytes"))
     while True:
-        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("tokens")).alias("bytes"))
         large = (F.col("sets") > region_sets) | (F.col("bytes") > region_bytes)
-        marked = stage(sizes.withColumn("large", large))
+        salts = F.ceil(SPREAD * F.greatest(F.col("sets") / region_sets, F.col("bytes") / region_bytes))
+        marked = stage(sizes.select("region", "sets", "bytes", large.alias("large"), salts.alias("salts")))
         small = regions.join(marked.filter(~F.col("large")).select("region"), "region", "left_semi")
         results.append(join_small(small, link))
         if marked.filter("large").isEmpty():
             return results
-        parents = stage(regions.join(marked.filter("large").select("region"), "region", "left_semi"))
-        cells = stage(cut_at_pivots(parents, link, salts))
-        stuck = _stuck(cells, marked)
-        blocks = stuck.select("region", F.greatest(F.lit(2), F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("bytes") / region_bytes)).alias("blocks"))
-        results.append(join_small(in_block_pairs(parents, blocks), link))
+        parents = regions.join(marked.filter("large").select("region", "salts"), "region")
+        measured = stage(measure(parents.select(*(n.split()[0] for n in REGIONS.split(", ")), "salts"), link))
+        if not count_links:
+            edges = star_edges(measured)
+            results.append(edges.withColumn("n", F.lit(None).cast("long")))
+            measured = open_sets(measured, link)
+        cells = cells_of(measured, link)
+        stats = stage(cells.groupBy("parent", "region").agg(
+            F.count(F.lit(1)).alias("sets"), F.sum("bytes").alias("bytes"), F.max("home").alias("_home"), (F.min("star") == F.max("star")).alias("_one_star")
+        ))
+        if not count_links:
+            stats = stats.filter(F.col("_home") & ~F.col("_one_star"))
+        stuck = _stuck(stats, marked)
+        if count_links:
+            blocks = stuck.select("region", F.greatest(F.lit(2), F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("bytes") / region_bytes)).alias("blocks"))
+            results.append(join_small(in_block_pairs(measured, blocks), link))
+        else:
+            results.append(join_small(beside_largest_star(measured, stuck, region_bytes, region_sets), link))
         # A row is in several regions after the first cut, so cells go by their parent, not by their rows.
-        regions = stage(cells.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").drop("parent"))
+        sizes = stats.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").select("region", "sets", "bytes")
+        regions = cells.join(sizes.select("region"), "region", "left_semi")
 
 
 def _stuck(cells: DataFrame, marked: DataFrame) -> DataFrame:
     """Large regions with a cell of nine tenths of their sets."""
-    most = cells.groupBy("parent", "region").count().groupBy(F.col("parent").alias("region")).agg(F.max("count").alias("_most"))
-    joined = marked.filter("large").join(most, "region", "left")
-    return joined.filter(F.coalesce("_most", F.lit(1 << 60)) >= 0.9 * F.col("sets"))
+    most = cells.groupBy(F.col("parent").alias("region")).agg(F.max("sets").alias("_most"))
+    return stage(marked.filter("large").join(most, "region").filter(F.col("_most") >= 0.9 * F.col("sets")))
 
 
 def similar_documents(
-    docs: DataFrame, link: Link, doc_id: str = "doc_id", text: str = "text", region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS
+    docs: DataFrame, link: Link, doc_id: str = "doc_id", text: str = "text", region_bytes: int = REGION_BYTES, region_sets: int = REGION_SETS,
+    count_links: bool = True,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, first) for every row of ``docs``.
 
@@ -524,6 +646,7 @@ def similar_documents(
     number of other rows it links to; ``first`` marks one node of each component, of the smallest id. Null and empty texts have no shingles, no links and themselves as
     component. Rows equal in id and text are one node with one result each; rows of one id and different
     texts are nodes of their own. A null id never becomes a component unless all of its ids are null.
+    Without ``count_links`` there is no ``n_links``, and sets known to be connected are not compared.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
@@ -532,11 +655,13 @@ def similar_documents(
     nodes = described.filter(F.col("n") > 0).dropDuplicates(["_row"])
     # Staged, so that the join below is a plain one, whose hot keys Spark can split.
     first = stage(nodes.groupBy("digest").agg(F.min("_row").alias("rep"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1))
-    reps = stage(described.filter(F.col("n") > 0).select("_row", "digest").join(first, "digest").select("_row", "rep", "copies"))
-    reps = reps.dropDuplicates(["_row"])
+    keyed = described.filter(F.col("n") > 0).select("_row", "digest", "n").join(first, "digest", "left")
+    keyed = stage(keyed.select("_row", F.coalesce("rep", "_row").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "n"))
+    reps = keyed.filter(F.col("copies") > 1).drop("n").dropDuplicates(["_row"])
 
     members = region_members(docs, link, partitions)
-    members = members.join(reps, "_row", "left").select("region", F.coalesce("rep", "_row").alias("_row")).distinct()
+    sized = keyed.select("_row", "rep", "n").dropDuplicates(["_row"])
+    members = members.join(sized, "_row").select("region", F.col("rep").alias("_row"), "n").distinct()
     clusters = stage(connected_components(stage(candidate_edges(members, nodes, link))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,7 +676,7 @@ def similar_documents(
     regions = stage(regions.join(weights, "_row", "left").select(
         "region", "_row", F.coalesce("copies", F.lit(1)).cast("long").alias("weight"), F.lit(True).alias("home"), F.lit(0).alias("side"), "tokens"
     ))
-    parts = metric_join(regions, link, region_bytes, region_sets)
+    parts = metric_join(regions, link, region_bytes, region_sets, count_links)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -566,12 +691,14 @@ def similar_documents(
     ))
     # Only linked rows are joined by root, so unlinked ones do not meet under a null key.
     labelled = stage(components.join(named, "root").select("_row", "component_id", "_first"))
-    counts = stage(found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others")))
-    own = described.select("_row", "doc_id", "n").join(labelled, "_row", "left").join(reps, "_row", "left")
-    own = own.withColumn("rep", F.coalesce("rep", "_row")).join(counts, "rep", "left")
+    own = described.select("_row", "doc_id", "n").join(labelled, "_row", "left")
+    n_links = []
+    if count_links:
+        counts = stage(found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others")))
+        own = own.join(reps, "_row", "left").withColumn("rep", F.coalesce("rep", "_row")).join(counts, "rep", "left")
+        n_links = [(F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links")]
     return own.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links,
         F.coalesce(F.col("_first") == F.col("_row"), F.lit(True)).alias("first"), "_row",
     )
 
@@ -582,7 +709,7 @@ def first_of_each_group(docs: DataFrame, link: Link, doc_id: str = "doc_id", tex
     The first one has the smallest id, a null id being the largest; a tie goes by content.
     """
     row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
-    kept = similar_documents(docs, link, doc_id, text).filter("first").select(F.col("_row").alias(row)).distinct()
+    kept = similar_documents(docs, link, doc_id, text, count_links=False).filter("first").select(F.col("_row").alias(row)).distinct()
     rows = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text))).join(kept, row, "left_semi")
     # The join has sorted the rows by key already.
     once = rows.withColumn(copy, F.row_number().over(W.partitionBy(row).orderBy(row)))

@@ -148,10 +148,10 @@ def test_no_pair_that_may_link_is_left_apart():
         assert forest.root(int(i)) == forest.root(int(j))
 
 
-def joined(spark, sets, link, region_sets, region_bytes=1 << 30):
+def joined(spark, sets, link, region_sets, region_bytes=1 << 30, count_links=True):
     """Links of each position and the root of its component, from one region of ``sets``."""
     rows = [(1, i, 1, True, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)]
-    found = jaccard.metric_join(spark.createDataFrame(rows, jaccard.REGIONS), link, region_bytes, region_sets)
+    found = jaccard.metric_join(spark.createDataFrame(rows, jaccard.REGIONS), link, region_bytes, region_sets, count_links)
     links, forest = [0] * len(sets), jaccard.Forest(len(sets))
     for part in found:
         for r in part.collect():
@@ -182,6 +182,7 @@ def test_cells_beside_a_stuck_region_are_joined(spark):
     links, roots = joined(spark, sets, link, region_sets=25)
     assert links == hit.sum(1).tolist()
     assert roots == [forest.root(i) for i in range(len(sets))]
+    assert joined(spark, sets, link, 25, count_links=False)[1] == roots
 
 
 def test_large_regions_become_stars_and_are_not_grouped(spark):
@@ -194,3 +195,53 @@ def test_large_regions_become_stars_and_are_not_grouped(spark):
     many = spark.range(jaccard.FOREST_SETS + 1).selectExpr("7L AS region", "id AS _row")
     joined_to = jaccard.candidate_edges(many, described, jaccard.Link(1, 90, 100))
     assert joined_to.count() == jaccard.FOREST_SETS and joined_to.filter("b <> 0").isEmpty()
+
+
+def test_regions_of_many_bytes_become_stars(spark):
+    members = spark.createDataFrame([(1, r, 500) for r in range(4)] + [(2, r, 20) for r in range(3)] + [(3, r, 900) for r in range(2)], "region long, _row long, n long")
+    stars, small = jaccard.split_regions(members, most_bytes=1_000)
+    assert sorted(map(tuple, stars.collect())) == [(r, 0) for r in range(1, 4)]
+    assert sorted({r.region for r in small.collect()}) == [2, 3]
+
+
+def test_tight_cluster_ships_few_copies_when_links_are_not_counted(spark, monkeypatch):
+    """5,000 near copies and some sets at the edge of the cluster: pivots connect nearly all of them at once."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = []
+    for i in range(5_000):
+        s = base.copy()
+        change = 5 if i % 100 else 12
+        s[rng.choice(200, change, replace=False)] = rng.integers(0, 1 << 62, change).astype(np.uint64)
+        sets.append(np.unique(s))
+    link, shipped = jaccard.Link(1, 88, 100), []
+    small = jaccard.join_small
+
+    def counted(regions, link):
+        shipped.append(regions.count())
+        return small(regions, link)
+
+    monkeypatch.setattr(jaccard, "join_small", counted)
+    roots = joined(spark, sets, link, region_sets=100, count_links=False)[1]
+    assert sum(shipped) < 3 * len(sets)
+    sizes, least = np.array([len(s) for s in sets]), np.arange(len(sets))
+    hit = link.links(jaccard.intersections(sets), sizes[:, None], sizes[None, :])
+    while True:
+        spread = np.where(hit, least, len(sets)).min(1)
+        if (spread == least).all():
+            break
+        least = spread
+    assert roots == least.tolist()
+
+
+@pytest.mark.parametrize("sets", [12, 5])
+def test_components_without_counts_are_exact(spark, sets, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rows = near_copies(7, 120)
+    link = jaccard.Link(3, 80, 100)
+    found = jaccard.similar_documents(spark.createDataFrame(rows, SCHEMA), link, region_sets=sets, count_links=False).collect()
+    want = brute(rows, link)
+    assert len(found) == 120 and "n_links" not in found[0].asDict()
+    for r in found:
+        assert (r.n_shingles, r.component_id) == want[(r.doc_id, rows[r.doc_id][1])][:2]
