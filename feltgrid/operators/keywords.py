@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from feltgrid import domain
 from feltgrid.functions import text
 from feltgrid.functions.metrics import stable_round
-from feltgrid.operators import dashboard
+from feltgrid.operators import dashboard, segment
 from feltgrid.operators.rows import beside
 
 TEXT_COLUMNS = ["content_clean", "content_raw", "content"]
@@ -49,18 +49,28 @@ def tokenise(
     keep: tuple[str, ...] = ("date_week",),
     filtered: bool = True,
     stop_words: list[str] | None = None,
+    best_path: bool = False,
 ) -> DataFrame:
     """One row per token, ``(*keep, word, pos)``, in lower case.
 
     With ``pattern`` the tokens are its matches. Otherwise letters and digits form words, and runs
     of Chinese characters give character pairs (a single one stays as it is), or, with a ``(word, pos)``
-    dictionary, every dictionary word they contain, however long. ``filtered`` applies the token rules
-    and the stop and noise lists.
+    dictionary, every dictionary word they contain, however long, or with ``best_path`` only those on the
+    likeliest path, which do not overlap (``segment.best_paths``; the dictionary may have a ``freq``).
+    ``filtered`` applies the token rules and the stop and noise lists.
     """
     source = F.lower(F.col(text_column(posts)))
     matches = F.regexp_extract_all(source, F.lit(pattern or WORDS), F.lit(0))
     tokens = posts.select(*keep, F.explode(matches).alias("word"))
-    if pattern is None:
+    if pattern is None and dictionary is not None and best_path:
+        is_run = F.col("word").rlike(f"^{CJK_RUN}$")
+        runs = tokens.filter(is_run).withColumn("_id", F.md5("word"))
+        paths = segment.best_paths(runs.select(F.col("_id").alias("id"), F.col("word").alias("run")).distinct(), dictionary)
+        run = F.col("word")
+        words = F.transform("words", lambda w: F.substring(run, w["at"], w["size"]))
+        chosen = runs.join(paths.withColumnRenamed("id", "_id"), "_id").select(*keep, F.lit(True).alias("_run"), F.explode(words).alias("word"))
+        tokens = tokens.filter(~is_run).select(*keep, F.lit(False).alias("_run"), "word").unionByName(chosen)
+    elif pattern is None:
         sizes: Sequence[int] = [2]
         if dictionary is not None:
             # One row per length that occurs, however long the longest entry.

@@ -1,10 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from feltgrid.operators import keywords
+from feltgrid.operators import keywords, segment
 
 
 def posts(spark, rows):
@@ -25,6 +26,50 @@ def test_tokenise_with_dictionary(spark):
     assert {(r.word, r.pos) for r in out} == {("北京", "ns"), ("武汉加油", "l"), ("hello", "")}
 
 
+def test_tokenise_along_the_best_path(spark):
+    entries = [("北京", "ns", 50), ("京大", "x", 1), ("大学", "n", 40), ("北京大学", "nt", 20), ("学生", "n", 60), ("生", "n", 5)]
+    dictionary = spark.createDataFrame(entries, "word string, pos string, freq long")
+    rows = [("w1", "北京大学生 hello"), ("w1", "北京大学"), ("w2", "京大呀大学学生"), ("w2", ""), ("w3", None), ("w3", "呀呀"), ("w3", "北京大学")]
+    out = keywords.tokenise(posts(spark, rows), dictionary=dictionary, filtered=False, best_path=True).collect()
+    assert Counter((r.date_week, r.word, r.pos) for r in out) == Counter([
+        ("w1", "北京大学", "nt"), ("w1", "生", "n"), ("w1", "hello", ""), ("w1", "北京大学", "nt"),
+        ("w2", "京大", "x"), ("w2", "大学", "n"), ("w2", "学生", "n"), ("w3", "北京大学", "nt"),
+    ])
+
+
+def test_best_paths_match_python(spark):
+    rng = random.Random(3)
+    letters = "甲乙丙丁"
+    entries = {"".join(rng.choices(letters, k=rng.choice([1, 2, 2, 3, 5]))): rng.choice([1, 3, 20, 400]) for _ in range(25)}
+    runs = list({"".join(rng.choices(letters + "戊", k=rng.randrange(1, 40))) for _ in range(60)}) + ["甲乙" * 300]
+    total = sum(entries.values())
+    cost = {w: math.floor(1000 * math.log(total / n) + 0.5) for w, n in entries.items()}
+    unknown = math.floor(1000 * math.log(total) + 0.5)
+
+    def path(run):
+        best, first = {len(run): 0}, {}
+        for i in range(len(run) - 1, -1, -1):
+            ways = [(cost[run[i:j]] + best[j], i - j, j) for j in range(i + 1, len(run) + 1) if run[i:j] in cost]
+            best[i], _, j = min([*ways, (unknown + best[i + 1], 0, i + 1)])
+            first[i] = (j, run[i:j] in cost and (best[i], i - j, j) in ways)
+        i, out = 0, []
+        while i < len(run):
+            j, known = first[i]
+            if known:
+                out.append((i + 1, j - i))
+            i = j
+        return out
+
+    dictionary = spark.createDataFrame([(w, "n", n) for w, n in entries.items()], "word string, pos string, freq long")
+    found = segment.best_paths(spark.createDataFrame([(r, r) for r in runs], "id string, run string"), dictionary).collect()
+    assert {r.id: [(w["at"], w["size"]) for w in r.words] for r in found} == {r: path(r) for r in runs if path(r)}
+
+
+def test_best_paths_of_an_empty_dictionary(spark):
+    none = spark.createDataFrame([], "word string, pos string")
+    assert segment.best_paths(spark.createDataFrame([("a", "甲乙")], "id string, run string"), none).count() == 0
+
+
 def test_stop_and_noise_words_are_dropped(spark):
     out = keywords.tokenise(posts(spark, [("w1", "微博 超话 视频 天空")])).collect()
     assert [r.word for r in out] == ["天空"]
