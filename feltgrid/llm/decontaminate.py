@@ -3,7 +3,8 @@
 The words of the corpus that also occur in the test items are stored as an index of document shards:
 for each shard one row with every term's sorted positions. A query phrase is found by intersecting
 offset-adjusted position lists, the term that is rarest in the whole corpus first, so that almost
-every phrase is given up after one short list. Nothing but index rows is read after the index exists.
+every phrase is given up after one short list. Items whose rarest terms lie close together, in any order, are found
+from the same lists. Nothing but index rows is read after the index exists.
 
 Test items are handled in blocks of bounded size, each with an index of its own terms, because a
 block's vocabulary is broadcast. Any number of items gives the same rows.
@@ -23,6 +24,8 @@ from feltgrid.llm.frames import column, fresh, slices, texts
 from feltgrid.operators.stage import stage
 
 WINDOW = 10
+NEAR_TERMS = 4  # rarest terms of an item that have to lie close together
+SPAN = 30  # words between the rarest one and each of the others, at most
 BLOCK_BYTES = 8 << 20
 INDEX_SCHEMA = (
     "shard long, row_ids binary, starts binary, terms binary, counts binary, positions binary"
@@ -47,12 +50,14 @@ class Phrases:
     terms: dict[bytes, int] = field(default_factory=dict)
     windows: list[tuple[int, ...]] = field(default_factory=list)
     items: list[list] = field(default_factory=list)
+    vocabularies: list[tuple[object, tuple[int, ...]]] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple[object, str]], size: int) -> Phrases:
         out, seen = cls(), {}
         for item, text in rows:
             ids = [out.terms.setdefault(w, len(out.terms)) for w in words(text)]
+            out.vocabularies.append((item, tuple(set(ids))))
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
                 window = tuple(ids[i : i + size])
                 if window not in seen:
@@ -63,6 +68,34 @@ class Phrases:
                     out.items[seen[window]].append(item)
         return out
 
+    def by_rarest(self, frequencies: np.ndarray) -> dict[int, list[tuple]]:
+        """Windows by their rarest term in the corpus, each with its rarest-first order and its items.
+
+        Windows with a term that the corpus does not have are left out: nothing can match them.
+        """
+        out: dict[int, list[tuple]] = {}
+        for window, owners in zip(self.windows, self.items):
+            counts = frequencies[list(window)]
+            if counts.min() > 0:
+                order = np.argsort(counts, kind="stable").tolist()
+                out.setdefault(window[order[0]], []).append((window, order, owners))
+        return out
+
+    def probes(self, frequencies: np.ndarray, most: int) -> dict[int, list[tuple]]:
+        """(terms, item) by the rarest term: each item's ``most`` rarest terms of those the corpus has.
+
+        Equal frequencies go by the term's bytes. Items with fewer than two such terms have no probe.
+        """
+        names = [None] * len(self.terms)
+        for name, i in self.terms.items():
+            names[i] = name
+        out: dict[int, list[tuple]] = {}
+        for item, ids in self.vocabularies:
+            terms = sorted((i for i in ids if frequencies[i] > 0), key=lambda i: (frequencies[i], names[i]))[:most]
+            if len(terms) > 1:
+                out.setdefault(terms[0], []).append((tuple(terms), item))
+        return out
+
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The test items in blocks of at most ``block_bytes`` of text (or one longer item each)."""
@@ -170,19 +203,24 @@ def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[i] == values
 
 
-def search_phrases(index: DataFrame, phrases: Phrases, frequencies: np.ndarray) -> DataFrame:
-    """Rows (_row, hits, items) for rows with at least one window; hits are (first, last) word pairs."""
-    orders = [np.argsort(frequencies[list(w)], kind="stable").tolist() for w in phrases.windows]
-    shared = index.sparkSession.sparkContext.broadcast((phrases.windows, orders, phrases.items))
+def search(index: DataFrame, phrases: Phrases, frequencies: np.ndarray, near_terms: int = NEAR_TERMS, span: int = SPAN) -> DataFrame:
+    """Rows (_row, hits, items, near) for rows with a window or an item near; hits are (first, last) word pairs.
+
+    Windows and probes are filed under their rarest term, so a shard looks only at those whose rarest term it has.
+    """
+    shared = index.sparkSession.sparkContext.broadcast((phrases.by_rarest(frequencies), phrases.probes(frequencies, near_terms)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, order, items = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, probes = shared.value
         for batch in batches:
             for cells in zip(*(column(batch, c) for c in ("row_ids", "starts", "terms", "counts", "positions"))):
                 shard = Shard(*cells)
-                row_at, first, last, item_of = [], [], [], {}
-                for window, rarest, owners in zip(windows, order, items):
-                    found = shard.phrase(window, rarest)
+                row_at, first, last, item_of, near_of = [], [], [], {}, {}
+                for terms, item in (p for t in shard.lists if t in probes for p in probes[t]):
+                    for r in np.unique(np.searchsorted(shard.starts, shard.near(terms, span), "right") - 1).tolist():
+                        near_of.setdefault(r, set()).add(item)
+                for window, order, owners in (w for t in shard.lists if t in windows for w in windows[t]):
+                    found = shard.phrase(window, order)
                     if not len(found):
                         continue
                     rows = np.searchsorted(shard.starts, found, "right") - 1
@@ -191,13 +229,12 @@ def search_phrases(index: DataFrame, phrases: Phrases, frequencies: np.ndarray)
                     last.append(first[-1] + len(window) - 1)
                     for r in np.unique(rows).tolist():
                         item_of.setdefault(r, set()).update(owners)
-                if not row_at:
-                    continue
-                row_at, first, last = map(np.concatenate, (row_at, first, last))
-                by_row = np.lexsort((first, row_at))
-                row_at, first, last = row_at[by_row], first[by_row], last[by_row]
-                hits: dict[int, list] = {}
-                for r, a, b in zip(row_at.tolist(), first.tolist(), last.tolist()):
+                hits: dict[int, list] = {r: [] for r in near_of}
+                if row_at:
+                    row_at, first, last = map(np.concatenate, (row_at, first, last))
+                    by_row = np.lexsort((first, row_at))
+                    row_at, first, last = (x[by_row].tolist() for x in (row_at, first, last))
+                for r, a, b in zip(row_at, first, last):
                     spans = hits.setdefault(r, [])
                     if spans and a <= spans[-1]["last"] + 1:
                         spans[-1]["last"] = max(spans[-1]["last"], b)
@@ -206,12 +243,14 @@ def search_phrases(index: DataFrame, phrases: Phrases, frequencies: np.ndarray)
                 yield pa.RecordBatch.from_pydict({
                     "_row": pa.array([int(shard.row_ids[r]) for r in hits], pa.int64()),
                     "hits": pa.array(list(hits.values()), HITS),
-                    "items": pa.array([sorted(str(i) for i in item_of[r]) for r in hits], pa.list_(pa.string())),
+                    "items": pa.array([sorted(str(i) for i in item_of.get(r, ())) for r in hits], pa.list_(pa.string())),
+                    "near": pa.array([sorted(str(i) for i in near_of.get(r, ())) for r in hits], pa.list_(pa.string())),
                 })
 
-    return index.mapInArrow(search, "_row long, hits array<struct<first:long,last:long>>, items array<string>")
+    return index.mapInArrow(run, f"_row long, {FOUND}")
 
 
+FOUND = "hits array<struct<first:long,last:long>>, items array<string>, near array<string>"
 HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
@@ -234,35 +273,40 @@ def contamination(
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    near_terms: int = NEAR_TERMS,
+    span: int = SPAN,
 ) -> DataFrame:
-    """``docs`` with n_words, hits, n_hit, n_items, items and contaminated for each row.
+    """``docs`` with n_words, hits, n_hit, n_items, items, near_items and contaminated for each row.
 
     A window is ``window`` successive words of an item, or the whole of a shorter item that has words.
-    ``hits`` lists the merged (first, last) word spans that lie in windows. A null text or a text
+    ``hits`` lists the merged (first, last) word spans that lie in windows. ``near_items`` are the items whose
+    ``near_terms`` rarest terms (of those that occur in the documents, at least two) lie within ``span`` words of the
+    rarest one, in any order: reworded copies, for a closer look; they do not make a row contaminated. A null text or a text
     without words has no words and no hits; items without words, or null, match nothing. Repeated rows
     are searched each for itself, and rows with a null id are kept. Columns of ``docs`` with one of
     the result's names are replaced.
     """
-    results = ["n_words", "hits", "n_hit", "n_items", "items", "contaminated"]
+    results = ["n_words", "hits", "n_hit", "n_items", "items", "near_items", "contaminated"]
     docs = docs.drop(*results)
     row = fresh(docs, "_row")
     # The key of a row is its content: equal rows have equal results, and a task that runs again gives the same key.
     keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
     indexed = keyed.select(F.col(row).alias("_row"), F.col(text).alias("text"))
-    found, lengths = None, None
+    found, lengths, gap = None, None, max(window, span)
     for block in item_blocks(items, item_id, item_text, block_bytes):
         phrases = Phrases.of(block, window)
-        index = stage(positional_index(indexed, phrases.terms, window))
-        lengths = word_counts(index, window) if lengths is None else lengths
+        index = stage(positional_index(indexed, phrases.terms, gap))
+        lengths = word_counts(index, gap) if lengths is None else lengths
         if phrases.windows:
-            part = search_phrases(index, phrases, term_frequencies(index, len(phrases.terms)))
+            part = search(index, phrases, term_frequencies(index, len(phrases.terms)), near_terms, span)
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = lengths.select("_row", F.array().cast("array<struct<first:long,last:long>>").alias("hits"), F.array().cast("array<string>").alias("items")).limit(0)
+        found = docs.sparkSession.createDataFrame([], f"_row long, {FOUND}")
     # Copies of a row have the same spans, and each block adds one list, no longer than the row's text.
     found = found.distinct().groupBy("_row").agg(
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
     )
     covered = F.aggregate(
         "hits",
@@ -281,6 +325,7 @@ def contamination(
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("near", F.array().cast("array<string>")).alias("near_items"),
     )
     result = result.withColumn("contaminated", F.col("n_hit") > 0)
     return keyed.join(result.withColumnRenamed("_row", row), row).drop(row)

@@ -23,7 +23,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(joined_ids(F.col("items")), 256).alias("items_sha256"),
-        "contaminated",
+        "contaminated", F.size("near_items").cast("long").alias("n_near"), F.sha2(joined_ids(F.col("near_items")), 256).alias("near_sha256"),
     )
 
 
@@ -46,11 +46,26 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
         FROM found, LATERAL unnest(generate_series(i, i + n - 1)) AS t(p) GROUP BY doc_id),
 item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
                 string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-         FROM found GROUP BY doc_id)
+         FROM found GROUP BY doc_id),
+spots AS (SELECT doc_id, i, w[i] AS term FROM d, LATERAL unnest(generate_series(1, len(w))) AS t(i)),
+vocabulary AS (SELECT DISTINCT item_id, unnest(w) AS term FROM b),
+frequency AS (SELECT term, count(*) AS n FROM spots SEMI JOIN vocabulary USING (term) GROUP BY term),
+probes AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS rank, least(4, count(*) OVER (PARTITION BY item_id)) AS terms
+  FROM vocabulary JOIN frequency USING (term) QUALIFY rank <= 4),
+near AS (
+  SELECT DISTINCT doc_id, item_id FROM (
+    SELECT p.item_id, a.doc_id, a.i
+    FROM probes p JOIN spots a ON a.term = p.term
+    JOIN probes q ON q.item_id = p.item_id AND q.rank > 1
+    JOIN spots o ON o.term = q.term AND o.doc_id = a.doc_id AND o.i BETWEEN a.i - 30 AND a.i + 30
+    WHERE p.rank = 1 GROUP BY p.item_id, a.doc_id, a.i, p.terms HAVING count(DISTINCT q.rank) = p.terms - 1)),
+beside AS (SELECT doc_id, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_ids
+           FROM near GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN beside USING (doc_id)
 """
 
 

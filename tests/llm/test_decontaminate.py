@@ -37,6 +37,30 @@ def test_hits_match_brute_force(spark, block):
     assert all(r.contaminated == (r.n_hit > 0) and r._row == "own _row" and r.n_items == len(r["items"]) for r in found)
 
 
+def near(text, items, rows, most=4, span=30):
+    """Items whose rarest terms lie within ``span`` words of the rarest one."""
+    every = [w for r in rows for w in words(r[1])]
+    own, found = words(text), []
+    for item, body in items:
+        terms = sorted({w for w in words(body) if w in every}, key=lambda w: (every.count(w), w.encode()))[:most]
+        at = [[i for i, w in enumerate(own) if w == t] for t in terms]
+        if len(terms) > 1 and any(all(any(abs(i - j) <= span for j in others) for others in at[1:]) for i in at[0]):
+            found.append(str(item))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_items_near_match_brute_force(spark, block):
+    apart = " ".join(["quick", *["filler"] * 40, "brown"])
+    rows = [*ROWS, (901, "brown and quick", "en", "a", "x"), (902, apart, "en", "a", "x")]
+    df = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows[-2:]], "doc_id long, text string"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontaminate.contamination(df, items, block_bytes=block).collect()
+    want = sorted((str((r[0], r[1])), near(r[1], ITEMS, rows)) for r in rows)
+    assert sorted((str((r.doc_id, r.text)), list(r.near_items)) for r in found) == want
+    assert "2" in dict(want)[str(rows[-2][:2])] and "2" not in dict(want)[str(rows[-1][:2])]
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.contamination(docs(spark), none).collect()] == [0] * len(ROWS)
