@@ -24,6 +24,7 @@ from feltgrid.operators.rows import beside
 from feltgrid.operators.stage import stage
 
 BLOCK_ROWS = 2048
+WARD_ROWS = 1 << 14  # of a block of clusters, which one task holds
 SEED = 42
 
 
@@ -74,15 +75,42 @@ CHUNK_CELLS = 1 << 21
 SAFE = 1 - 1e-12  # bounds are rounded apart from costs
 
 
-def _costs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Ward costs of clusters with centres ``x`` and sizes ``n`` (rows) and others (columns)."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, CHUNK_CELLS // max(1, y.size))
+def _nearest(
+    x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, kept: np.ndarray, own: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ward's nearest of the clusters ``y`` (sizes ``m``) for each of ``x`` (sizes ``n``): place, cost, and all that is not above ``kept``.
+
+    The last are (row, column, cost) of the pairs that cost no more than the column's ``kept``. Equal costs go to the first
+    column. A matrix product bounds all costs; only pairs that could count are computed from their differences, so a pair
+    has the same cost wherever it is looked at. ``own`` is each row's own column, which is left out.
+    """
+    best, least, found = np.full(len(x), -1), np.full(len(x), np.inf), []
+    square_x, square_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rounding = (8 * x.shape[1] + 16) * np.finfo(np.float64).eps
+    step = max(1, CHUNK_CELLS // max(1, len(y)))
     for at in range(0, len(x), step):
         part = slice(at, at + step)
-        gaps = ((x[part, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-        out[part] = gaps * (2 * n[part, None] * m[None, :] / (n[part, None] + m[None, :]))
-    return out
+        weight = 2 * n[part, None] * m[None, :] / (n[part, None] + m[None, :])
+        reach = square_x[part, None] + square_y[None, :]
+        gaps, reach = reach - 2 * (x[part] @ y.T), reach * rounding
+        low, high = (gaps - reach) * weight, (gaps + reach) * weight
+        if own is not None:
+            low[np.arange(len(low)), own[part]] = high[np.arange(len(low)), own[part]] = np.inf
+        could = low <= np.fmax(np.fmin.reduce(high, axis=1, initial=np.inf)[:, None], kept[None, :])
+        if own is not None:
+            could[np.arange(len(low)), own[part]] = False
+        rows, columns = np.nonzero(could)
+        costs = np.empty(len(rows))
+        few = max(1, CHUNK_CELLS // max(1, x.shape[1]))
+        for k in range(0, len(rows), few):
+            i, j = rows[k:k + few], columns[k:k + few]
+            costs[k:k + few] = ((x[part][i] - y[j]) ** 2).sum(axis=1) * weight[i, j]
+        order = np.lexsort((columns, costs, rows))
+        firsts = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+        best[at + rows[firsts]], least[at + rows[firsts]] = columns[firsts], costs[firsts]
+        near = costs <= kept[columns]
+        found.append((at + rows[near], columns[near], costs[near]))
+    return best, least, tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def _fences(x: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -113,20 +141,19 @@ class _Block:
         others = np.flatnonzero(self.alive)
         if not len(some):
             return
-        costs = _costs(self.x[some], self.n[some], self.x[others], self.n[others])
-        costs[some[:, None] == others[None, :]] = np.inf
-        self.compared += costs.size
-        best = costs.argmin(axis=1)
+        fresh = np.isin(others, some, invert=True) & (self.near[others] >= 0)
+        kept = np.where(fresh, self.cost[others], -np.inf)
+        best, costs, (row, column, as_near) = _nearest(
+            self.x[some], self.n[some], self.x[others], self.n[others], kept, np.searchsorted(others, some)
+        )
+        self.compared += len(some) * len(others)
         fence = _fences(self.x[some], self.n[some], *self.boxes)
-        for i, j, c, f in zip(some, others[best], costs[np.arange(len(some)), best], fence):
+        for i, j, c, f in zip(some, others[best], costs, fence):
             self._set(i, j if np.isfinite(c) else -1, c, KNOWN if c < f * SAFE else OPEN)
         # A cluster that is as near as a kept neighbour takes its place if its name is smaller.
-        fresh = np.isin(others, some, invert=True)
-        for i, row in zip(some, costs):
-            for j in others[fresh & (row <= self.cost[others])]:
-                pair = (min(i, j), max(i, j))
-                if self.near[j] >= 0 and pair < (min(j, self.near[j]), max(j, self.near[j])):
-                    self._set(j, i, row[np.searchsorted(others, j)], self.state[j])
+        for i, j, c in zip(some[row], others[column], as_near):
+            if c <= self.cost[j] and (min(i, j), max(i, j)) < (min(j, self.near[j]), max(j, self.near[j])):
+                self._set(j, i, c, self.state[j])
 
     def _set(self, i: int, near: int, cost: float, state: int) -> None:
         self.near[i], self.cost[i], self.state[i] = near, cost, state
@@ -175,17 +202,19 @@ def _visits(features: list[str]):
     """Nearest cluster of another block for each visitor, and what comes as near to a member as its neighbour."""
 
     def run(pair: pd.DataFrame) -> pd.DataFrame:
-        one, other = pair[pair["_side"] == 0], pair[pair["_side"] == 1].sort_values("_key", ignore_index=True)
+        one, other = (pair[pair["_side"] == side].sort_values("_key", ignore_index=True) for side in (0, 1))
         rows = []
         if len(one) and len(other):
             mine, theirs, kept = one["_key"].to_numpy(), other["_key"].to_numpy(), other["cost"].to_numpy("float64")
-            costs = _costs(one[features].to_numpy("float64"), one["_n"].to_numpy("float64"), other[features].to_numpy("float64"), other["_n"].to_numpy("float64"))
-            for k, row in zip(mine, costs):
-                near = row.min()
-                p = min((min(k, t), max(k, t)) for t in theirs[row == near])
-                rows.append((CLUSTER, k, near, *p))
-                rows += [(CLUSTER, theirs[j], row[j], min(k, theirs[j]), max(k, theirs[j])) for j in np.flatnonzero(row <= kept)]
-            rows.append((WORK, None, float(costs.size), None, None))
+            best, costs, (row, column, as_near) = _nearest(
+                one[features].to_numpy("float64"), one["_n"].to_numpy("float64"), other[features].to_numpy("float64"), other["_n"].to_numpy("float64"), kept
+            )
+            order = np.lexsort((row, as_near, column))
+            firsts = order[np.flatnonzero(np.diff(column[order], prepend=-1))]
+            # Names are in order, so the first of equally near ones makes the pair of the smallest names.
+            rows += [(CLUSTER, k, c, min(k, t), max(k, t)) for k, t, c in zip(mine, theirs[best], costs) if np.isfinite(c)]
+            rows += [(CLUSTER, t, c, min(k, t), max(k, t)) for k, t, c in zip(mine[row[firsts]], theirs[column[firsts]], as_near[firsts])]
+            rows.append((WORK, None, float(len(one) * len(other)), None, None))
         return pd.DataFrame(rows, columns=["_kind", "_key", "cost", "lo", "hi"]).assign(_group=pair["_group"].iat[0])[["_kind", "_group", "_key", "cost", "lo", "hi"]]
 
     return run
@@ -221,7 +250,7 @@ def _in_blocks(rows: DataFrame, features: list[str], block_rows: int) -> DataFra
 
 
 def ward_merges(
-    points: DataFrame, key: str, features: Sequence[str], group: str | None = None, block_rows: int = BLOCK_ROWS, work: list[int] | None = None
+    points: DataFrame, key: str, features: Sequence[str], group: str | None = None, block_rows: int = WARD_ROWS, work: list[int] | None = None
 ) -> DataFrame:
     """All joins of one Ward tree per ``group``: rows ``(group, lo, hi, distance, sample_count, round)``.
 
@@ -257,6 +286,9 @@ def ward_merges(
         joins, clusters = _joins_across(left.join(open_, "_group", "left_semi"), joined, features, number, work)
         found.append(joins)
         number += 1
+        # Once the clusters of every group fit into a block, its task needs no more rounds.
+        if clusters.groupBy("_group").count().agg(F.max("count")).first()[0] <= block_rows:
+            clusters = clusters.withColumn("_block", F.lit(0).cast("bigint"))
     merges = found[0]
     for more in found[1:]:
         merges = merges.unionByName(more)

@@ -226,3 +226,28 @@ def test_groups_grow_their_own_trees(spark):
     for g, rows in (("a", slice(0, 45)), ("b", slice(45, 60))):
         alone = cluster.ward_merges(df.filter(F.substring("key", 2, 4).cast("int").between(rows.start, rows.stop - 1)), "key", names)
         assert sorted(r.distance for r in merges.filter(F.col("_group") == g).collect()) == pytest.approx(sorted(r.distance for r in alone.collect()))
+
+
+def test_few_clusters_need_no_rounds(spark):
+    """In many features no box keeps blocks apart; clusters that fit into one block are done in one more round."""
+    x = np.random.default_rng(11).normal(size=(160, 24))
+    df, names = frame(spark, x)
+    whole, work = cluster.ward_merges(df, "key", names), []
+    cut = cluster.ward_merges(df, "key", names, block_rows=140, work=work)
+    assert sorted(r.distance for r in cut.collect()) == pytest.approx(sorted(r.distance for r in whole.collect()), abs=1e-9)
+    assert len(work) <= 4
+
+
+def test_nearest_is_exact_with_copies_and_far_from_zero():
+    rng = np.random.default_rng(5)
+    for shift in (0, 1e6):
+        y = rng.normal(size=(60, 7)) + shift
+        y[20:40] = y[:20]
+        n = rng.integers(1, 4, 60).astype(float)
+        costs = ((y[:, None] - y[None]) ** 2).sum(axis=2) * (2 * n[:, None] * n / (n[:, None] + n))
+        np.fill_diagonal(costs, np.inf)
+        kept = np.where(np.arange(60) % 3 == 0, np.nan, np.sort(costs, axis=0)[4])
+        best, least, (row, column, cost) = cluster._nearest(y, n, y, n, kept, np.arange(60))
+        assert (best == costs.argmin(axis=1)).all() and (least == costs.min(axis=1)).all()
+        assert {*zip(row, column)} >= {(i, j) for i, j in zip(*np.nonzero(costs <= kept)) if costs[i, j] == costs[:, j].min()}
+        assert (costs[row, column] == cost).all() and (cost <= kept[column]).all()
