@@ -34,20 +34,20 @@ def dictionary(spark, d):
     return stage(words.withColumn("pos", F.when(F.length("word") % 2 == 0, "n").otherwise("v")))
 
 
-def tokens(spark, d):
+def tokens(spark, d, **together):
     texts = v.texts(spark, d).select("post_id", "date_week", written(F.col("content_clean")).alias("content_clean"))
-    found = keywords.tokenise(texts, dictionary=dictionary(spark, d), keep=("post_id", "date_week"), filtered=False)
+    found = keywords.tokenise(texts, dictionary=dictionary(spark, d), filtered=False, together=together)
     return found.filter("pos <> ''")
 
 
 @query(v.with_(v.TEXTS, TOKENS_SQL, select="SELECT date_week, word, pos, count(*)::BIGINT AS tf FROM tokens GROUP BY ALL"))
 def tokens_pos(spark, d):
-    return keywords.week_term_counts(tokens(spark, d))
+    return keywords.week_term_counts(tokens(spark, d, tf=F.count(F.lit(1))))
 
 
 @query(v.with_(v.TEXTS, TOKENS_SQL, select="SELECT date_week, word, arg_min(pos, post_id) AS pos FROM tokens GROUP BY ALL"))
 def first_pos(spark, d):
-    return keywords.first_pos(tokens(spark, d), "post_id")
+    return keywords.first_pos(tokens(spark, d, post_id=F.min("post_id")), "post_id")
 
 
 PATHS_SQL = f"""
@@ -94,5 +94,5 @@ def tokens_path(spark, d):
     counted = words.filter(F.length("word") >= 2).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     entries = stage(counted.withColumn("pos", F.when(F.length("word") % 2 == 0, "n").otherwise("v")))
     texts = v.texts(spark, d).select("post_id", "date_week", written(F.col("content_clean")).alias("content_clean"))
-    found = keywords.tokenise(stage(texts), dictionary=entries, keep=("post_id", "date_week"), filtered=False, best_path=True)
+    found = keywords.tokenise(texts, dictionary=entries, filtered=False, best_path=True, together={"tf": F.count(F.lit(1))})
     return keywords.week_term_counts(found.filter("pos <> ''"))

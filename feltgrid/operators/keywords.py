@@ -6,7 +6,7 @@ so counts and scores always refer to the same term.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +17,7 @@ from feltgrid.functions import text
 from feltgrid.functions.metrics import stable_round
 from feltgrid.operators import dashboard, segment
 from feltgrid.operators.rows import beside
+from feltgrid.operators.stage import stage
 
 TEXT_COLUMNS = ["content_clean", "content_raw", "content"]
 CJK_RUN = r"[一-鿿]+"
@@ -50,18 +51,30 @@ def tokenise(
     filtered: bool = True,
     stop_words: list[str] | None = None,
     best_path: bool = False,
+    together: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per token, ``(*keep, word, pos)``, in lower case.
 
+    ``together`` has aggregates over posts: equal matches of equal ``keep`` become one row with these columns before
+    they are split and looked up, and each of their tokens has them. Counts are to be summed, least values compared.
+
     With ``pattern`` the tokens are its matches. Otherwise letters and digits form words, and runs
     of Chinese characters give character pairs (a single one stays as it is), or, with a ``(word, pos)``
     dictionary, every dictionary word they contain, however long, or with ``best_path`` only those on the
     likeliest path, which do not overlap (``segment.best_paths``; the dictionary may have a ``freq``).
     ``filtered`` applies the token rules and the stop and noise lists.
     """
-    source = F.lower(F.col(text_column(posts)))
+    source, columns = F.lower(F.col(text_column(posts))), (*keep, "word", "pos", *(together or ()))
     matches = F.regexp_extract_all(source, F.lit(pattern or WORDS), F.lit(0))
-    tokens = posts.select(*keep, F.explode(matches).alias("word"))
+    if together is None:
+        tokens = posts.select(*keep, F.explode(matches).alias("word"))
+    else:
+        tokens = posts.select("*", F.explode(matches).alias("_match")).groupBy(*keep, F.col("_match").alias("word")).agg(
+            *[e.alias(n) for n, e in together.items()]
+        )
+        keep = (*keep, *together)
+        if best_path:
+            tokens = stage(tokens)  # read for the runs' paths, the runs and the other words
     if pattern is None and dictionary is not None and best_path:
         is_run = F.col("word").rlike(f"^{CJK_RUN}$")
         runs = tokens.filter(is_run).withColumn("_id", F.md5("word"))
@@ -90,21 +103,26 @@ def tokenise(
     if filtered:
         excluded = (domain.STOP_WORDS if stop_words is None else list(stop_words)) + domain.NOISE_WORDS
         tokens = tokens.filter(text.is_valid_token("word", "pos") & ~F.col("word").isin(excluded))
-    return tokens.select(*keep, "word", "pos")
+    return tokens.select(*columns)
 
 
 def week_term_counts(tokens: DataFrame, week: str = "date_week") -> DataFrame:
-    """Count of each term per week with its part of speech.
+    """Count of each term per week with its part of speech; tokens may have been counted ``together`` as ``tf``.
 
     A term has one part of speech, so it can be a grouping key. A text aggregate such as ``min``
     instead would make Spark sort every token where it now hashes them.
     """
-    return tokens.groupBy(week, "word", "pos").agg(F.count(F.lit(1)).alias("tf"))
+    tf = F.sum("tf") if "tf" in tokens.columns else F.count(F.lit(1))
+    return tokens.groupBy(week, "word", "pos").agg(tf.alias("tf"))
 
 
 def first_pos(tokens: DataFrame, position: str, week: str = "date_week") -> DataFrame:
-    """Part of speech at the first place a term occurs in its week."""
-    return tokens.groupBy(week, "word").agg(F.min_by("pos", position).alias("pos"))
+    """Part of speech at the first place a term occurs in its week.
+
+    The first places of each part of speech come from a hash aggregate; only they are compared.
+    """
+    firsts = tokens.groupBy(week, "word", "pos").agg(F.min(position).alias(position))
+    return firsts.groupBy(week, "word").agg(F.min_by("pos", position).alias("pos"))
 
 
 def vocabulary(counts: DataFrame, max_terms: int = domain.MAX_TERMS, max_df: float = domain.MAX_DF,

@@ -161,3 +161,30 @@ def test_text_column(spark):
     assert keywords.text_column(df) == "content_raw"
     with pytest.raises(ValueError):
         keywords.text_column(df.select(F.lit(1)))
+
+
+@pytest.mark.parametrize("best_path", [False, True])
+def test_equal_matches_may_be_counted_together(spark, best_path):
+    dictionary = spark.createDataFrame([("北京", "ns"), ("京北", "x"), ("加油", "uj"), ("油", "n")], "word string, pos string")
+    rows = [("w1", "北京北京 hello 加油", 3), ("w1", "北京北京 北京北京", 2), ("w2", "加油 hello", None), ("w2", None, 9), (None, "北京", 1)]
+    df = spark.createDataFrame(rows, "date_week string, content_clean string, at int")
+
+    def rows_of(found):
+        return Counter(tuple(r) for r in found.collect())
+
+    def tokens(**more):
+        return keywords.tokenise(df, dictionary=dictionary, filtered=False, best_path=best_path, **more)
+
+    counted = tokens(together={"tf": F.count(F.lit(1))})
+    assert counted.columns == ["date_week", "word", "pos", "tf"] and counted.count() < tokens().count()
+    assert rows_of(keywords.week_term_counts(counted)) == rows_of(keywords.week_term_counts(tokens()))
+    first, plain = (keywords.first_pos(t, "at") for t in (tokens(together={"at": F.min("at")}), tokens(keep=("date_week", "at"))))
+    assert rows_of(first) == rows_of(plain)
+
+
+def test_first_pos_compares_only_first_places(spark):
+    """Tokens are hashed, not sorted, and one row per part of speech is left to compare."""
+    rows = [("w1", "aa", "v", 2), ("w1", "aa", "n", 1), ("w1", "bb", None, 1), ("w1", "bb", "v", 4), ("w2", "aa", "v", None), ("w2", "cc", "n", None), ("w2", "cc", "v", 7)]
+    out = keywords.first_pos(spark.createDataFrame(rows, "date_week string, word string, pos string, at int"), "at")
+    assert {tuple(r) for r in out.collect()} == {("w1", "aa", "n"), ("w1", "bb", None), ("w2", "aa", None), ("w2", "cc", "v")}
+    assert "HashAggregate" in out._jdf.queryExecution().executedPlan().toString()
