@@ -62,10 +62,10 @@ def smallest_per_group(
     little more than ``sizes[g]`` rows to one task. One number as ``sizes`` holds for every group.
     """
     if isinstance(sizes, int):
-        rows, size = df.filter(F.col(group).isNotNull()), F.lit(sizes)
+        rows, size, few = df.filter(F.col(group).isNotNull()), F.lit(sizes), False
     else:
         targets = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-        rows, size = df.filter(F.col(group).isin(list(sizes))), F.try_element_at(targets, F.col(group))
+        rows, size, few = df.filter(F.col(group).isin(list(sizes))), F.try_element_at(targets, F.col(group)), True
     rows = rows.withColumns({"_order": order, "_bucket": bucket})
     counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket")) - F.col("_n")
@@ -75,7 +75,8 @@ def smallest_per_group(
         .groupBy(group)
         .agg(F.max("_bucket").alias("_last"))
     )
-    near = rows.join(cut, group).filter(F.col("_bucket") <= F.col("_last"))
+    # A row per named group: a shuffle by group instead would send all rows of a group to one task.
+    near = rows.join(F.broadcast(cut) if few else cut, group).filter(F.col("_bucket") <= F.col("_last"))
     rank = F.row_number().over(W.partitionBy(group).orderBy("_order", tie))
     return (
         near.withColumn("_rank", rank)

@@ -313,3 +313,17 @@ def test_a_salted_join_computes_its_posts_once(spark):
     # The plan reads the staged posts once, and not the posts themselves.
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [post_id") == 1 and "Range (" not in plan
+
+
+def test_sample_by_month_does_not_shuffle_the_texts(spark):
+    """No task reads a month: rows meet their group's cut where they are."""
+    rows = spark.range(4000).select(F.col("id").alias("post_id"), F.when(F.col("id") % 3 < 2, "m").otherwise("n").alias("file_month"), F.repeat(F.lit("x"), 100).alias("text"))
+    out = sampling.exact_sample(rows, {"m": 50})
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sampling.exact_sample(rows, {"m": 50})
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and out.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
