@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from feltgrid.domain import CLUSTER_FEATURES, MONTHLY_FEATURES
@@ -251,3 +252,38 @@ def test_nearest_is_exact_with_copies_and_far_from_zero():
         assert (best == costs.argmin(axis=1)).all() and (least == costs.min(axis=1)).all()
         assert {*zip(row, column)} >= {(i, j) for i, j in zip(*np.nonzero(costs <= kept)) if costs[i, j] == costs[:, j].min()}
         assert (costs[row, column] == cost).all() and (cost <= kept[column]).all()
+
+
+def test_copies_are_joined_before_the_rounds(spark):
+    """One join for each round would be left of many equal rows, whose nearest is the same row."""
+    x = np.concatenate([random_rows(30, 2, 6), np.full((60, 2), 9.5)])
+    df, names = frame(spark, x)
+    work = []
+    merges = cluster.ward_merges(df, "key", names, block_rows=12, work=work)
+    rows = merges.collect()
+    copies = [(r.lo, r.hi, r.sample_count) for r in sorted(rows, key=lambda r: r["round"]) if r.distance == 0]
+    assert copies == [("r0030", f"r{i:04d}", i - 29) for i in range(31, 90)]
+    assert len(rows) == 89 and len(work) <= 12
+    assert sum(r.distance ** 2 for r in rows) / 2 == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+
+
+def test_keys_that_come_again_and_rows_without_a_number(spark):
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [8.0, 8.0], [8.0, 9.0], [np.nan, 1.0], [0.0, 0.0], [8.0, 8.5]])
+    df, names = frame(spark, x)
+    df = df.withColumn("f0", F.when(F.col("key") != "r0004", F.col("f0")))
+    df = df.withColumn("key", F.when(F.col("key") == "r0005", "r0000").when(F.col("key") == "r0006", "r0002").otherwise(F.col("key")))
+    labels = sorted((r.key, r.label) for r in cluster.ward_labels(df, "key", names, [3]).collect())
+    # A row without a distance stays alone.
+    assert labels == [("r0000", 0), ("r0000", 0), ("r0001", 0), ("r0002", 1), ("r0002", 1), ("r0003", 1), ("r0004", 2)]
+
+
+def test_blocks_compare_strips_and_give_the_same_tree(spark, monkeypatch):
+    """Rounds over many strips of packed rows, in features that no box keeps apart, join what one block joins."""
+    x = np.random.default_rng(12).normal(size=(120, 24))
+    df, names = frame(spark, x)
+    whole = {(r.lo, r.hi): r.distance for r in cluster.ward_merges(df, "key", names).collect()}
+    cut = {(r.lo, r.hi): r.distance for r in cluster.ward_merges(df, "key", names, block_rows=60).collect()}
+    assert cut.keys() == whole.keys() and list(cut.values()) == pytest.approx([whole[k] for k in cut], abs=1e-9)
+    blocks = [Row(_group="g", _block=b, left=30, open=o, joined=0, _all=120) for b, o in enumerate((30, 0, 9, 4))]
+    monkeypatch.setattr(cluster, "STRIP_ROWS", 50)
+    assert [s[2:] for s in cluster._strips(blocks)] == [(0, 0, 3, 4), (1, 1, 3, 4), (1, 2, 3, 4), (2, 3, 3, 4)]
